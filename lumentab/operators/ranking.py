@@ -16,52 +16,60 @@ SAMPLE_ROWS = 4096
 
 
 def _bounds(df: DataFrame, key: Column, slices: int) -> list:
-    """Slice bounds from at most SAMPLE_ROWS rows, picked by hash so that reruns agree."""
+    """Slice bounds from at most SAMPLE_ROWS rows, picked by hash so that reruns agree.
+
+    Empty when the whole input is below the sample size: one slice is enough then.
+    """
     picked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)
-    if picked.count() < SAMPLE_ROWS:
-        return []  # the whole input is below the sample bound: one slice is enough
+    packed = picked.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("k")).alias("a"))
     step = SAMPLE_ROWS // slices
-    numbered = picked.agg(F.sort_array(F.collect_list("k")).alias("a"))
-    bounds = numbered.select(F.expr(f"transform(sequence(1, {slices - 1}), i -> a[i * {step}])").alias("b"))
-    return bounds.first()["b"]
+    cuts = F.expr(f"transform(sequence(1, {slices - 1}), i -> a[i * {step}])")
+    return packed.select(F.when(F.col("n") >= SAMPLE_ROWS, cuts).alias("b")).first()["b"] or []
 
 
 def _literal(row, fields) -> Column:
     return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def running_sum(
+def running_sums(
     df: DataFrame,
     order: Sequence[str],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     partition: Sequence[str] = (),
     slices: int = 64,
+    sample_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` in the given total order, per partition key."""
+    """Inclusive running sums of ``values`` in the given total order, per partition key.
+
+    ``sample_from`` may name a cheaper table with the order columns; any sample gives
+    right results, it only shapes the slices.
+    """
     parts = list(partition)
     key = F.struct(*order)
     within = lambda extra: Window.partitionBy(*parts, *extra).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    bounds = _bounds(df, key, slices)
+    bounds = _bounds(df if sample_from is None else sample_from, key, slices)
     if not bounds:
-        return df.withColumn(name, F.sum(value).over(within([])))
+        return df.withColumns({n: F.sum(v).over(within([])) for n, v in values.items()})
     fields = df.select(key.alias("k")).schema["k"].dataType.fields
     cuts = F.array(*[_literal(b, fields) for b in bounds])
-    cut = df.withColumns({"_slice": F.size(F.filter(cuts, lambda b: b < key)), "_value": value})
-    totals = cut.groupBy(*parts, "_slice").agg(F.sum("_value").alias("_total"))
+    cut = df.withColumns({"_slice": F.size(F.filter(cuts, lambda b: b < key)), **{f"_v_{n}": v for n, v in values.items()}})
+    totals = cut.groupBy(*parts, "_slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*parts).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*parts, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select(*parts, "_slice", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in values])
     if not parts:
         starts = F.broadcast(starts)  # at most ``slices`` rows
     joined = cut.join(starts, [*parts, "_slice"])
-    summed = joined.withColumn(name, F.col("_start") + F.sum("_value").over(within(["_slice"])))
-    return summed.select(*df.columns, name)
+    summed = joined.withColumns({n: F.col(f"_s_{n}") + F.sum(f"_v_{n}").over(within(["_slice"])) for n in values})
+    return summed.select(*df.columns, *values)
+
+
+def running_sum(df: DataFrame, order: Sequence[str], value: Column, name: str, partition: Sequence[str] = (), **kw) -> DataFrame:
+    return running_sums(df, order, {name: value}, partition, **kw)
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], name: str, partition: Sequence[str] = (), slices: int = 64) -> DataFrame:
+def row_numbers(df: DataFrame, order: Sequence[str], name: str, partition: Sequence[str] = (), **kw) -> DataFrame:
     """``row_number()`` in the given total order, exact and sliced."""
-    numbered = running_sum(df, order, F.lit(1).cast("bigint"), name, partition, slices)
-    return numbered.withColumn(name, F.col(name).cast("bigint"))
+    return running_sums(df, order, {name: F.lit(1).cast("bigint")}, partition, **kw)
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float]) -> DataFrame:

@@ -12,7 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumentab.functions.hashing import coefficient_bits
-from lumentab.functions.numeric import dot, let
+from lumentab.functions.numeric import let
+from lumentab.operators.predictions import linear_scores
 
 SIDE = 8
 CLASSES = 10
@@ -141,18 +142,10 @@ def hashes(spark, sf) -> DataFrame:
 
 def class_scores(spark, sf) -> DataFrame:
     """image_id, label and the array of class scores in class order (stays one row per image)."""
-    model = (
-        centroid(spark, sf)
-        .groupBy("class_index")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda s: s["w"]).alias("w"))
-        .agg(F.sort_array(F.collect_list(F.struct("class_index", "w"))).alias("m"))
-    )
-    images = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), "label", "embedding")
-    return images.withColumn("m", model.scalar()).select(
-        "image_id",
-        "label",
-        F.transform("m", lambda c: F.struct(c["class_index"].alias("class_index"), F.round(dot(F.col("embedding"), c["w"]) * 20, 6).alias("z"))).alias("s"),
-    )
+    vectors = table(spark, sf, "embeddings").select(F.struct("vec_id", "label").alias("id"), F.col("embedding").alias("v"))
+    scored = linear_scores(vectors, centroid(spark, sf), 20.0)
+    rounded = F.transform("scores", lambda c: F.struct(c["class_index"].alias("class_index"), F.round(c["z"], 6).alias("z")))
+    return scored.select(F.col("id.vec_id").alias("image_id"), F.col("id.label").alias("label"), rounded.alias("s"))
 
 
 def logits(spark, sf) -> DataFrame:
@@ -312,14 +305,15 @@ def duck(body: str, extra: dict[str, str] | None = None, recursive: bool = False
     """Prefix ``body`` with the views it needs, in dependency order."""
     known = {**DUCK, **(extra or {})}
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in order and re.search(rf"\b{name}\b", text):
-                if known[name] is not text:
-                    visit(known[name])
-                    if name not in order:
-                        order.append(name)
+            if name not in order and name not in open_ and re.search(rf"\b{name}\b", text):
+                open_.add(name)
+                visit(known[name])
+                open_.discard(name)
+                order.append(name)
 
     visit(body)
     if not order:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lumentab.functions.numeric import saturate
+from lumentab.operators import stencils
+from lumentab.operators.edges import edge_map
 
 
 def detected_per_group(images: DataFrame, found: DataFrame, group: str) -> DataFrame:
@@ -21,3 +27,40 @@ def run_summary(results: DataFrame) -> DataFrame:
     s = run_status(results)
     n = lambda v: F.count(F.when(F.col("status") == v, 1))
     return s.agg(F.count("*").alias("total"), n("saved").alias("saved"), n("read_failed").alias("read_failed"), n("write_failed").alias("write_failed"))
+
+
+def parse_operation(name: Column, known: tuple[str, ...] = ("gray", "blur", "edge")) -> Column:
+    """The operation's number in ``known``, null for an unknown name."""
+    out = F.lit(None).cast("int")
+    for i, k in reversed(list(enumerate(known))):
+        out = F.when(name == k, F.lit(i)).otherwise(out)
+    return out
+
+
+def gray_tiles(tiles: DataFrame) -> DataFrame:
+    """Three planes (b, g, r) to one gray plane; one-plane tiles stay."""
+    b, g, r = (F.get("planes", F.lit(i)) for i in range(3))
+    pairs = F.zip_with(F.zip_with(b, g, lambda x, y: F.struct(x.alias("b"), y.alias("g"))), r, lambda p, z: saturate(z * 0.299 + p["g"] * 0.587 + p["b"] * 0.114).cast("double"))
+    return tiles.withColumn("planes", F.when(F.size("planes") == 3, F.array(pairs)).otherwise(F.col("planes")))
+
+
+def _gray(tiles: DataFrame) -> DataFrame:
+    return stencils.core_points(gray_tiles(tiles)).select("image_id", "y", "x", stencils.cell(0, F.col("y"), F.col("x"), "zero").alias("v"))
+
+
+def _blur(tiles: DataFrame) -> DataFrame:
+    return stencils.gaussian_blur(tiles, 7, 1.5).select("image_id", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+def _edge(tiles: DataFrame) -> DataFrame:
+    return edge_map(gray_tiles(tiles)).withColumn("v", F.lit(255.0))
+
+
+OPERATIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"gray": _gray, "blur": _blur, "edge": _edge}
+
+
+def run_operation(name: str, tiles: DataFrame) -> DataFrame:
+    """Apply a named operation; an unknown name is refused before any job starts."""
+    if name not in OPERATIONS:
+        raise ValueError(f"unknown operation {name!r}; known: {sorted(OPERATIONS)}")
+    return OPERATIONS[name](tiles)

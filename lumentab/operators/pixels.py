@@ -262,13 +262,3 @@ def augmentation_plan(dims: DataFrame, seed: int) -> DataFrame:
         between("saturation", 0.9, 1.1).alias("saturation"),
         between("hue", -0.02, 0.02).alias("hue"),
     )
-
-
-# Operations a batch run may name; anything else is rejected before a job starts.
-BATCH_OPS: dict[str, Callable[[DataFrame], DataFrame]] = {"gray": to_gray}
-
-
-def batch_op(name: str) -> Callable[[DataFrame], DataFrame]:
-    if name not in BATCH_OPS:
-        raise ValueError(f"unknown operation {name!r}; known: {sorted(BATCH_OPS)}")
-    return BATCH_OPS[name]

@@ -45,7 +45,7 @@ def gray_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def _gray(tiles: DataFrame) -> DataFrame:
-    return stencils.core_points(gray_tiles(tiles)).select("image_id", "y", "x", stencils.cell(0, F.col("y"), F.col("x"), "zero").alias("v"))
+    return stencils.filter_mirror(gray_tiles(tiles), [[1.0]]).select("image_id", "y", "x", "v")
 
 
 def _blur(tiles: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lumentab.functions.hashing import hamming
 from lumentab.operators.graph import components
 from lumentab.operators.ranking import row_numbers
+from lumentab.session import cut_lineage
 
 REASON = "exact duplicate with conflicting class label"
 ACTION = "exclude from train, validation and test"
@@ -90,44 +91,50 @@ def near_code_pairs(codes: DataFrame, phash_limit: int = 6, dhash_limit: int = 6
     """Pairs of distinct codes within both Hamming limits, each found exactly once.
 
     Join key: one block mask of phash and one of dhash. A pair shares several keys; only
-    the first shared one reports it, so no distinct is needed. Keys held by more than
-    ``hot`` codes get further phash blocks appended (again complete by the same counting),
-    so no bucket is paired out whole.
+    the first shared one reports it, so no distinct is needed. Keys held by about ``hot``
+    codes or more (estimated on a hashed 1/16 of the codes) get further phash blocks
+    appended, which is complete by the same counting, so no bucket is paired out whole.
     """
     pm, dm = block_masks(phash_limit, picks), block_masks(dhash_limit, picks)
     fine = block_masks(phash_limit, 3)
-    base = codes.select("code_id", "phash", "dhash")
     keys = F.array(*[
         F.struct(F.lit(i * len(dm) + j).alias("band"), F.col("phash").bitwiseAND(_signed(p)).alias("pk"), F.col("dhash").bitwiseAND(_signed(d)).alias("dk"))
         for i, p in enumerate(pm) for j, d in enumerate(dm)
     ])
-    keyed = base.withColumn("key", F.explode(keys)).select("code_id", "phash", "dhash", "key.*")
-    crowded = keyed.groupBy("band", "pk", "dk").agg(F.count("*").alias("held")).filter(F.col("held") > hot).withColumn("hot", F.lit(True)).drop("held")
-    marked = keyed.join(crowded, ["band", "pk", "dk"], "left")
-    plain = F.array(F.struct(F.lit(-1).alias("fine"), F.lit(0).cast("bigint").alias("fk")))
-    split = F.array(*[F.struct(F.lit(i).alias("fine"), F.col("phash").bitwiseAND(_signed(m)).alias("fk")) for i, m in enumerate(fine)])
-    ready = marked.withColumn("f", F.explode(F.when(F.col("hot"), split).otherwise(plain))).select(
-        "band", "pk", "dk", F.col("f.fine").alias("fine"), F.col("f.fk").alias("fk"), "code_id", "phash", "dhash"
-    )
-    on = ["band", "pk", "dk", "fine", "fk"]
-    right = ready.select(*on, F.col("code_id").alias("second_id"), F.col("phash").alias("p2"), F.col("dhash").alias("d2"))
-    left = ready.withColumnRenamed("code_id", "first_id")
-    pdiff, ddiff = F.col("phash").bitwiseXOR(F.col("p2")), F.col("dhash").bitwiseXOR(F.col("d2"))
-    pairs = left.join(right, on).filter(F.col("first_id") < F.col("second_id"))
+    key = ["band", "pk", "dk"]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.select("code_id", "phash", "dhash", F.explode(keys).alias("key")).select("code_id", "phash", "dhash", "key.*")
+
+    sampled = keyed(codes.filter(F.pmod(F.xxhash64("phash", "dhash"), F.lit(16)) == 0))
+    crowded = sampled.groupBy(*key).agg(F.count("*").alias("held")).filter(F.col("held") >= max(hot // 16, 2)).select(*key, F.lit(True).alias("hot"))
+    ready = keyed(codes)
+    on = list(key)
+    crowded = cut_lineage(crowded)
+    if not crowded.isEmpty():
+        on += ["fine", "fk"]
+        plain = F.array(F.struct(F.lit(-1).alias("fine"), F.lit(0).cast("bigint").alias("fk")))
+        split = F.array(*[F.struct(F.lit(i).alias("fine"), F.col("phash").bitwiseAND(_signed(m)).alias("fk")) for i, m in enumerate(fine)])
+        marked = ready.join(crowded, key, "left").withColumn("f", F.explode(F.when(F.col("hot"), split).otherwise(plain)))
+        ready = marked.select("*", "f.*").drop("f", "hot")
+    side = lambda n: ready.select(*on, F.col("code_id").alias(f"{n}_id"), F.col("phash").alias(f"p_{n}"), F.col("dhash").alias(f"d_{n}"))
+    pdiff, ddiff = F.col("p_first").bitwiseXOR(F.col("p_second")), F.col("d_first").bitwiseXOR(F.col("d_second"))
+    pairs = side("first").join(side("second"), on).filter(F.col("first_id") < F.col("second_id"))
     pairs = pairs.withColumns({"phash_distance": F.bit_count(pdiff), "dhash_distance": F.bit_count(ddiff)})
     near = pairs.filter((F.col("phash_distance") <= phash_limit) & (F.col("dhash_distance") <= dhash_limit))
     once = F.col("band") == _first_agreeing(pdiff, pm) * len(dm) + _first_agreeing(ddiff, dm)
-    once = once & ((F.col("fine") == -1) | (F.col("fine") == _first_agreeing(pdiff, fine)))
+    if len(on) > len(key):
+        once = once & ((F.col("fine") == -1) | (F.col("fine") == _first_agreeing(pdiff, fine)))
     return near.filter(once).select("first_id", "second_id", "phash_distance", "dhash_distance")
 
 
-def near_duplicates(hashes: DataFrame, **limits) -> DataFrame:
+def near_duplicates(hashes: DataFrame, codes: DataFrame | None = None, **limits) -> DataFrame:
     """The pair list in compact form: one row per pair of codes and one per copied code.
 
     ``pairs`` and ``same_class_pairs`` count the image pairs a row stands for, so every
     total over image pairs is a sum here, and no group is ever paired out.
     """
-    codes = hash_codes(hashes)
+    codes = cut_lineage(hash_codes(hashes)) if codes is None else codes
     side = lambda p: codes.select(F.col("code_id").alias(f"{p}_id"), F.col("n").alias(f"{p}_n"), F.col("classes").alias(f"{p}_classes"))
     joined = near_code_pairs(codes, **limits).join(side("first"), "first_id").join(side("second"), "second_id")
     same = F.aggregate(
@@ -179,8 +186,8 @@ def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def image_pairs(hashes: DataFrame, **limits) -> DataFrame:
     """The full pair list of a corpus whose copy groups are small."""
-    codes = hash_codes(hashes)
-    return expand_pairs(near_duplicates(hashes, **limits), _members(hashes, codes))
+    codes = cut_lineage(hash_codes(hashes))
+    return expand_pairs(near_duplicates(hashes, codes, **limits), _members(hashes, codes))
 
 
 def closest_pairs(hashes: DataFrame, k: int, **limits) -> DataFrame:
@@ -190,10 +197,11 @@ def closest_pairs(hashes: DataFrame, k: int, **limits) -> DataFrame:
     the first 2k images of each code and class; the rest cannot appear and is not paired.
     The cut on code pairs counts the image pairs before a row, which is exact as well.
     """
-    codes = hash_codes(hashes)
+    hashes = cut_lineage(hashes)
+    codes = cut_lineage(hash_codes(hashes))
     w = Window.partitionBy("code_id", "class_index").orderBy("image_id")
     few = _members(hashes, codes).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * k).drop("r")
-    pairs = near_duplicates(hashes, **limits)
+    pairs = cut_lineage(near_duplicates(hashes, codes, **limits))
     # a code pair may hold cross-class and same-class image pairs: each kind keeps its own first rows
     order = [F.col("phash_distance") + F.col("dhash_distance"), F.col("phash_distance")]
     distance = F.struct((order[0]).alias("total"), order[1].alias("p"))
@@ -208,12 +216,17 @@ def closest_pairs(hashes: DataFrame, k: int, **limits) -> DataFrame:
 
 
 def similarity_components(hashes: DataFrame, **limits) -> DataFrame:
-    """``image_id, class_index, component`` over the near-duplicate relation."""
-    codes = hash_codes(hashes)
+    """``image_id, class_index, component`` over the near-duplicate relation.
+
+    Hashes come from whole images, so they are written once here, and so is the result,
+    which groups, splits and reports all read.
+    """
+    hashes = cut_lineage(hashes)
+    codes = cut_lineage(hash_codes(hashes))
     edges = near_code_pairs(codes, **limits).select(F.col("first_id").alias("u"), F.col("second_id").alias("v"))
     labels = components(codes.select(F.col("code_id").alias("id")), edges)
     code_of = codes.select("phash", "dhash", F.col("code_id").alias("id")).join(labels, "id").select("phash", "dhash", "component")
-    return hashes.join(code_of, ["phash", "dhash"]).select("image_id", "class_index", "component")
+    return cut_lineage(hashes.join(code_of, ["phash", "dhash"]).select("image_id", "class_index", "component"))
 
 
 def similarity_groups(labelled: DataFrame) -> DataFrame:

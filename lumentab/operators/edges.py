@@ -2,49 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lumentab.operators import stencils as W
 from lumentab.operators.graph import components
+from lumentab.session import cut_lineage
 
 TAN_22_5 = 0.41421356237309503  # fixed value: tangent of 22.5 degrees
 
 
-def gradient_tiles(tiles: DataFrame) -> DataFrame:
-    """Tiles whose planes are magnitude, gx and gy of the old first plane (halo of 2 needed)."""
-
-    def line(kernel):
-        def at_cell(p: Column) -> Column:
-            y, x = F.floor(p / F.col("hw")).cast("int") + F.col("hy"), p % F.col("hw") + F.col("hx")
-            return W.weighted_sum(W.kernel_taps(kernel, centred=True), lambda plane, dy, dx: W.cell(plane, y + dy, x + dx, "mirror"))
-
-        return F.transform(F.sequence(F.lit(0), F.col("hh") * F.col("hw") - 1), at_cell)
-
-    both = tiles.withColumns({"_gx": line(W.SOBEL_X), "_gy": line(W.SOBEL_Y)})
-    size = F.zip_with("_gx", "_gy", lambda a, b: F.abs(a) + F.abs(b))
-    return both.withColumn("planes", F.array(size, F.col("_gx"), F.col("_gy"))).drop("_gx", "_gy")
-
-
 def ridge_pixels(tiles: DataFrame, low: float, high: float) -> DataFrame:
-    """Pixels above ``low`` that are maximal across the edge; ``strong`` above ``high``."""
-    pts = W.core_points(gradient_tiles(tiles))
-    here = lambda plane: W.cell(plane, F.col("y"), F.col("x"), "zero")
-    pts = pts.withColumns({"m": here(0), "gx": here(1), "gy": here(2)}).filter(F.col("m") > low)
-    near = lambda dy, dx: W.cell(0, F.col("y") + dy, F.col("x") + dx, "zero")
+    """Pixels above ``low`` that are maximal across the edge; ``strong`` above ``high``.
+
+    The 5 x 5 cells around a pixel become columns once; the nine gradients use those.
+    """
+    five, three = range(-2, 3), range(-1, 2)
+    pts = W.around(W.core_points(tiles), [(0, dy, dx, 1.0) for dy in five for dx in five], "mirror")
+    pts = pts.withColumns({f"_v{dy}_{dx}": W.tap(0, dy, dx) for dy in five for dx in five})
+
+    def slope(kernel, dy, dx):
+        terms = [F.col(f"_v{dy + ky}_{dx + kx}") * float(k) for _, ky, kx, k in W.kernel_taps(kernel, centred=True) if k]
+        return sum(terms[1:], terms[0])
+
+    def size(dy, dx):
+        y, x = F.col("y") + dy, F.col("x") + dx
+        inside = (y >= 0) & (y < F.col("h")) & (x >= 0) & (x < F.col("w"))
+        return F.when(inside, F.abs(slope(W.SOBEL_X, dy, dx)) + F.abs(slope(W.SOBEL_Y, dy, dx))).otherwise(F.lit(0.0))
+
+    pts = pts.withColumns({f"_m{dy}_{dx}": size(dy, dx) for dy in three for dx in three} | {"gx": slope(W.SOBEL_X, 0, 0), "gy": slope(W.SOBEL_Y, 0, 0)})
+    m = F.col("_m0_0")
+    maximal = lambda a, b: (m > F.col(f"_m{a[0]}_{a[1]}")) & (m >= F.col(f"_m{b[0]}_{b[1]}"))
     ax, ay = F.abs("gx"), F.abs("gy")
-    maximal = lambda a, b: (F.col("m") > a) & (F.col("m") >= b)
     along = (
-        F.when(ay <= ax * TAN_22_5, maximal(near(0, -1), near(0, 1)))
-        .when(ax <= ay * TAN_22_5, maximal(near(-1, 0), near(1, 0)))
-        .when(F.col("gx") * F.col("gy") > 0, maximal(near(-1, -1), near(1, 1)))
-        .otherwise(maximal(near(-1, 1), near(1, -1)))
+        F.when(ay <= ax * TAN_22_5, maximal((0, -1), (0, 1)))
+        .when(ax <= ay * TAN_22_5, maximal((-1, 0), (1, 0)))
+        .when(F.col("gx") * F.col("gy") > 0, maximal((-1, -1), (1, 1)))
+        .otherwise(maximal((-1, 1), (1, -1)))
     )
-    return pts.filter(along).select("image_id", "y", "x", "m", (F.col("m") > high).alias("strong"))
+    flagged = pts.select("image_id", "y", "x", m.alias("m"), along.alias("ridge"))
+    return flagged.filter((F.col("m") > low) & F.col("ridge")).select("image_id", "y", "x", "m", (F.col("m") > high).alias("strong"))
 
 
 def edge_map(tiles: DataFrame, low: float = 80.0, high: float = 160.0) -> DataFrame:
     """``image_id, y, x`` of edge pixels: strong ridges and weak ones 8-connected to a strong one."""
-    ridges = ridge_pixels(tiles, low, high).withColumn("id", F.shiftleft(F.col("image_id"), 32) + F.shiftleft(F.col("y").cast("bigint"), 16) + F.col("x"))
+    # written once: the ridges are read by the links, the nodes and the result
+    ridges = cut_lineage(ridge_pixels(tiles, low, high).withColumn("id", F.shiftleft(F.col("image_id"), 32) + F.shiftleft(F.col("y").cast("bigint"), 16) + F.col("x")))
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     reach = ridges.select("image_id", F.col("id").alias("u"), "y", "x", F.explode(steps).alias("s"))
     reach = reach.select("image_id", "u", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumentab.functions.numeric import ratio
 from lumentab.operators.ranking import exact_quantiles, row_numbers
+from lumentab.session import cut_lineage
 
 EPSILON = 1e-7
 
@@ -116,11 +117,12 @@ def global_mask_scores(parts: DataFrame) -> DataFrame:
 
 
 def score_distribution(scores: DataFrame) -> DataFrame:
-    simple = scores.agg(
-        F.avg("dice").alias("mean_dice"), F.min("dice").alias("min_dice"), F.max("dice").alias("max_dice"), F.avg("iou").alias("mean_iou")
-    )
-    middle = lambda c: exact_quantiles(scores, c, {"m": 0.5}).scalar()
-    return simple.withColumns({"median_dice": middle("dice"), "median_iou": middle("iou")})
+    """Mean, extremes and exact medians; one row per image goes in, written once because it is read twice."""
+    scores = cut_lineage(scores.select("dice", "iou"))
+    simple = scores.agg(F.avg("dice").alias("mean_dice"), F.min("dice").alias("min_dice"), F.max("dice").alias("max_dice"), F.avg("iou").alias("mean_iou"))
+    medians = exact_quantiles(scores, {"median_dice": ("dice", 0.5), "median_iou": ("iou", 0.5)})
+    m = medians.select(F.struct("*").alias("m"))
+    return simple.withColumn("m", m.scalar()).select("*", "m.*").drop("m")
 
 
 def foreground_bucket(share: Column, low: float = 0.01, high: float = 0.99) -> Column:

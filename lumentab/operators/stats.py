@@ -55,17 +55,14 @@ def histogram_2d(df: DataFrame, first: tuple[str, int, float], second: tuple[str
 
 
 def quality_thresholds(stats: DataFrame) -> DataFrame:
-    """One row: exact 1st and 99th percentiles of the quality features."""
-    bright = exact_quantiles(stats, "brightness", {"brightness_low": 0.01, "brightness_high": 0.99})
-    contrast = exact_quantiles(stats, "contrast", {"contrast_low": 0.01})
-    blur = exact_quantiles(stats, "blur", {"blur_low": 0.01})
-    spark = stats.sparkSession
-    return spark.range(1).select(
-        bright.select("brightness_low").scalar().alias("brightness_low"),
-        bright.select("brightness_high").scalar().alias("brightness_high"),
-        contrast.scalar().alias("contrast_low"),
-        blur.scalar().alias("blur_low"),
-    )
+    """One row: exact 1st and 99th percentiles of the quality features.
+
+    ``stats`` is read several times; cut its lineage when it comes from pixels.
+    """
+    return exact_quantiles(stats, {
+        "brightness_low": ("brightness", 0.01), "brightness_high": ("brightness", 0.99),
+        "contrast_low": ("contrast", 0.01), "blur_low": ("blur", 0.01),
+    })
 
 
 def outlier_reasons(stats: DataFrame, thresholds: DataFrame, common_sizes: list[tuple[int, int]]) -> DataFrame:

@@ -11,7 +11,7 @@ Columns: image_id, h, w (image), oy, ox, th, tw (core), hy, hx, hh, hw (window),
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -65,7 +65,7 @@ def mirror(coord: Column, size: Column) -> Column:
 
 
 def cell(plane: int, y: Column, x: Column, border: str) -> Column:
-    """Value at image coordinates; outside is 0, null or mirrored."""
+    """Value at image coordinates, for coordinates only known inside a loop."""
     h, w = F.col("h"), F.col("w")
     if border == "mirror":
         y, x = mirror(y, h), mirror(x, w)
@@ -73,8 +73,7 @@ def cell(plane: int, y: Column, x: Column, border: str) -> Column:
     value = F.get(F.get("planes", F.lit(plane)), index.cast("int"))
     if border == "mirror":
         return value
-    inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
-    return F.when(inside, value) if border == "null" else F.when(inside, value).otherwise(F.lit(0.0))
+    return F.when((y >= 0) & (y < h) & (x >= 0) & (x < w), value).otherwise(F.lit(0.0))
 
 
 def points(tiles: DataFrame, oh: Column, ow: Column, first_y: Column, last_y: Column, first_x: Column, last_x: Column) -> DataFrame:
@@ -86,27 +85,46 @@ def points(tiles: DataFrame, oh: Column, ow: Column, first_y: Column, last_y: Co
     return spread.withColumns({"y": F.col("_fy") + F.floor(F.col("_p") / width).cast("int"), "x": F.col("_fx") + F.col("_p") % width})
 
 
+def with_offsets(pts: DataFrame, rows: dict[int, Column], cols: dict[int, Column], border: str, planes: int = 1) -> DataFrame:
+    """Window offsets of the needed rows and columns, computed once per output position.
+
+    ``rows`` and ``cols`` map a tap offset to its image coordinate. An offset is null
+    outside the image unless the border mirrors. Keeps the generated code of a tap to one
+    addition and one array read.
+    """
+    h, w = F.col("h"), F.col("w")
+
+    def inside(c: Column, size: Column) -> Column:
+        return mirror(c, size) if border == "mirror" else F.when((c >= 0) & (c < size), c)
+
+    at = {f"_r{dy}": ((inside(c, h) - F.col("hy")) * F.col("hw")).cast("int") for dy, c in rows.items()}
+    at |= {f"_c{dx}": (inside(c, w) - F.col("hx")).cast("int") for dx, c in cols.items()}
+    at |= {f"_p{i}": F.get("planes", F.lit(i)) for i in range(planes)}
+    return pts.withColumns(at)
+
+
+def tap(plane: int, dy: int, dx: int, empty: float | None = None) -> Column:
+    """Cell at offsets prepared by ``with_offsets``."""
+    value = F.get(F.col(f"_p{plane}"), F.col(f"_r{dy}") + F.col(f"_c{dx}"))
+    return value if empty is None else F.coalesce(value, F.lit(empty))
+
+
+def around(pts: DataFrame, taps, border: str) -> DataFrame:
+    """Offsets for taps given relative to the output position."""
+    rows = {dy: F.col("y") + dy for dy in sorted({t[1] for t in taps} | {0})}
+    cols = {dx: F.col("x") + dx for dx in sorted({t[2] for t in taps} | {0})}
+    return with_offsets(pts, rows, cols, border, max([t[0] for t in taps] + [0]) + 1)
+
+
 def core_points(tiles: DataFrame) -> DataFrame:
     last = lambda o, t: F.col(o) + F.col(t) - 1
     return points(tiles, F.col("h"), F.col("w"), F.col("oy"), last("oy", "th"), F.col("ox"), last("ox", "tw"))
 
 
-def weighted_sum(taps: Sequence[tuple[int, int, int, float]], at: Callable[[int, Column, Column], Column]) -> Column:
-    """Sum over taps (plane, dy, dx, weight); long kernels loop instead of unrolling."""
-    taps = [t for t in taps if t[3] != 0]
-    if not taps:
-        return F.lit(0.0)
-    if len(taps) <= UNROLL_LIMIT:
-        total = None
-        for plane, dy, dx, weight in taps:
-            term = at(plane, F.lit(dy), F.lit(dx)) * F.lit(float(weight))
-            total = term if total is None else total + term
-        return total
-    total = F.lit(0.0)
-    for plane in sorted({t[0] for t in taps}):
-        table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(k)).alias("k")) for p, dy, dx, k in taps if p == plane])
-        total = total + F.aggregate(table, F.lit(0.0), lambda acc, t: acc + at(plane, t["dy"], t["dx"]) * t["k"])
-    return total
+def weighted_sum(taps: Sequence[tuple[int, int, int, float]], empty: float | None = None) -> Column:
+    """Sum over taps (plane, dy, dx, weight) at prepared offsets."""
+    terms = [tap(plane, dy, dx, empty) * F.lit(float(k)) for plane, dy, dx, k in taps if k != 0]
+    return sum(terms[1:], terms[0]) if terms else F.lit(0.0)
 
 
 def kernel_taps(kernel: Sequence[Sequence[float]], plane: int = 0, centred: bool = False) -> list[tuple[int, int, int, float]]:
@@ -138,8 +156,10 @@ def correlate(tiles: DataFrame, kernels: Sequence[Sequence[Sequence[Sequence[flo
     """
     kh, kw = len(kernels[0][0]), len(kernels[0][0][0])
     pts = _strided(tiles, kh, kw, pad, stride)
-    at = lambda plane, dy, dx: cell(plane, F.col("y") * stride[0] - pad[0] + dy, F.col("x") * stride[1] - pad[1] + dx, "zero")
-    outs = [weighted_sum([t for c, k in enumerate(bank) for t in kernel_taps(k, c)], at) for bank in kernels]
+    rows = {dy: F.col("y") * stride[0] - pad[0] + dy for dy in range(kh)}
+    cols = {dx: F.col("x") * stride[1] - pad[1] + dx for dx in range(kw)}
+    pts = with_offsets(pts, rows, cols, "empty", len(kernels[0]))
+    outs = [weighted_sum([t for c, k in enumerate(bank) for t in kernel_taps(k, c)], 0.0) for bank in kernels]
     if len(outs) == 1:
         return pts.select("image_id", F.lit(0).alias("c"), "y", "x", outs[0].alias("v"))
     return pts.select("image_id", "y", "x", F.posexplode(F.array(*outs)).alias("c", "v")).select("image_id", "c", "y", "x", "v")
@@ -154,25 +174,20 @@ def transpose_correlate(tiles: DataFrame, kernel: Sequence[Sequence[float]], str
     last = lambda o, t, full, k: F.when(F.col(o) + F.col(t) >= F.col(full), size(full, k) - 1).otherwise((F.col(o) + F.col(t)) * stride - pad - 1)
     pts = points(tiles, size("h", kh), size("w", kw), first("oy"), last("oy", "th", "h", kh), first("ox"), last("ox", "tw", "w", kw))
 
-    def at(plane, dy, dx):
-        ty, tx = F.col("y") + pad - dy, F.col("x") + pad - dx
-        hits = (ty % stride == 0) & (tx % stride == 0) & (ty >= 0) & (tx >= 0)
-        source = cell(plane, F.floor(ty / stride).cast("int"), F.floor(tx / stride).cast("int"), "zero")
-        return F.when(hits, source).otherwise(F.lit(0.0))
-
-    return pts.select("image_id", "y", "x", weighted_sum(kernel_taps(kernel), at).alias("v"))
+    source = lambda c, d: F.when((F.col(c) + pad - d) % stride == 0, F.floor((F.col(c) + pad - d) / stride).cast("int"))
+    pts = with_offsets(pts, {dy: source("y", dy) for dy in range(kh)}, {dx: source("x", dx) for dx in range(kw)}, "empty")
+    return pts.select("image_id", "y", "x", weighted_sum(kernel_taps(kernel), 0.0).alias("v"))
 
 
 def pool(tiles: DataFrame, size: tuple[int, int], mode: str, stride: tuple[int, int] | None = None, pad: tuple[int, int] = (0, 0)) -> DataFrame:
     """Max or average pooling; padding counts as missing for max and as 0 for average."""
     stride = stride or size
     pts = _strided(tiles, *size, pad, stride)
-    border = "null" if mode == "max" else "zero"
-    cells = [
-        cell(0, F.col("y") * stride[0] - pad[0] + dy, F.col("x") * stride[1] - pad[1] + dx, border)
-        for dy in range(size[0])
-        for dx in range(size[1])
-    ]
+    rows = {dy: F.col("y") * stride[0] - pad[0] + dy for dy in range(size[0])}
+    cols = {dx: F.col("x") * stride[1] - pad[1] + dx for dx in range(size[1])}
+    pts = with_offsets(pts, rows, cols, "empty")
+    empty = None if mode == "max" else 0.0
+    cells = [tap(0, dy, dx, empty) for dy in range(size[0]) for dx in range(size[1])]
     if mode == "max":
         value = F.greatest(*cells) if len(cells) > 1 else cells[0]
     elif mode == "avg":
@@ -184,9 +199,9 @@ def pool(tiles: DataFrame, size: tuple[int, int], mode: str, stride: tuple[int,
 
 def filter_mirror(tiles: DataFrame, kernel: Sequence[Sequence[float]], name: str = "v") -> DataFrame:
     """Centred filter of the same size with mirrored borders; keeps the source value as ``src``."""
-    at = lambda plane, dy, dx: cell(plane, F.col("y") + dy, F.col("x") + dx, "mirror")
-    pts = core_points(tiles)
-    return pts.select("image_id", "y", "x", cell(0, F.col("y"), F.col("x"), "mirror").alias("src"), weighted_sum(kernel_taps(kernel, centred=True), at).alias(name))
+    taps = [t for t in kernel_taps(kernel, centred=True) if t[3] != 0]
+    pts = around(core_points(tiles), taps, "mirror")
+    return pts.select("image_id", "y", "x", tap(0, 0, 0).alias("src"), weighted_sum(taps).alias(name))
 
 
 def gaussian_weights(size: int, sigma: float) -> list[float]:
@@ -195,8 +210,14 @@ def gaussian_weights(size: int, sigma: float) -> list[float]:
 
 
 def separable_mirror(tiles: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """Filter with the outer product of ``weights``: rows inside the tile, then columns."""
+    """Filter with the outer product of ``weights`` and mirrored borders.
+
+    Small kernels are unrolled directly. Larger ones filter the rows inside the tile
+    first, then the columns, so the work grows with the edge of the kernel.
+    """
     r = len(weights) // 2
+    if len(weights) ** 2 <= UNROLL_LIMIT:
+        return filter_mirror(tiles, [[a * b for b in weights] for a in weights]).select("image_id", "y", "x", "v")
     table = F.array(*[F.lit(float(k)) for k in weights])
 
     def row_pass(p: Column) -> Column:
@@ -207,9 +228,8 @@ def separable_mirror(tiles: DataFrame, weights: Sequence[float]) -> DataFrame:
 
     rows = F.transform(F.sequence(F.lit(0), F.col("hh") * F.col("tw") - 1), row_pass)
     first = tiles.withColumns({"planes": F.array(rows), "hx": F.col("ox"), "hw": F.col("tw")})
-    at = lambda plane, dy, dx: cell(plane, F.col("y") + dy, F.col("x") + dx, "mirror")
     taps = [(0, i - r, 0, float(k)) for i, k in enumerate(weights)]
-    return core_points(first).select("image_id", "y", "x", weighted_sum(taps, at).alias("v"))
+    return around(core_points(first), taps, "mirror").select("image_id", "y", "x", weighted_sum(taps).alias("v"))
 
 
 def box_blur(tiles: DataFrame, k: int) -> DataFrame:
@@ -222,18 +242,14 @@ def gaussian_blur(tiles: DataFrame, size: int, sigma: float) -> DataFrame:
 
 def bilateral(tiles: DataFrame, radius: int, sigma_value: float, sigma_space: float) -> DataFrame:
     """Edge-keeping mean over a disc: space weight times value weight."""
-    centre = cell(0, F.col("y"), F.col("x"), "mirror")
-    pts = core_points(tiles).withColumn("_c", centre)
-    top = bottom = None
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            if dy * dy + dx * dx > radius * radius:
-                continue
-            v = cell(0, F.col("y") + dy, F.col("x") + dx, "mirror")
-            space = math.exp(-(dy * dy + dx * dx) / (2 * sigma_space * sigma_space))
-            weight = F.exp((v - F.col("_c")) * (v - F.col("_c")) / (-2 * sigma_value * sigma_value)) * space
-            top = weight * v if top is None else top + weight * v
-            bottom = weight if bottom is None else bottom + weight
+    span = range(-radius, radius + 1)
+    taps = [(0, dy, dx, math.exp(-(dy * dy + dx * dx) / (2 * sigma_space * sigma_space))) for dy in span for dx in span if dy * dy + dx * dx <= radius * radius]
+    pts = around(core_points(tiles), taps, "mirror")
+    pts = pts.withColumns({f"_v{i}": tap(0, dy, dx) for i, (_, dy, dx, _k) in enumerate(taps)} | {"_m": tap(0, 0, 0)})
+    near = lambda i: F.col(f"_v{i}") - F.col("_m")
+    pts = pts.withColumns({f"_w{i}": F.exp(near(i) * near(i) / (-2 * sigma_value * sigma_value)) * t[3] for i, t in enumerate(taps)})
+    top = sum((F.col(f"_v{i}") * F.col(f"_w{i}") for i in range(1, len(taps))), F.col("_v0") * F.col("_w0"))
+    bottom = sum((F.col(f"_w{i}") for i in range(1, len(taps))), F.col("_w0"))
     return pts.select("image_id", "y", "x", (top / bottom).alias("v"))
 
 
@@ -247,11 +263,3 @@ def bilinear_kernel(size: int) -> list[list[float]]:
     centre = factor - 1 if size % 2 == 1 else factor - 0.5
     line = [1 - abs(i - centre) / factor for i in range(size)]
     return [[a * b for b in line] for a in line]
-
-
-def gradients(tiles: DataFrame) -> DataFrame:
-    """Sobel gradients and their L1 magnitude with mirrored borders."""
-    at = lambda plane, dy, dx: cell(plane, F.col("y") + dy, F.col("x") + dx, "mirror")
-    gx = weighted_sum(kernel_taps(SOBEL_X, centred=True), at)
-    gy = weighted_sum(kernel_taps(SOBEL_Y, centred=True), at)
-    return core_points(tiles).select("image_id", "h", "w", "y", "x", gx.alias("gx"), gy.alias("gy")).withColumn("m", F.abs("gx") + F.abs("gy"))

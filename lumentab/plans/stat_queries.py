@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from lumentab.functions.numeric import r6
 from lumentab.operators import linalg as M, pixels as P, stats as A, stencils as W
-from lumentab.operators.ranking import exact_quantiles, running_sum
+from lumentab.operators.ranking import running_sum
 from lumentab.plans import views as V
 from lumentab.plans.pixel_queries import HSV
 from lumentab.plans.sqltext import R, SAT
 from lumentab.plans.views import duck
+from lumentab.session import cut_lineage
 
 Q = {}
 
@@ -89,7 +90,7 @@ THRESH_SQL = f"select {R('quantile_cont(brightness,1e-2)')} brightness_low, {R('
 
 @query("A06_percentile_thresholds", THRESH_SQL, extra=PX_STATS)
 def _(s, d):
-    t = A.quality_thresholds(px_stats6(s, d))
+    t = A.quality_thresholds(cut_lineage(px_stats6(s, d)))
     return t.select(*[r6(c).alias(c) for c in t.columns])
 
 
@@ -102,7 +103,7 @@ COMMON = [(303, 412), (252, 296)]
 
 
 def outliers(s, d):
-    st = px_stats6(s, d)
+    st = cut_lineage(px_stats6(s, d))
     # every width below 330 counts as common here; the rule itself takes a list of sizes
     wide = st.withColumn("h", F.when(F.col("w") < 330, 412).otherwise(F.col("h"))).withColumn("w", F.when(F.col("w") < 330, 303).otherwise(F.col("w")))
     found = A.outlier_reasons(wide, A.quality_thresholds(st), COMMON)

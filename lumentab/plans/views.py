@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumentab.functions.hashing import coefficient_bits
 from lumentab.functions.numeric import let
 from lumentab.operators.predictions import linear_scores
+from lumentab.session import spread
 
 SIDE = 8
 CLASSES = 10
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def rasters(spark, sf) -> DataFrame:
     """One row per image: image_id, h, w and the row-major cells."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("image_id"),
         F.lit(SIDE).alias("h"),
         F.lit(SIDE).alias("w"),
@@ -107,7 +108,7 @@ def mat_b(spark, sf) -> DataFrame:
 
 def phash_base(spark, sf) -> DataFrame:
     """63 median bits of each embedding; bit 63 stays 0 in this view."""
-    return table(spark, sf, "embeddings").select(
+    return spread(table(spark, sf, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("image_id"),
         "label",
         coefficient_bits(F.col("embedding").cast("array<double>")).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"),
@@ -142,7 +143,7 @@ def hashes(spark, sf) -> DataFrame:
 
 def class_scores(spark, sf) -> DataFrame:
     """image_id, label and the array of class scores in class order (stays one row per image)."""
-    vectors = table(spark, sf, "embeddings").select(F.struct("vec_id", "label").alias("id"), F.col("embedding").alias("v"))
+    vectors = spread(table(spark, sf, "embeddings"), "vec_id").select(F.struct("vec_id", "label").alias("id"), F.col("embedding").alias("v"))
     scored = linear_scores(vectors, centroid(spark, sf), 20.0)
     rounded = F.transform("scores", lambda c: F.struct(c["class_index"].alias("class_index"), F.round(c["z"], 6).alias("z")))
     return scored.select(F.col("id.vec_id").alias("image_id"), F.col("id.label").alias("label"), rounded.alias("s"))

@@ -38,3 +38,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a shared folder before running on a cluster")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lumentab-checkpoint-"))
     return df.checkpoint(eager=eager)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a small file scan one partition per core before a costly per-row step.
+
+    Large scans have more splits than cores and come back unchanged. Only for plans that
+    start at files: the split count is read from the plan, nothing runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -106,7 +106,7 @@ def assign_anchors(anchors: DataFrame, truths: DataFrame, threshold: float = 0.5
     IoU 0 follow at the end, which pairs the remaining truths with the remaining anchors in
     number order. Other anchors take their best truth when its IoU reaches the threshold.
     """
-    pairs = overlap_pairs(anchors, truths)
+    pairs = cut_lineage(overlap_pairs(anchors, truths).select("image_id", "ka", "kb", "iou"))  # read by both rules
     crowded = crowded_images(anchors.select("image_id").unionByName(truths.select("image_id")), fold_limit)
     greedy = greedy_match(pairs, ["image_id"], [(-F.col("iou")).alias("o")], crowded).select("image_id", F.col("ka").alias("k"), F.col("kb").alias("truth"))
     left_truths = truths.select("image_id", F.col("k").alias("truth")).join(greedy.select("image_id", "truth"), ["image_id", "truth"], "left_anti")
@@ -228,6 +228,7 @@ def average_precision(truths: DataFrame, detections: DataFrame, thresholds: list
     hits = matched.select(*keys, "threshold", F.col("ka").alias("k"), F.lit(1).alias("hit"))
     every = detections.select(*keys, F.col("k").cast("int").alias("k"), "score").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     scored = every.join(hits, [*keys, "threshold", "k"], "left").withColumns({"hit": F.coalesce("hit", F.lit(0)).cast("bigint"), "neg": -F.col("score")})
+    scored = cut_lineage(scored)  # read by the slice totals, the curve and the counts
     order = ["neg", "image_id", "k"]
     keys_only = detections.select((-F.col("score")).alias("neg"), "image_id", F.col("k").cast("int").alias("k"))
     curve = running_sums(scored, order, {"tp": F.col("hit"), "seen": F.lit(1).cast("bigint")}, ["class_index", "threshold"], sample_from=keys_only)

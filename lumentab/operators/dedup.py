@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lumentab.functions.hashing import hamming
 from lumentab.operators.graph import components
 from lumentab.operators.ranking import row_numbers
+from lumentab.operators.splits import group_owners, grouped_split
 from lumentab.session import cut_lineage
 
 REASON = "exact duplicate with conflicting class label"
@@ -119,7 +120,8 @@ def near_code_pairs(codes: DataFrame, phash_limit: int = 6, dhash_limit: int = 6
         ready = marked.select("*", "f.*").drop("f", "hot")
     side = lambda n: ready.select(*on, F.col("code_id").alias(f"{n}_id"), F.col("phash").alias(f"p_{n}"), F.col("dhash").alias(f"d_{n}"))
     pdiff, ddiff = F.col("p_first").bitwiseXOR(F.col("p_second")), F.col("d_first").bitwiseXOR(F.col("d_second"))
-    pairs = side("first").join(side("second"), on).filter(F.col("first_id") < F.col("second_id"))
+    # merge join: the planner does not count the copies per row, so its size check is void here
+    pairs = side("first").hint("merge").join(side("second"), on).filter(F.col("first_id") < F.col("second_id"))
     pairs = pairs.withColumns({"phash_distance": F.bit_count(pdiff), "dhash_distance": F.bit_count(ddiff)})
     near = pairs.filter((F.col("phash_distance") <= phash_limit) & (F.col("dhash_distance") <= dhash_limit))
     once = F.col("band") == _first_agreeing(pdiff, pm) * len(dm) + _first_agreeing(ddiff, dm)
@@ -238,6 +240,16 @@ def similarity_groups(labelled: DataFrame) -> DataFrame:
     return labelled.join(numbered, "component").select("image_id", "class_index", "group_id", "group_size", (F.col("group_size") > 1).alias("is_similarity_group"))
 
 
+def split_manifest(hashes: DataFrame, seed: int = 42, **limits) -> DataFrame:
+    """Hashes to the leak-free split manifest: pairs, components, groups, grouped split.
+
+    The group table is written once, since the split plan and the manifest both read it.
+    """
+    groups = cut_lineage(similarity_groups(similarity_components(hashes, **limits)))
+    placed = grouped_split(group_owners(groups), seed).select("group_id", "split")
+    return groups.join(placed, "group_id").select("image_id", "class_index", "group_id", "group_size", "split")
+
+
 def group_size_report(groups: DataFrame) -> DataFrame:
     """Per group size: groups, and how many of them hold more than one class."""
     per = groups.groupBy("group_id").agg(F.count("*").alias("group_size"), (F.min("class_index") != F.max("class_index")).alias("cross"))

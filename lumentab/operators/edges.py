@@ -39,8 +39,10 @@ def ridge_pixels(tiles: DataFrame, low: float, high: float) -> DataFrame:
         .when(F.col("gx") * F.col("gy") > 0, maximal((-1, -1), (1, 1)))
         .otherwise(maximal((-1, 1), (1, -1)))
     )
-    flagged = pts.select("image_id", "y", "x", m.alias("m"), along.alias("ridge"))
-    return flagged.filter((F.col("m") > low) & F.col("ridge")).select("image_id", "y", "x", "m", (F.col("m") > high).alias("strong"))
+    pts = pts.select("image_id", "y", "x", m.alias("m"), along.alias("ridge"))
+    # an empty list drops a pixel; a filter would be pushed below and copy all of the above
+    found = F.when((F.col("m") > low) & F.col("ridge"), F.array(F.col("m"))).otherwise(F.array().cast("array<double>"))
+    return pts.select("image_id", "y", "x", F.explode(found).alias("m")).withColumn("strong", F.col("m") > high)
 
 
 def edge_map(tiles: DataFrame, low: float = 80.0, high: float = 160.0) -> DataFrame:

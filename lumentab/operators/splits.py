@@ -16,9 +16,9 @@ def seeded_key(seed: int | str, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def _fill(deficits: list[Column], step: Column, n: Column) -> Column:
+def _fill(deficits: Column, step: Column, n: Column) -> Column:
     """How many of ``n`` equal groups each split receives when every group goes to the
-    largest remaining deficit.
+    largest remaining deficit (``deficits`` is an array in split order).
 
     Split k's t-th group is taken at level d_k - t*step, so the n groups are the n highest
     levels of three falling sequences. The lowest level taken is found by bisection; among
@@ -26,35 +26,40 @@ def _fill(deficits: list[Column], step: Column, n: Column) -> Column:
     means the smaller target, then the split order.
     """
     order = sorted(range(len(SPLITS)), key=lambda k: (PERCENT[k], k))
-
-    def taken(level: Column) -> list[Column]:
-        return [F.when(d >= level, ((d - level - (d - level) % step) / step).cast("bigint") + 1).otherwise(F.lit(0).cast("bigint")) for d in deficits]
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = F.floor((state["lo"] + state["hi"]) / 2).cast("bigint")
-        enough = sum(taken(middle)[1:], taken(middle)[0]) >= n
-        open_ = state["hi"] - state["lo"] > 1
-        return F.struct(
-            F.when(open_ & enough, middle).otherwise(state["lo"]).alias("lo"),
-            F.when(open_ & ~enough, middle).otherwise(state["hi"]).alias("hi"),
-        )
-
-    top = F.greatest(*deficits)
-    start = F.struct((top - n * step).cast("bigint").alias("lo"), (top + 1).cast("bigint").alias("hi"))
-    level = F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, halve, lambda s: s["lo"])
-
-    def settle(lv: Column) -> Column:
-        counts = taken(lv)
-        excess = sum(counts[1:], counts[0]) - n
-        out: list[Column] = list(counts)
+    zero = F.lit(0).cast("bigint")
+
+    def taken(d: Column, level: Column) -> Column:
+        return F.when(d >= level, ((d - level - (d - level) % step) / step).cast("bigint") + 1).otherwise(zero)
+
+    def search(ds: Column) -> Column:
+        def halve(state: Column, _: Column) -> Column:
+            middle = F.floor((state["lo"] + state["hi"]) / 2).cast("bigint")
+            enough = F.aggregate(ds, zero, lambda acc, d: acc + taken(d, middle)) >= n
+            open_ = state["hi"] - state["lo"] > 1
+            return F.struct(
+                F.when(open_ & enough, middle).otherwise(state["lo"]).alias("lo"),
+                F.when(open_ & ~enough, middle).otherwise(state["hi"]).alias("hi"),
+            )
+
+        top = F.array_max(ds)
+        start = F.struct((top - n * step).cast("bigint").alias("lo"), (top + 1).cast("bigint").alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(BISECTION_STEPS)), start, halve, lambda s: s["lo"])
+
+    def settle(ds: Column, level: Column, counts: Column) -> Column:
+        excess = F.aggregate(counts, zero, lambda acc, c: acc + c) - n
+        out: dict[int, Column] = {}
         for k in reversed(order):
-            at_level = (deficits[k] >= lv) & ((deficits[k] - lv) % step == 0)
+            d = F.get(ds, F.lit(k))
+            at_level = (d >= level) & ((d - level) % step == 0)
             drop = F.when(at_level & (excess > 0), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-            out[k] = counts[k] - drop
+            out[k] = F.get(counts, F.lit(k)) - drop
             excess = excess - drop
-        return F.array(*out)
+        return F.array(*[out[k] for k in range(len(SPLITS))])
+
+    def with_level(ds: Column, level: Column) -> Column:
+        return let(F.transform(ds, lambda d: taken(d, level)), lambda counts: settle(ds, level, counts))
 
-    return let(level, settle)
+    return let(deficits, lambda ds: let(search(ds), lambda level: with_level(ds, level)))
 
 
 def grouped_split(groups: DataFrame, seed: int = 42) -> DataFrame:
@@ -75,8 +80,8 @@ def grouped_split(groups: DataFrame, seed: int = 42) -> DataFrame:
     lists = runs.groupBy("class_index").agg(F.sort_array(F.collect_list(F.struct((-F.col("group_size")).alias("neg"), "n", "first_rank"))).alias("runs"))
     plan = lists.join(totals, "class_index")
 
-    def deficits(assigned: Column) -> list[Column]:
-        return [F.col("_total") * PERCENT[k] - F.get(assigned, F.lit(k)) * 100 for k in range(3)]
+    def deficits(assigned: Column) -> Column:
+        return F.array(*[F.col("_total") * PERCENT[k] - F.get(assigned, F.lit(k)) * 100 for k in range(3)])
 
     def walk(state: Column, run: Column) -> Column:
         width = -run["neg"].cast("bigint")

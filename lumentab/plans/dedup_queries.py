@@ -144,9 +144,7 @@ def _(s, d):
 
 @pair_query("G03_grouped_split", "select g.image_id, g.class_index, g.group_id, g.group_size, w.split from groups g join walk w on g.group_id=w.group_id")
 def _(s, d):
-    g = groups(s, d)
-    placed = S.grouped_split(S.group_owners(g), 42).select("group_id", "split")
-    return g.join(placed, "group_id").select("image_id", "class_index", "group_id", "group_size", "split")
+    return D.split_manifest(V.hashes(s, d), 42)
 
 
 @pair_query("G04_split_violations", "select 'group_in_two_classes' violation, group_id \"key\", count(distinct class_index) n from groups group by 2 having count(distinct class_index)>1 union all select 'class_with_few_groups', cast(class_index as varchar), count(distinct group_id) from groups group by 2 having count(distinct group_id)<3")

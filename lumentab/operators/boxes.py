@@ -13,7 +13,7 @@ from lumentab.functions.geometry import CORNERS, decode_offsets, encode_offsets,
 from lumentab.operators.ranking import row_numbers, running_sums
 from lumentab.session import cut_lineage
 
-FOLD_LIMIT = 2000
+FOLD_LIMIT = 512
 
 
 def _gridded(boxes: DataFrame, cell: float) -> DataFrame:
@@ -233,7 +233,7 @@ def average_precision(truths: DataFrame, detections: DataFrame, thresholds: list
     keys_only = detections.select((-F.col("score")).alias("neg"), "image_id", F.col("k").cast("int").alias("k"))
     curve = running_sums(scored, order, {"tp": F.col("hit"), "seen": F.lit(1).cast("bigint")}, ["class_index", "threshold"], sample_from=keys_only)
     counts = truths.groupBy("class_index").agg(F.count("*").alias("truths"))
-    c = curve.join(F.broadcast(counts), "class_index").withColumns({"recall": F.col("tp") / F.col("truths"), "precision": F.col("tp") / F.col("seen")})
+    c = curve.join(counts, "class_index").withColumns({"recall": F.col("tp") / F.col("truths"), "precision": F.col("tp") / F.col("seen")})
     steps = c.groupBy("class_index", "threshold", F.floor(F.col("tp") * 100 / F.col("truths")).alias("step")).agg(F.max("precision").alias("best"))
     # recall levels 0, 0.01, ..., 1: the best precision at or beyond the level
     filled = steps.groupBy("class_index", "threshold").agg(F.map_from_entries(F.collect_list(F.struct("step", "best"))).alias("m"))
@@ -242,6 +242,6 @@ def average_precision(truths: DataFrame, detections: DataFrame, thresholds: list
     env = grid.withColumn("best", F.max(F.try_element_at("m", F.col("level").cast("bigint"))).over(onward))
     ap = env.groupBy("class_index", "threshold").agg((F.sum(F.coalesce("best", F.lit(0.0))) / 101).alias("ap"))
     totals = scored.groupBy("class_index", "threshold").agg(F.sum("hit").alias("tp"), F.count("*").alias("detections"))
-    return totals.join(ap, ["class_index", "threshold"]).join(F.broadcast(counts), "class_index").select(
+    return totals.join(ap, ["class_index", "threshold"]).join(counts, "class_index").select(
         "class_index", "threshold", "truths", "detections", "tp", (F.col("tp") / F.col("detections")).alias("precision"), (F.col("tp") / F.col("truths")).alias("recall"), "ap"
     )

@@ -16,7 +16,13 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def linear_fit(df: DataFrame, label: str, penalty: float = 0.0):
-    """Least squares on ``features``; the normal-equation solver needs one pass over the data."""
+    """Least squares with penalty * |w|^2 / 2 on the mean half squared error.
+
+    The normal-equation solver needs one pass. It divides its parameter by the label's
+    deviation, which is undone here, so that ``penalty`` means the same at any label scale.
+    """
+    if penalty:
+        penalty *= df.agg(F.stddev_pop(label)).first()[0]
     return LinearRegression(featuresCol="features", labelCol=label, regParam=penalty, elasticNetParam=0.0, standardization=False, solver="normal").fit(df)
 
 

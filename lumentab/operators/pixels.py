@@ -202,8 +202,8 @@ def class_colours(df: DataFrame, column: str) -> DataFrame:
 
 
 def apply_lut(px: DataFrame, lut: DataFrame) -> DataFrame:
-    """Look every v up in a table of at most 256 rows keyed by ``v``."""
-    return px.join(F.broadcast(lut.limit(256)), "v")
+    """Look every v up in a caller's table keyed by ``v``; the planner broadcasts it after its size check."""
+    return px.join(lut, "v")
 
 
 def trimap_to_mask(px: DataFrame, background: int = 2) -> DataFrame:

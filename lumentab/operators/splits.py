@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumentab.functions.numeric import let
 from lumentab.operators.ranking import row_numbers
+from lumentab.session import cut_lineage
 
 SPLITS = ("train", "validation", "test")
 PERCENT = (70, 15, 15)
@@ -214,7 +215,7 @@ def adjacent_across_splits(manifest: DataFrame, max_gap: int, order: list[str])
     """
     if max_gap < 0:
         raise ValueError("max_gap must not be negative")
-    numbered = row_numbers(manifest.filter(F.col(order[0]).isNotNull()), order, "_r", ["class_index"])
+    numbered = cut_lineage(row_numbers(manifest.filter(F.col(order[0]).isNotNull()), order, "_r", ["class_index"]))  # read twice
     left = numbered.select("class_index", (F.col("_r") + 1).alias("_r"), F.col("number").alias("n1"), F.col("stem").alias("first_path"), F.col("split").alias("first_split"))
     right = numbered.select("class_index", "_r", F.col("number").alias("n2"), F.col("stem").alias("second_path"), F.col("split").alias("second_split"))
     gap = F.col("n2") - F.col("n1")

@@ -142,7 +142,7 @@ def _(s, d):
     return m.select(r6("i").alias("internal"), r6("e").alias("external_"), r6(F.col("i") - F.col("e")).alias("gap"))
 
 
-@query("K01_top_k", f"select image_id, k, class_index, printf('class_%02d',class_index) class_name, {R('p')} p from preds_topk")
+@query("K01_top_k", f"select image_id, cast(k as int) k, class_index, printf('class_%02d',class_index) class_name, {R('p')} p from preds_topk")
 def _(s, d):
     t = P.top_k(V.probs(s, d), 3, 10)
     return t.select("image_id", "k", "class_index", F.format_string("class_%02d", "class_index").alias("class_name"), r6("p").alias("p"))
@@ -278,12 +278,12 @@ def rounded_boxes(df, *keys):
     return df.select(*keys, *[r6(c).alias(c) for c in G.CORNERS])
 
 
-@query("B03_anchor_grid", f"select image_id, k, {R('x1')} x1, {R('y1')} y1, {R('x2')} x2, {R('y2')} y2 from ({anchor_sql(64, 0)}) q")
+@query("B03_anchor_grid", f"select image_id, cast(k as int) k, {R('x1')} x1, {R('y1')} y1, {R('x2')} x2, {R('y2')} y2 from ({anchor_sql(64, 0)}) q")
 def _(s, d):
     return rounded_boxes(B.anchor_grid(maps(s, d, 64), SIZES, RATIOS), "image_id", "k")
 
 
-@query("U03_stacked_levels", f"select image_id, level, k, position, {R('x1')} x1, {R('y1')} y1, {R('x2')} x2, {R('y2')} y2 from (select a.*, k + case level when 0 then 0 when 1 then s0 else s0+s1 end position from (select * from l0 union all select * from l1 union all select * from l2) a join (select image_id, greatest(1,h//128)*greatest(1,w//128)*5 s0, greatest(1,h//256)*greatest(1,w//256)*5 s1 from img_dims) g using (image_id)) q",
+@query("U03_stacked_levels", f"select image_id, level, cast(k as int) k, position, {R('x1')} x1, {R('y1')} y1, {R('x2')} x2, {R('y2')} y2 from (select a.*, k + case level when 0 then 0 when 1 then s0 else s0+s1 end position from (select * from l0 union all select * from l1 union all select * from l2) a join (select image_id, greatest(1,h//128)*greatest(1,w//128)*5 s0, greatest(1,h//256)*greatest(1,w//256)*5 s1 from img_dims) g using (image_id)) q",
        extra={"l0": anchor_sql(128, 0), "l1": anchor_sql(256, 1), "l2": anchor_sql(512, 2)})
 def _(s, d):
     divs = (128, 256, 512)
@@ -305,7 +305,7 @@ ASSIGN = {
 OFFS = ["dx", "dy", "dw", "dh"]
 
 
-@query("B04_anchor_assignment", "select image_id, k, truth from assigned", extra=ASSIGN, recursive=True)
+@query("B04_anchor_assignment", "select image_id, cast(k as int) k, cast(truth as int) truth from assigned", extra=ASSIGN, recursive=True)
 def _(s, d):
     return B.assign_anchors(det(s, d), truth(s, d))
 
@@ -316,7 +316,7 @@ def _(s, d):
     return t.select("image_id", "k", *[r6(c).alias(c) for c in OFFS])
 
 
-@query("B06_anchor_targets", "select image_id, k, truth, target_class, mask, " + ", ".join(f"{R(c)} {c}" for c in OFFS) + " from targets", extra=ASSIGN, recursive=True)
+@query("B06_anchor_targets", "select image_id, k, cast(truth as int) truth, target_class, mask, " + ", ".join(f"{R(c)} {c}" for c in OFFS) + " from targets", extra=ASSIGN, recursive=True)
 def _(s, d):
     t = B.anchor_targets(det(s, d), truth(s, d))
     return t.select("image_id", "k", "truth", "target_class", "mask", *[r6(c).alias(c) for c in OFFS])
@@ -391,24 +391,29 @@ def _(s, d):
     return detected_per_group(V.img_dims(s, d).select("image_id", "class_index"), det(s, d).filter("score >= 0.9"), "class_index")
 
 
-AP = {
-    **DET,
-    "cand": "select i.image_id, i.ka, i.kb, i.iou, d.class_index, d.score from ious i join det d on d.image_id=i.image_id and d.k=i.ka join tru t on t.image_id=i.image_id and t.k=i.kb and t.class_index=d.class_index where i.iou>=5e-1",
-    "match": """select image_id, class_index, 0 step, []::bigint[] a, []::bigint[] b from (select distinct image_id, class_index from cand) z
-      union all select w.image_id, w.class_index, w.step+1, list_append(w.a,n.ka), list_append(w.b,n.kb) from match w, lateral (select ka, kb from cand c where c.image_id=w.image_id and c.class_index=w.class_index and not list_contains(w.a,c.ka) and not list_contains(w.b,c.kb) order by score desc, ka, iou desc limit 1) n""",
-    "hits": "select distinct image_id, unnest(a) k from match",
-    "curve": "select d.class_index, d.image_id, d.k, case when h.k is null then 0 else 1 end hit, sum(case when h.k is null then 0 else 1 end) over w tp, count(*) over w seen from det d left join hits h on h.image_id=d.image_id and h.k=d.k window w as (partition by d.class_index order by d.score desc, d.image_id, d.k rows between unbounded preceding and current row)",
-    "tcount": "select class_index, count(*) truths from tru group by 1",
-}
+def ap_views(thresholds: str) -> dict[str, str]:
+    """Greedy matching and precision-recall curve for the listed IoU thresholds."""
+    return {
+        **DET,
+        "levels": thresholds,
+        "cand": "select i.image_id, th, i.ka, i.kb, i.iou, d.class_index, d.score from ious i join det d on d.image_id=i.image_id and d.k=i.ka join tru t on t.image_id=i.image_id and t.k=i.kb and t.class_index=d.class_index join levels on i.iou>=th",
+        "matching": """select image_id, class_index, th, 0 step, []::bigint[] a, []::bigint[] b from (select distinct image_id, class_index, th from cand) z
+      union all select w.image_id, w.class_index, w.th, w.step+1, list_append(w.a,n.ka), list_append(w.b,n.kb) from matching w, lateral (select ka, kb from cand c where c.image_id=w.image_id and c.class_index=w.class_index and c.th=w.th and not list_contains(w.a,c.ka) and not list_contains(w.b,c.kb) order by score desc, ka, iou desc limit 1) n""",
+        "hits": "select distinct image_id, th, unnest(a) k from matching",
+        "curve": "select d.class_index, l.th, d.image_id, d.k, case when h.k is null then 0 else 1 end hit, sum(case when h.k is null then 0 else 1 end) over w tp, count(*) over w seen from det d cross join levels l left join hits h on h.image_id=d.image_id and h.k=d.k and h.th=l.th window w as (partition by d.class_index, l.th order by d.score desc, d.image_id, d.k rows between unbounded preceding and current row)",
+        "tcount": "select class_index, count(*) truths from tru group by 1",
+        "stepbest": "select c.class_index, th, cast(floor(tp*100/truths) as bigint) lv, max(tp/seen) best from curve c join tcount t on c.class_index=t.class_index group by 1,2,3",
+        "ap_rows": "select c.class_index, c.th, t.truths, count(*) detections, sum(hit)::bigint tp, (select sum(coalesce((select max(best) from stepbest q where q.class_index=c.class_index and q.th=c.th and q.lv>=l),0))/101 from range(0,101) r(l)) ap from curve c join tcount t on c.class_index=t.class_index group by 1,2,3",
+    }
 
 
-@query("A27_average_precision", f"select c.class_index, 5e-1 as threshold, t.truths, count(*) detections, sum(hit)::bigint tp, {R('sum(hit)/count(*)')} \"precision\", {R('sum(hit)/t.truths')} recall, {R('(select sum(coalesce((select max(q.tp/q.seen) from curve q where q.class_index=c.class_index and floor(q.tp*100/t.truths)>=l),0))/101 from range(0,101) r(l))')} ap from curve c join tcount t on c.class_index=t.class_index group by c.class_index, t.truths", extra=AP, recursive=True)
+@query("A27_average_precision", f"select class_index, th as threshold, truths, detections, tp, {R('tp/detections')} \"precision\", {R('tp/truths')} recall, {R('ap')} ap from ap_rows", extra=ap_views("select 5e-1 th"), recursive=True)
 def _(s, d):
     t = B.average_precision(truth(s, d), det(s, d), [0.5])
     return t.select("class_index", "threshold", "truths", "detections", "tp", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("ap").alias("ap"))
 
 
-@query("A27_mean_average_precision")
+@query("A27_mean_average_precision", f"select {R('avg(case when th=5e-1 then ap end)')} map50, {R('avg(ap)')} map50_95 from ap_rows", extra=ap_views("select 5e-1+5e-2*i th from range(0,10) r(i)"), recursive=True)
 def _(s, d):
     t = B.average_precision(truth(s, d), det(s, d), [0.5 + 0.05 * i for i in range(10)])
     return t.agg(r6(F.avg(F.when(F.col("threshold") == 0.5, F.col("ap")))).alias("map50"), r6(F.avg("ap")).alias("map50_95"))

@@ -15,7 +15,7 @@ from lumentab.operators.stencils import tiles_from_rasters
 from lumentab.plans import views as V
 from lumentab.plans.sqltext import R, U
 from lumentab.plans.views import duck
-from lumentab.sources import images as I, labels as L, paths as Pa
+from lumentab.sources import datasets as Ds, images as I, labels as L, paths as Pa
 from lumentab.sources.folders import run_folder
 from lumentab.streaming import frames as St
 
@@ -294,15 +294,25 @@ def _(s, d):
     return line.select(r6("slope").alias("slope"), r6("intercept").alias("intercept"))
 
 
-@query("L01_linear_regression")
+RIDGE = {
+    **SYN,
+    "moments": "select var_pop(x0) v0, var_pop(x1) v1, covar_pop(x0,x1) c, covar_pop(x0,y) c0, covar_pop(x1,y) c1, avg(x0) m0, avg(x1) m1, avg(y) my from syn",
+    "solved": "select *, (c0*(v1+l)-c1*c)/((v0+l)*(v1+l)-c*c) w0, (c1*(v0+l)-c0*c)/((v0+l)*(v1+l)-c*c) w1 from moments, (select unnest([0e0,3e0,5e0]) l) q",
+    "lines": "select *, my-w0*m0-w1*m1 bias from solved",
+}
+
+
+@query("L01_linear_regression", f"select {R('w0')} w0, {R('w1')} w1, {R('bias')} bias from lines where l=0", extra=RIDGE)
 def _(s, d):
     t = Mo.linear_fit(Mo.assemble(synthetic(s, d), ["x0", "x1"]), "y")
-    return s.createDataFrame([(float(t.coefficients[0]), float(t.coefficients[1]), float(t.intercept))], "w0 double, w1 double, bias double")
+    line = s.createDataFrame([(float(t.coefficients[0]), float(t.coefficients[1]), float(t.intercept))], "w0 double, w1 double, bias double")
+    return line.select(*[r6(c).alias(c) for c in ("w0", "w1", "bias")])
 
 
-@query("L02_ridge_sweep")
+@query("L02_ridge_sweep", f"select l penalty, {R('sqrt(w0*w0+w1*w1)')} weight_norm, {R('bias')} \"intercept\", {R('avg((y-w0*x0-w1*x1-bias)*(y-w0*x0-w1*x1-bias))')} mse from syn, lines group by l, w0, w1, bias", extra=RIDGE)
 def _(s, d):
-    return Mo.fit_report(Mo.assemble(synthetic(s, d), ["x0", "x1"]), "y", [0.0, 3.0, 5.0])
+    t = Mo.fit_report(Mo.assemble(synthetic(s, d), ["x0", "x1"]), "y", [0.0, 3.0, 5.0])
+    return t.select("penalty", *[r6(c).alias(c) for c in ("weight_norm", "intercept", "mse")])
 
 
 def vectors(s, d):
@@ -321,10 +331,18 @@ def _(s, d):
     return Mo.accuracy(model, data)
 
 
-@query("L09_k_fold_log_rmse")
+FOLDS = {
+    "scaled": "select id, price, coalesce((size-(select avg(size) from house))/(select stddev_samp(size) from house),0) z from house",
+    "blocks": "select *, (row_number() over (order by id)-1)//(count(*) over ()//5) block from scaled",
+    "folds": "select *, cast(f as int) fold, case when block=f then 'valid' else 'train' end part from blocks, range(0,5) t(f) where block<5",
+    "fits": "select fold, regr_slope(price,z) a, regr_intercept(price,z) b from folds where part='train' group by 1",
+}
+
+
+@query("L09_k_fold_log_rmse", f"select fold, part, {R('sqrt(avg(pow(ln(greatest(a*z+b,1))-ln(price),2)))')} log_rmse from folds join fits using (fold) group by 1,2", extra=FOLDS)
 def _(s, d):
     h = Fe.standardise(V.house(s, d), ["size"])
-    return Mo.k_fold_log_rmse(h, "id", "price", ["size"], 5)
+    return Mo.k_fold_log_rmse(h, "id", "price", ["size"], 5).select("fold", "part", r6("log_rmse").alias("log_rmse"))
 
 
 @query("L10_fit_complexity")
@@ -362,6 +380,17 @@ def _(s, d):
     return r.select("image_id", big.alias("big")).select("image_id", to_hex16(perceptual_hash(F.col("big"))).alias("phash"))
 
 
+@query("dataset_split_reader", f"select m.image_id, m.class_index, {R('avg(p.v)')} mean_v from manifest m join px p on p.image_id=m.image_id where m.split='test' group by 1,2")
+def _(s, d):
+    path = run_folder(s, "dataset")
+    m = V.manifest(s, d).withColumn("class_name", F.format_string("class_%02d", "class_index"))
+    L.write_manifest(m.select("image_id", "class_name", "class_index", "split"), path)
+    mapping = J.class_map(m, "class_name")
+    rows = Ds.load_split(s, path, "test", V.rasters(s, d), mapping, "image_id", "class_name", "class_index")
+    mean = F.aggregate("cells", F.lit(0.0), lambda acc, v: acc + v) / F.size("cells")
+    return rows.select("image_id", "class_index", r6(mean).alias("mean_v"))
+
+
 @query("scorer_hook", f"select vec_id, {R('s')} score from (select vec_id, sum(cast(embedding[i] as double)*i) s from embeddings, range(1,65) r(i) group by 1) q")
 def _(s, d):
     def linear(batch):

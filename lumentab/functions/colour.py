@@ -25,19 +25,16 @@ def gray(b: Column, g: Column, r: Column) -> Column:
     return saturate(r * 0.299 + g * 0.587 + b * 0.114)
 
 
-def hsv(b: Column, g: Column, r: Column) -> list[Column]:
-    """8-bit hue in [0, 180), saturation and value."""
-    top, low = F.greatest(b, g, r), F.least(b, g, r)
+def hsv(b: Column, g: Column, r: Column, top: Column | None = None, low: Column | None = None) -> list[Column]:
+    """8-bit hue in [0, 180), saturation and value; ``top`` and ``low`` may be columns made before."""
+    top = F.greatest(b, g, r) if top is None else top
+    low = F.least(b, g, r) if low is None else low
     span = (top - low).cast("double")
-    safe = F.when(span == 0, F.lit(1.0)).otherwise(span)
-    angle = (
-        F.when(span == 0, F.lit(0.0))
-        .when(top == r, (g - b) * 60.0 / safe)
-        .when(top == g, (b - r) * 60.0 / safe + 120.0)
-        .otherwise((r - g) * 60.0 / safe + 240.0)
-    )
-    turned = F.when(angle < 0, angle + 360.0).otherwise(angle)
-    hue = (F.rint(turned / 2.0) % 180).cast("int")
+    # sector offset and signed difference first, so that one division remains
+    part = F.when(top == r, g - b).when(top == g, b - r).otherwise(r - g)
+    offset = F.when(top == r, F.lit(0.0)).when(top == g, F.lit(120.0)).otherwise(F.lit(240.0))
+    angle = F.when(span == 0, F.lit(0.0)).otherwise(part * 60.0 / F.when(span == 0, F.lit(1.0)).otherwise(span) + offset)
+    hue = F.pmod(F.rint((angle + F.when((top == r) & (g < b), F.lit(360.0)).otherwise(F.lit(0.0))) / 2.0), F.lit(180.0)).cast("int")
     sat = F.when(top == 0, F.lit(0)).otherwise(saturate(span * 255.0 / F.when(top == 0, 1).otherwise(top)))
     return [hue.alias("h"), sat.alias("s"), top.alias("v")]
 

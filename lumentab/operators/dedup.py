@@ -51,19 +51,28 @@ def exclusions(conflicts: DataFrame, key: str) -> DataFrame:
 # ---- near duplicates --------------------------------------------------------------------
 
 
-def block_masks(radius: int, picks: int = 1) -> list[int]:
+def block_masks(radius: int, picks: int = 1, bits: list[int] | None = None) -> list[int]:
     """Bit masks such that two 64-bit numbers within ``radius`` agree on at least one.
 
-    64 bits are cut into radius + picks blocks; at most ``radius`` blocks can differ, so
-    some ``picks`` blocks agree. More picks give longer keys (fewer candidates) and more
-    masks (more copies of each row).
+    The bits are dealt in turn to radius + picks blocks; at most ``radius`` blocks can
+    differ, so some ``picks`` blocks agree. Dealing in turn spreads runs of constant bits
+    (plain image regions) over all blocks; ``bits`` may give another order, most balanced
+    first. More picks give longer keys (fewer candidates) and more copies of each row.
     """
     blocks = radius + picks
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+    parts = [0] * blocks
+    for place, bit in enumerate(bits or range(64)):
+        parts[place % blocks] |= 1 << bit
     return [sum(c) for c in combinations(parts, picks)]
 
 
+def balanced_bits(rows: DataFrame, column: str) -> list[int]:
+    """Bits of a hash from most to least balanced over the rows (64 counts reach the driver)."""
+    ones = rows.agg(F.count("*"), *[F.sum(F.shiftright(F.col(column), i).bitwiseAND(F.lit(1))) for i in range(64)]).first()
+    n = ones[0] or 1
+    return sorted(range(64), key=lambda i: (abs((ones[i + 1] or 0) / n - 0.5), i))
+
+
 def _signed(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("bigint")
 
@@ -94,10 +103,11 @@ def near_code_pairs(codes: DataFrame, phash_limit: int = 6, dhash_limit: int = 6
     Join key: one block mask of phash and one of dhash. A pair shares several keys; only
     the first shared one reports it, so no distinct is needed. Keys held by about ``hot``
     codes or more (estimated on a hashed 1/16 of the codes) get further phash blocks
-    appended, which is complete by the same counting, so no bucket is paired out whole.
+    appended, cut along the bits that vary most inside those buckets. That is complete by
+    the same counting, so no bucket is paired out whole.
     """
     pm, dm = block_masks(phash_limit, picks), block_masks(dhash_limit, picks)
-    fine = block_masks(phash_limit, 3)
+    fine: list[int] = []
     keys = F.array(*[
         F.struct(F.lit(i * len(dm) + j).alias("band"), F.col("phash").bitwiseAND(_signed(p)).alias("pk"), F.col("dhash").bitwiseAND(_signed(d)).alias("dk"))
         for i, p in enumerate(pm) for j, d in enumerate(dm)
@@ -114,6 +124,7 @@ def near_code_pairs(codes: DataFrame, phash_limit: int = 6, dhash_limit: int = 6
     crowded = cut_lineage(crowded)
     if not crowded.isEmpty():
         on += ["fine", "fk"]
+        fine = block_masks(phash_limit, 3, balanced_bits(sampled.join(crowded, key, "left_semi"), "phash"))
         plain = F.array(F.struct(F.lit(-1).alias("fine"), F.lit(0).cast("bigint").alias("fk")))
         split = F.array(*[F.struct(F.lit(i).alias("fine"), F.col("phash").bitwiseAND(_signed(m)).alias("fk")) for i, m in enumerate(fine)])
         marked = ready.join(crowded, key, "left").withColumn("f", F.explode(F.when(F.col("hot"), split).otherwise(plain)))

@@ -60,7 +60,9 @@ def to_gray(bgr: DataFrame) -> DataFrame:
 
 
 def to_hsv(bgr: DataFrame) -> DataFrame:
-    return bgr.select("image_id", "y", "x", *colour.hsv(F.col("b"), F.col("g"), F.col("r")))
+    b, g, r = F.col("b"), F.col("g"), F.col("r")
+    ends = bgr.withColumns({"_top": F.greatest(b, g, r), "_low": F.least(b, g, r)})
+    return ends.select("image_id", "y", "x", *colour.hsv(b, g, r, F.col("_top"), F.col("_low")))
 
 
 def in_range(df: DataFrame, low: dict[str, float], high: dict[str, float], name: str = "mask") -> DataFrame:
@@ -128,10 +130,16 @@ def resize_nearest(px: DataFrame, fy: float, fx: float, h: int, w: int) -> DataF
 
     def targets(coord: Column, factor: float, size: int) -> Column:
         out = int(round(size * factor))
-        low = F.greatest(F.lit(0), F.floor(coord * factor).cast("int") - 1)
-        high = F.least(F.lit(out - 1), F.when(coord == size - 1, out - 1).otherwise(F.ceil((coord + 1) * factor).cast("int") + 1))
-        span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.filter(span, lambda d: F.least(F.floor(d / F.lit(float(factor))), F.lit(size - 1)) == coord)
+        source = lambda d: F.floor(d / F.lit(float(factor)))
+
+        def first_for(c: Column) -> Column:
+            """First target whose source is c or beyond (the product may be off by one)."""
+            near = F.ceil(c * factor).cast("int") - 1
+            return F.when(source(near) >= c, near).when(source(near + 1) >= c, near + 1).otherwise(near + 2)
+
+        low = first_for(coord)
+        high = F.least(F.lit(out - 1), F.when(coord == size - 1, F.lit(out - 1)).otherwise(first_for(coord + 1) - 1))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
     ys = px.withColumn("ty", F.explode(targets(F.col("y"), fy, h)))
     xs = ys.withColumn("tx", F.explode(targets(F.col("x"), fx, w)))

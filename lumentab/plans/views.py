@@ -45,7 +45,7 @@ def byte_rasters(spark, sf) -> DataFrame:
 
 
 def px(spark, sf) -> DataFrame:
-    cells = table(spark, sf, "embeddings").select(
+    cells = spread(table(spark, sf, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "e")
     )
     return cells.select(

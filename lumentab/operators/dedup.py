@@ -6,7 +6,6 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lumentab.functions.hashing import hamming
 from lumentab.operators.graph import components
 from lumentab.operators.ranking import row_numbers
 from lumentab.operators.splits import group_owners, grouped_split

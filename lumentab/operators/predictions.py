@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lumentab.functions.numeric import dot
@@ -68,7 +66,3 @@ def string_ordered(preds: DataFrame, key: str) -> DataFrame:
     """Submission rows numbered with the ids sorted as text."""
     return row_numbers(preds.withColumn("id_text", F.col(key).cast("string")), ["id_text"], "position")
 
-
-def score_batches(df: DataFrame, scorer: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """Hook for a user's own scorer: Arrow batches in, Arrow batches out."""
-    return df.mapInPandas(scorer, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumentab.functions.numeric import hash_uniform, r6, relu, sigmoid
+from lumentab.functions.numeric import r6, relu, sigmoid
 from lumentab.operators import pixels as P
 from lumentab.plans import views as V
 from lumentab.plans.sqltext import R, SAT, U

@@ -16,6 +16,7 @@ from lumentab.plans import views as V
 from lumentab.plans.sqltext import R, U
 from lumentab.plans.views import duck
 from lumentab.sources import datasets as Ds, images as I, labels as L, paths as Pa
+from lumentab.session import ship_package
 from lumentab.sources.folders import run_folder
 from lumentab.streaming import frames as St
 
@@ -65,6 +66,7 @@ def bitmap(cells) -> bytes:
 def image_folder(s, d) -> str:
     """Image files of the rasters, written by the tasks that hold them; every 13th is cut short."""
     root = run_folder(s, "images")
+    ship_package(s)
 
     def write(batches):
         import os

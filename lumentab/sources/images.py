@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lumentab.session import ship_package
 from lumentab.sources.paths import is_image, parent_name
 
 IMAGE_SCHEMA = T.StructType([
@@ -57,6 +58,7 @@ def byte_cells(data: pd.Series) -> pd.Series:
 
 def image_rasters(images: DataFrame) -> DataFrame:
     """Readable images as raster rows with one plane per channel (b, g, r)."""
+    ship_package(images.sparkSession)
     good = images.filter("read_ok").withColumn("flat", byte_cells("data"))
 
     def plane(c):
@@ -68,6 +70,7 @@ def image_rasters(images: DataFrame) -> DataFrame:
 
 def image_pixels(images: DataFrame) -> DataFrame:
     """Readable images as ``path, y, x, c, v`` rows."""
+    ship_package(images.sparkSession)
     good = images.filter("read_ok").select("path", "width", "channels", F.posexplode(byte_cells("data")).alias("i", "v"))
     cell = F.floor(F.col("i") / F.col("channels"))
     return good.select(
@@ -88,6 +91,8 @@ def pixels_of_arrays(rows: DataFrame, key: str, cells: str, width: int, channels
 def score_in_batches(df: DataFrame, scorer, schema: str) -> DataFrame:
     """Arrow batches to a user's model; ``scorer`` maps one pandas frame to one."""
 
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield scorer(batch)

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lumentab.operators import boxes as B, features as Fe, metrics as E, models as Mo, predictions as P
 

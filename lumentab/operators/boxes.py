@@ -149,24 +149,31 @@ def suppress(boxes: DataFrame, threshold: float, fold_limit: int = FOLD_LIMIT, c
     out = lists.select("image_id", F.explode(folded).alias("b")).select("image_id", "b.k")
     if crowded is None:
         return out
-    big = cut_lineage(boxes.join(crowded, "image_id", "left_semi").withColumn("k", F.col("k").cast("int")))
-    rank = lambda name: big.select("image_id", F.col("k").alias(name), F.struct((-F.col("score")).alias("neg"), F.col("k").alias("k")).alias(f"r_{name}"))
-    near = overlap_pairs(big, big).filter(F.col("iou") > threshold)
-    near = near.join(rank("ka"), ["image_id", "ka"]).join(rank("kb"), ["image_id", "kb"]).filter("r_ka < r_kb").select("image_id", "ka", "kb")
-    near = cut_lineage(near)  # ka precedes kb and overlaps it
-    undecided = big.select("image_id", "k")
-    while not undecided.isEmpty():
-        # a box without an undecided predecessor cannot be dropped any more
-        blocked = near.select("image_id", F.col("kb").alias("k")).distinct()
-        keep = cut_lineage(undecided.join(blocked, ["image_id", "k"], "left_anti"))
-        out = out.unionByName(keep)
-        ka = keep.withColumnRenamed("k", "ka")
-        dropped = near.join(ka, ["image_id", "ka"], "left_semi").select("image_id", F.col("kb").alias("k")).distinct()
-        gone = cut_lineage(dropped.unionByName(keep))
-        undecided = cut_lineage(undecided.join(gone, ["image_id", "k"], "left_anti"))
-        for end in ("ka", "kb"):
-            near = near.join(gone.withColumnRenamed("k", end), ["image_id", end], "left_anti")
-        near = cut_lineage(near)
+    return out.unionByName(_suppress_in_rounds(boxes.join(crowded, "image_id", "left_semi"), threshold))
+
+
+def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Suppression for images of any size, in rounds without pairing boxes out.
+
+    A box that ranks first in every grid cell it covers has no better box over it, so it
+    is kept. Each cell has at most one such box per round, so the join that drops boxes
+    under the kept ones gives a few rows per box. The best open box of an image is always
+    kept, so the rounds end.
+    """
+    rank = F.struct((-F.col("score")).alias("neg"), F.col("k").cast("int").alias("k"))
+    open_ = cut_lineage(boxes.select("image_id", F.col("k").cast("int").alias("k"), *CORNERS, rank.alias("r")))
+    edge = open_.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 0.9)).first()[0]
+    cell = max(float(edge or 0.0), 1e-9)
+    out = open_.select("image_id", "k").limit(0)
+    while not open_.isEmpty():
+        covered = _gridded(open_, cell).select("image_id", "k", "r", "gy", "gx")
+        best = covered.groupBy("image_id", "gy", "gx").agg(F.min("r").alias("best"))
+        beaten = covered.join(best, ["image_id", "gy", "gx"]).filter("r <> best").select("image_id", "k").distinct()
+        kept = cut_lineage(open_.join(beaten, ["image_id", "k"], "left_anti"))
+        out = out.unionByName(kept.select("image_id", "k"))
+        rest = open_.join(kept.select("image_id", "k"), ["image_id", "k"], "left_anti")
+        under = overlap_pairs(rest, kept, cell).filter(F.col("iou") > threshold).select("image_id", F.col("ka").alias("k")).distinct()
+        open_ = cut_lineage(rest.join(under, ["image_id", "k"], "left_anti"))
     return out
 
 

@@ -68,3 +68,10 @@ def _(s, d):
     from lumentab.llm.apportion import draw
 
     return draw(table(s, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_toxicity")
+def _(s, d):
+    from lumentab.llm.toxicity import toxicity
+
+    return toxicity(table(s, d, "documents"), table(s, d, "labels"))

@@ -75,3 +75,10 @@ def _(s, d):
     from lumentab.llm.toxicity import toxicity
 
     return toxicity(table(s, d, "documents"), table(s, d, "labels"))
+
+
+@query("op2_sentencepiece")
+def _(s, d):
+    from lumentab.llm.pieces import encode
+
+    return encode(table(s, d, "documents"))

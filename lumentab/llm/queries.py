@@ -82,3 +82,10 @@ def _(s, d):
     from lumentab.llm.pieces import encode
 
     return encode(table(s, d, "documents"))
+
+
+@query("op9_substring_dedup")
+def _(s, d):
+    from lumentab.llm.phrases import drop_repeats
+
+    return drop_repeats(table(s, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")

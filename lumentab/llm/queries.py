@@ -89,3 +89,10 @@ def _(s, d):
     from lumentab.llm.phrases import drop_repeats
 
     return drop_repeats(table(s, d, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_minhash_near_dedup")
+def _(s, d):
+    from lumentab.llm.tensor_minhash import near_duplicates
+
+    return near_duplicates(table(s, d, "documents"))

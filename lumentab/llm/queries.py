@@ -96,3 +96,18 @@ def _(s, d):
     from lumentab.llm.tensor_minhash import near_duplicates
 
     return near_duplicates(table(s, d, "documents"))
+
+
+@query("op3_nearest_neighbours")
+def _(s, d):
+    from lumentab.llm.graph_ann import nearest
+
+    vectors = table(s, d, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op6_embedding_near_dedup")
+def _(s, d):
+    from lumentab.llm.collisions import near_vectors
+
+    return near_vectors(table(s, d, "embeddings"))

@@ -111,3 +111,10 @@ def _(s, d):
     from lumentab.llm.collisions import near_vectors
 
     return near_vectors(table(s, d, "embeddings"))
+
+
+@query("op4_lm_scoring")
+def _(s, d):
+    from lumentab.llm.pseudo_lm import pseudo_likelihood
+
+    return pseudo_likelihood(table(s, d, "documents"))

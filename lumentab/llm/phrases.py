@@ -23,13 +23,16 @@ from zlib import crc32
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumentab.llm import batches as B
 from lumentab.session import ship_package
 
 #: Words of a window, and of the n-grams whose smallest hash is its anchor.
-WINDOW, GRAM = 13, 6
+WINDOW, GRAM = 13, 5
+#: Bits of an anchor that a document's own list keeps; a chance hit adds a stretch, no window.
+LOW_BITS = (1 << 31) - 1
 #: Stretches of one automaton; a shard of more gets one automaton after the other.
 STRETCHES = 4000
 
@@ -52,20 +55,29 @@ def _anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.nda
     return starts, h[starts].view(np.int64)
 
 
+def _known_texts(part: pa.RecordBatch) -> list[bytes]:
+    """Texts of rows with an id; the others are empty here."""
+    return [t if known else b"" for t, known in zip(B.raw_texts(part), part.column("doc_id").is_valid().to_pylist())]
+
+
+def _ids(part: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _spread(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     """Anchors of a chunk: one row per anchor and document, or, for anchors of several documents.
 
     of the chunk, two rows for the anchor and a list in each document's own row: a phrase that
     a third of all documents share costs two rows per chunk, not one per document.
     """
-    words, counts = B.hashed_words([t.split() for t in B.raw_texts(part)])
+    words, counts = B.hashed_words([t.split() for t in _known_texts(part)])
     starts, anchors = _anchors(words, counts, window)
     if not len(starts):
         return None
     rows = np.searchsorted(np.cumsum(counts), starts, side="right")
     new = np.r_[True, (anchors[1:] != anchors[:-1]) | (rows[1:] != rows[:-1])]
     anchors, rows = anchors[new], rows[new]
-    ids = part.column("doc_id").to_numpy(zero_copy_only=False)[rows].astype(np.int64)
+    ids = _ids(part)[rows]
     order = np.lexsort((ids, anchors))
     a, d, r = anchors[order], ids[order], rows[order]
     once = np.r_[True, (a[1:] != a[:-1]) | (d[1:] != d[:-1])]
@@ -80,29 +92,30 @@ def _spread(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     known_rows, known = r[several], a[several]
     by_row = np.argsort(known_rows, kind="stable")
     owners, per_owner = np.unique(known_rows, return_counts=True)
-    doc_of = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[owners]
+    doc_of = _ids(part)[owners]
     place = np.concatenate([a[alone], a[pair], B.mixed(doc_of.view(np.uint64)).view(np.int64)])
     ids = np.concatenate([d[alone], d[pair], doc_of])
     plain = int(alone.sum()) + len(pair)
     sizes = np.concatenate([np.zeros(plain, np.int64), per_owner])
-    lists = B.ragged(known[by_row], sizes, pa.int64())
+    lists = B.ragged((known[by_row] & LOW_BITS).astype(np.int32), sizes, pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids), lists], names=["place", "doc_id", "known"])
 
 
 def recurring_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, anchors, known``: the anchors of each document that recur in another one."""
+    """``key, anchors, known``: of each document, low bits of its anchors that recur in another one."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             if (out := _spread(part, window)) is not None:
                 yield out
 
-    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(run, "place bigint, doc_id bigint, known array<bigint>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "place bigint, doc_id bigint, known array<int>")
     w = Window.partitionBy("place")
     listed = F.size("known") > 0
     found = rows.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter(listed | (F.col("low") < F.col("high")))
     # a list per document is bounded by the document's own words
-    return found.groupBy("doc_id").agg(F.collect_list(F.when(~listed, F.col("place"))).alias("anchors"), F.flatten(F.collect_list("known")).alias("known"))
+    low_bits = F.when(~listed, F.col("place").bitwiseAND(F.lit(LOW_BITS)).cast("int"))
+    return found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(low_bits).alias("anchors"), F.flatten(F.collect_list("known")).alias("known"))
 
 
 STRETCH = "anchor bigint, stretch string, docs array<bigint>, marks array<bigint>, starts array<int>"
@@ -113,12 +126,12 @@ def stretches(joined: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
-            texts = B.raw_texts(part)
+            texts = _known_texts(part)
             split = [t.split() for t in texts]
             words, counts = B.hashed_words(split)
             starts, anchors = _anchors(words, counts, window)
             lists = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("anchors", "known")]
-            hit = np.isin(anchors, np.concatenate(lists).astype(np.int64))
+            hit = np.isin(anchors & LOW_BITS, np.concatenate(lists).astype(np.int64))
             starts, anchors = starts[hit], anchors[hit]
             if not len(starts):
                 continue
@@ -126,7 +139,7 @@ def stretches(joined: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = np.searchsorted(ends, starts, side="right")
             begin = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1) | (rows[1:] != rows[:-1])])
             stop = np.r_[begin[1:], len(starts)] - 1
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = _ids(part)
             marks = [crc32(t) for t in texts]
             offset = ends - counts
             found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
@@ -156,37 +169,36 @@ def _merged(starts: list[int], window: int) -> list[tuple[int, int]]:
 
 def locate(rows: list[tuple[str, list[int], list[int], list[int]]], window: int) -> Iterator[tuple[int, int, int, int]]:
     """``doc_id, mark, from, to`` of words to drop, from all stretches of some anchors."""
-    bounds, seen = [], {}
+    number: dict[str, int] = {}
+    lines, seen = [], {}
     for stretch, docs, _, _ in rows:
-        at = [0]
-        while (i := stretch.find(" ", at[-1])) >= 0:
-            at.append(i + 1)
-        at.append(len(stretch) + 1)
-        bounds.append(at)
+        line = tuple(number.setdefault(w, len(number)) for w in stretch.split(" "))
+        lines.append(line)
         low, high = min(docs), max(docs)
-        for j in range(len(at) - window):
-            phrase = stretch[at[j] : at[j + window] - 1]
+        for j in range(len(line) - window + 1):
+            phrase = line[j : j + window]
             known = seen.get(phrase)
             if known is None:
-                seen[phrase] = [low, high]
-            else:
-                known[0], known[1] = min(known[0], low), max(known[1], high)
-    automaton = ahocorasick.Automaton()
+                seen[phrase] = (low, high)
+            elif low < known[0] or high > known[1]:
+                seen[phrase] = (min(low, known[0]), max(high, known[1]))
+    # keys are sequences of word numbers: a node for a word, not for a letter
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for phrase, (low, high) in seen.items():
         if low < high:
-            automaton.add_word(f" {phrase} ", (len(phrase), low))
+            automaton.add_word(phrase, low)
     if not len(automaton):
         return
     automaton.make_automaton()
-    for (stretch, docs, marks, starts), at in zip(rows, bounds):
-        number = {c: j for j, c in enumerate(at)}
-        # in the padded text a phrase ends one place before its closing space
-        hits = sorted((number[end - size - 1], low) for end, (size, low) in automaton.iter(f" {stretch} ") if end - size - 1 in number)
+    for (_, docs, marks, starts), line in zip(rows, lines):
+        hits = [(end - window + 1, low) for end, low in automaton.iter(line)]
         if not hits:
             continue
-        highest = max(low for _, low in hits)
+        lowest, highest = min(low for _, low in hits), max(low for _, low in hits)
         whole = None
         for doc, mark, start in zip(docs, marks, starts):
+            if doc <= lowest:
+                continue
             if doc > highest:
                 ranges = whole = whole or _merged([j for j, _ in hits], window)
             else:
@@ -219,6 +231,17 @@ def covered_words(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, mark bigint, a int, b int")
 
 
+def _copies(docs: DataFrame, digest: Column) -> DataFrame:
+    """``key, copied``: digests of the texts of an id that a smaller id has, too.
+
+    All windows of such a text start under the smaller id, and it is no earlier document of a
+    window that the other isn't. Only ids and digests are shuffled.
+    """
+    thin = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("key"), digest.alias("digest"))
+    first = thin.groupBy("digest").agg(F.min("key").alias("first"))
+    return thin.join(first, "digest").filter("key > first").groupBy("key").agg(F.collect_set("digest").alias("copied"))
+
+
 def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` and the columns in ``keep``.
 
@@ -231,21 +254,25 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) ->
     """
     ship_package(docs.sparkSession)
     read = list(dict.fromkeys(["doc_id", "text", *keep]))
-    # without nulls both joins ask for the same exchange of the texts, which is then made once
-    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("key"), *read)
-    anchors = recurring_anchors(docs, window).withColumnRenamed("doc_id", "key")
-    joined = keyed.join(anchors, "key").filter("doc_id is not null and text is not null")
-    found = covered_words(stretches(joined, window), window)
+    # the key is never null, so every use below asks for the same exchange of the texts, which is made once
+    digest = F.xxhash64("text", F.length("text"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), digest).alias("key"), *read)
+    base = keyed.join(_copies(docs, digest), "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", digest), F.lit(False)))
+    firsts = base.filter(~F.col("copy"))
+    anchors = recurring_anchors(firsts, window)
+    found = covered_words(stretches(firsts.join(anchors, "key"), window), window)
     ranges = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("mark", "a", "b")).alias("ranges"))
     extra = [c for c in keep if c not in ("doc_id", "text")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, doc, spans in zip(B.raw_texts(part), part.column("doc_id").to_pylist(), part.column("ranges").to_pylist()):
+            for text, doc, copy, spans in zip(B.raw_texts(part), part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), part.column("ranges").to_pylist()):
                 words = text.split()
                 n = len(words)
-                if spans and doc is not None:
+                if copy:
+                    words = words if n < window else []
+                elif spans and doc is not None:
                     mark, live = crc32(text), np.ones(n, bool)
                     for s in spans:
                         if s["mark"] == mark:
@@ -263,7 +290,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) ->
 
     types = dict(docs.dtypes)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, text string" + "".join(f", {c} {types[c]}" for c in extra)
-    out = keyed.join(ranges, "key", "left").drop("key").mapInArrow(run, schema)
+    out = base.join(ranges, "key", "left").select(*read, "copy", "ranges").mapInArrow(run, schema)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[c for c in keep if c != "doc_id"])
 
 

@@ -73,6 +73,15 @@ def starts_of(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
+def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums over consecutive runs of ``counts`` values; each is added up on its own, from its start."""
+    out = np.zeros(len(counts), np.float64)
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(np.float64), starts_of(counts)[some])
+    return out
+
+
 def ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array of ``counts`` values a row."""
     offsets = np.zeros(len(counts) + 1, np.int32)

@@ -119,7 +119,7 @@ class SuffixOrder:
         key, wide = np.zeros(n, np.uint64), line.astype(np.uint64)
         for j in range(self.width):
             key <<= np.uint64(self.bits)
-            key[: n - j] |= wide[j:]
+            key[: max(0, n - j)] |= wide[j:]
         distinct, rank, self.places = _ranked(key)
         self.levels = [distinct]
         self.size = np.int64(n + 2)

@@ -171,9 +171,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_
             codes, counts, bucket, form = tokens(B.raw_texts(part))
             classes = (form * BANDS + band[bucket])[codes]
             each = table[_contexts(classes, counts), classes] + in_band[bucket][codes]
-            total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-            ends = np.cumsum(counts)
-            sums = total[ends] - total[ends - counts]
+            sums = B.run_sums(each, counts)
             mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), pa.array(sums), mean], names=["id", "n_tokens", "log_likelihood", "per_token"])
 

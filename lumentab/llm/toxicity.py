@@ -52,13 +52,6 @@ def _coded(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return codes, counts, np.stack([(h % np.uint64(FEATURES)).astype(np.int32) for h in hashed], axis=1)
 
 
-def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sums over consecutive runs of ``counts`` values."""
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
-
-
 def _log_clean(z: np.ndarray) -> np.ndarray:
     """log(1 - sigmoid(z)), stable."""
     return -np.logaddexp(0.0, z)
@@ -78,15 +71,15 @@ def learn(ids: np.ndarray, per_sentence: np.ndarray, per_doc: np.ndarray, labels
     pair = np.unique(doc_of_id.astype(np.int64) * FEATURES + ids)
     seen = np.bincount(pair % FEATURES, minlength=FEATURES) >= least_docs
     keep = seen[ids]
-    per_sentence = _sums(keep, per_sentence).astype(np.int64)
+    per_sentence = B.run_sums(keep, per_sentence).astype(np.int64)
     ids = ids[keep]
     sentence_of_id = np.repeat(np.arange(len(per_sentence)), per_sentence)
     m, v, mb, vb = np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0
     share = weights / weights.sum()
     for t in range(1, rounds + 1):
-        z = _sums(w[ids], per_sentence) + bias
+        z = B.run_sums(w[ids], per_sentence) + bias
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
-        clean = _sums(_log_clean(z), per_doc)
+        clean = B.run_sums(_log_clean(z), per_doc)
         toxic = -np.expm1(clean)
         factor = np.where(labels == 1, -np.exp(clean) / np.maximum(toxic, 1e-9), 1.0) * share
         dz = factor[doc_of_sentence] * p
@@ -130,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             sentence = np.repeat(np.arange(len(words)), per_sentence)
             pair = np.unique((sentence[:, None] * FEATURES + ids).ravel()) if len(ids) else np.zeros(0, np.int64)
             n = np.bincount(pair // FEATURES, minlength=len(words))
-            of_doc = _sums(n, per_doc).astype(np.int64)
+            of_doc = B.run_sums(n, per_doc).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("toxic"), B.ragged((pair % FEATURES).astype(np.int32), of_doc, pa.int32()), B.ragged(n.astype(np.int32), per_doc, pa.int32())],
                 names=["doc_id", "toxic", "ids", "counts"],
@@ -171,7 +164,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], at_least: float = 0.
             hot = np.flatnonzero(live.ravel())
             pair = np.unique(sentence[hot // 3] * FEATURES + ids.ravel()[hot]) if len(hot) else np.zeros(0, np.int64)
             z = np.bincount(pair // FEATURES, weights=weights[pair % FEATURES], minlength=len(words)) + bias
-            total = -np.expm1(_sums(_log_clean(z), per_doc))
+            total = -np.expm1(B.run_sums(_log_clean(z), per_doc))
             first = B.starts_of(per_doc)
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
             spans: list[list[dict]] = [[] for _ in cut]

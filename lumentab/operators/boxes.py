@@ -14,24 +14,39 @@ from lumentab.operators.ranking import row_numbers, running_sums
 from lumentab.session import cut_lineage
 
 FOLD_LIMIT = 512
+MIN_CONFIDENCE = 0.009999999  # fixed value: boxes fainter than this become background
 
 
-def _gridded(boxes: DataFrame, cell: float) -> DataFrame:
+def _levelled(boxes: DataFrame) -> DataFrame:
+    """Boxes with an area and their size class: the power of two that the longer side fits in."""
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    return boxes.filter("x2 > x1 and y2 > y1").withColumn("level", F.ceil(F.log2(side)).cast("int"))
+
+
+def _gridded(boxes: DataFrame, levels: Column) -> DataFrame:
+    """One row per size class from the box's own up, and per cell of that class it lies in (four at most)."""
+    wide = boxes.withColumn("_levels", levels).withColumn("at", F.explode(F.filter("_levels", lambda v: v >= F.col("level")))).drop("_levels")
+    cell = F.pow(F.lit(2.0), F.col("at"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
-    return boxes.withColumn("gy", F.explode(span("y1", "y2"))).withColumn("gx", F.explode(span("x1", "x2")))
+    return wide.withColumn("gy", F.explode(span("y1", "y2"))).withColumn("gx", F.explode(span("x1", "x2")))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, cell: float = 0.5, keys: list[str] | None = None) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Pairs of boxes of one image with IoU > 0; pairs that do not touch have IoU 0 and no row.
 
-    Boxes meet in grid cells; the cell that holds the upper-left corner of the shared
-    area reports the pair, so each pair appears once without a distinct. ``cell`` should
-    be near the usual box edge.
+    Boxes meet in the grid of the larger box's size class, whatever the unit: cells are as
+    wide as the larger box, so each box lies in four cells at most. The cell that holds the
+    upper-left corner of the shared area reports the pair, so each pair appears once without
+    a distinct. The list of size classes in use holds at most one entry per binary exponent.
     """
     keys = keys or ["image_id"]
-    a = _gridded(left.select(*keys, F.col("k").alias("ka"), F.struct(*CORNERS).alias("a"), *CORNERS), cell).drop(*CORNERS)
-    b = _gridded(right.select(*keys, F.col("k").alias("kb"), F.struct(*CORNERS).alias("b"), *CORNERS), cell).drop(*CORNERS)
-    j = a.join(b, [*keys, "gy", "gx"])
+    a = _levelled(left.select(*keys, F.col("k").alias("ka"), F.struct(*CORNERS).alias("a"), *CORNERS))
+    b = _levelled(right.select(*keys, F.col("k").alias("kb"), F.struct(*CORNERS).alias("b"), *CORNERS))
+    levels = a.select("level").unionByName(b.select("level")).agg(F.collect_set("level")).scalar()
+    a = _gridded(a, levels).drop(*CORNERS).withColumnRenamed("level", "la")
+    b = _gridded(b, levels).drop(*CORNERS).withColumnRenamed("level", "lb")
+    j = a.join(b, [*keys, "at", "gy", "gx"]).filter(F.col("at") == F.greatest("la", "lb"))
+    cell = F.pow(F.lit(2.0), F.col("at"))
     first = (F.floor(F.greatest("a.y1", "b.y1") / cell) == F.col("gy")) & (F.floor(F.greatest("a.x1", "b.x1") / cell) == F.col("gx"))
     j = j.filter(first).withColumn("iou", iou(F.col("a"), F.col("b")))
     return j.filter("iou > 0").select(*keys, "ka", "kb", "iou", "a", "b")
@@ -69,12 +84,15 @@ def greedy_match(pairs: DataFrame, keys: list[str], order: list[Column], crowded
     if crowded is None:
         return out
     open_ = cut_lineage(ranked.join(crowded, "image_id", "left_semi").select(*keys, "p", F.col("p.ka").cast("int").alias("ka"), F.col("p.kb").cast("int").alias("kb")))
+    rounds = 0
     while not open_.isEmpty():
         a_best = open_.groupBy(*keys, "ka").agg(F.min("p").alias("pa"))
         b_best = open_.groupBy(*keys, "kb").agg(F.min("p").alias("pb"))
         both = open_.join(a_best, [*keys, "ka"]).join(b_best, [*keys, "kb"])
         taken = cut_lineage(both.filter("p = pa and p = pb").select(*keys, "ka", "kb"))
-        out = out.unionByName(taken)
+        out, rounds = out.unionByName(taken), rounds + 1
+        if rounds % 8 == 0:
+            out = cut_lineage(out)
         rest = open_.join(taken.select(*keys, "ka"), [*keys, "ka"], "left_anti").join(taken.select(*keys, "kb"), [*keys, "kb"], "left_anti")
         open_ = cut_lineage(rest)
     return out
@@ -155,30 +173,34 @@ def suppress(boxes: DataFrame, threshold: float, fold_limit: int = FOLD_LIMIT, c
 def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
     """Suppression for images of any size, in rounds without pairing boxes out.
 
-    A box that ranks first in every grid cell it covers has no better box over it, so it
-    is kept. Each cell has at most one such box per round, so the join that drops boxes
-    under the kept ones gives a few rows per box. The best open box of an image is always
-    kept, so the rounds end.
+    Boxes that overlap meet in a cell of the larger one's size class. A box that ranks before
+    all boxes in the cells of its own class, and before the boxes of the class in the cells of
+    larger classes, has no better box over it, so it is kept. The best open box of an image
+    is always kept, so the rounds end.
     """
     rank = F.struct((-F.col("score")).alias("neg"), F.col("k").cast("int").alias("k"))
     open_ = cut_lineage(boxes.select("image_id", F.col("k").cast("int").alias("k"), *CORNERS, rank.alias("r")))
-    edge = open_.agg(F.percentile_approx(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 0.9)).first()[0]
-    cell = max(float(edge or 0.0), 1e-9)
-    out = open_.select("image_id", "k").limit(0)
+    levelled = _levelled(open_)
+    levels = levelled.select("level").agg(F.collect_set("level")).scalar()
+    out, rounds = open_.select("image_id", "k").limit(0), 0
+    cells = ["image_id", "at", "gy", "gx"]
     while not open_.isEmpty():
-        covered = _gridded(open_, cell).select("image_id", "k", "r", "gy", "gx")
-        best = covered.groupBy("image_id", "gy", "gx").agg(F.min("r").alias("best"))
-        beaten = covered.join(best, ["image_id", "gy", "gx"]).filter("r <> best").select("image_id", "k").distinct()
+        covered = _gridded(_levelled(open_), levels).select(*cells, "k", "r", (F.col("level") == F.col("at")).alias("own"))
+        best = covered.groupBy(*cells).agg(F.min("r").alias("best"), F.min(F.when(F.col("own"), F.col("r"))).alias("best_own"))
+        better = F.when(F.col("own"), F.col("best")).otherwise(F.col("best_own")) < F.col("r")
+        beaten = covered.join(best, cells).filter(better).select("image_id", "k").distinct()
         kept = cut_lineage(open_.join(beaten, ["image_id", "k"], "left_anti"))
-        out = out.unionByName(kept.select("image_id", "k"))
+        out, rounds = out.unionByName(kept.select("image_id", "k")), rounds + 1
+        if rounds % 8 == 0:
+            out = cut_lineage(out)
         rest = open_.join(kept.select("image_id", "k"), ["image_id", "k"], "left_anti")
-        under = overlap_pairs(rest, kept, cell).filter(F.col("iou") > threshold).select("image_id", F.col("ka").alias("k")).distinct()
+        under = overlap_pairs(rest, kept).filter(F.col("iou") > threshold).select("image_id", F.col("ka").alias("k")).distinct()
         open_ = cut_lineage(rest.join(under, ["image_id", "k"], "left_anti"))
     return out
 
 
 def decode_detections(
-    anchors: DataFrame, class_scores: list[str], offsets: list[str], threshold: float = 0.5, min_confidence: float = 0.009999999, fold_limit: int = FOLD_LIMIT
+    anchors: DataFrame, class_scores: list[str], offsets: list[str], threshold: float = 0.5, min_confidence: float = MIN_CONFIDENCE, fold_limit: int = FOLD_LIMIT
 ) -> DataFrame:
     """Best foreground class, decoded box, suppression; dropped or faint boxes become class -1.
 

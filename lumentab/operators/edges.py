@@ -48,7 +48,8 @@ def ridge_pixels(tiles: DataFrame, low: float, high: float) -> DataFrame:
 def edge_map(tiles: DataFrame, low: float = 80.0, high: float = 160.0) -> DataFrame:
     """``image_id, y, x`` of edge pixels: strong ridges and weak ones 8-connected to a strong one."""
     # written once: the ridges are read by the links, the nodes and the result
-    ridges = cut_lineage(ridge_pixels(tiles, low, high).withColumn("id", F.shiftleft(F.col("image_id"), 32) + F.shiftleft(F.col("y").cast("bigint"), 16) + F.col("x")))
+    # a pixel is known by image and place, however large either is
+    ridges = cut_lineage(ridge_pixels(tiles, low, high).withColumn("id", F.struct("image_id", "y", "x")))
     steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
     reach = ridges.select("image_id", F.col("id").alias("u"), "y", "x", F.explode(steps).alias("s"))
     reach = reach.select("image_id", "u", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))

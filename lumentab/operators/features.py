@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lumentab.functions.numeric import hash_uniform
 
-MAX_LEVELS = 10_000
-
 
 def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
@@ -34,17 +32,21 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return m.withColumns(scaled).drop("_s")
 
 
-def levels_of(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values; they become columns, so their number is checked first."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-    if len(rows) > MAX_LEVELS:
-        raise ValueError(f"column {column} has more than {MAX_LEVELS} levels")
+def levels_of(df: DataFrame, column: str, most: int) -> list[str]:
+    """Sorted distinct values; they become columns, so more than ``most`` of them are refused."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"column {column} has more than {most} levels; use one_hot_long or raise max_levels")
     return sorted(r[0] for r in rows)
 
 
-def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list[str]] | None = None) -> DataFrame:
-    """0/1 columns per level plus a missing-value column for every text column, even an unused one."""
-    levels = levels or {c: levels_of(df, c) for c in columns}
+def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list[str]] | None = None, max_levels: int = 10_000) -> DataFrame:
+    """0/1 columns per level plus a missing-value column for every text column, even an unused one.
+
+    A level is a column of the result, so a column of more than ``max_levels`` levels is an
+    error; ``one_hot_long`` has no such limit.
+    """
+    levels = levels or {c: levels_of(df, c, max_levels) for c in columns}
     keep = [c for c in df.columns if c not in columns]
     new: list[Column] = []
     for c in columns:
@@ -53,6 +55,12 @@ def one_hot(df: DataFrame, columns: list[str], levels: dict[str, list[str]] | No
     return df.select(*keep, *new)
 
 
+def one_hot_long(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The ones of ``one_hot`` as rows ``key, feature, level``; a missing value has a null level."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in columns])
+    return df.select(key, F.explode(pairs).alias("p")).select(key, "p.feature", "p.level")
+
+
 def polynomial(x: Column, degree: int) -> Column:
     """Array x^i / i! for i = 0..degree."""
     return F.array(*[F.pow(x, F.lit(float(i))) / float(math.factorial(i)) for i in range(degree + 1)])

@@ -23,24 +23,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(own).filter("u <> v").distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """True when every edge leads to the root of a star: no target has an edge of its own, no source two."""
+    several = edges.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a <> b").select("u")
+    onward = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+    return several.unionByName(onward).isEmpty()
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component``; the component is the smallest id in it. Nodes without edges stay alone.
 
     ``nodes`` has ``id``, ``edges`` has ``u, v``. Alternates two star contractions on the
-    edge list until it stops changing. Group minima are combined map-side and joined back,
-    so a node with very many neighbours is split like any skewed join. Each round is
-    written to the reliable checkpoint folder.
+    edge list until only stars are left, which is checked edge by edge; each round shortens
+    every chain, so the rounds follow the logarithm of the longest one. Group minima are
+    combined map-side and joined back, so a node with very many neighbours is split like any
+    skewed join. Each round is written to the reliable checkpoint folder; a session with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` removes it after use.
     """
-    current = cut_lineage(edges.filter("u <> v").select("u", "v"))
-    mark = None
-    for _ in range(rounds):
-        nxt = cut_lineage(_small_star(_large_star(current)))
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
-        current = nxt
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    current = cut_lineage(down.filter("u <> v").distinct())
+    while not _settled(current):
+        current = cut_lineage(_small_star(_large_star(current)))
     stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.join(stars, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

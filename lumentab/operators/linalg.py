@@ -41,8 +41,10 @@ def reshape(a: DataFrame, old_width: int, new_width: int) -> DataFrame:
     return a.select(F.expr(f"(cast(i as bigint) * {old_width} + j) div {new_width}").alias("i"), (flat % new_width).cast("int").alias("j"), "v")
 
 
-def hadamard(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.withColumnRenamed("v", "bv"), ["i", "j"]).select("i", "j", (F.col("v") * F.col("bv")).alias("v"))
+def hadamard(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Cells ``key, j`` with both factors and their product ``v``, from matrices kept as row arrays."""
+    cells = F.zip_with(a, b, lambda x, y: F.struct(x.alias(a), y.alias(b), (x * y).alias("v")))
+    return rows.select(key, F.posexplode(cells).alias("j", "c")).select(key, "j", "c.*")
 
 
 def centre(a: DataFrame) -> DataFrame:

@@ -50,9 +50,14 @@ PAIR_OPS: dict[str, Callable[[Column, Column], Column]] = {
 
 
 def combine(left: DataFrame, right: DataFrame, *ops: str) -> DataFrame:
-    """Per-pixel combination of two pixel tables with the same image ids."""
-    joined = left.join(right.withColumnRenamed("v", "v2"), ["image_id", "y", "x"])
-    return joined.select("image_id", "y", "x", *[PAIR_OPS[o](F.col("v"), F.col("v2")).alias(f"v_{o}") for o in ops])
+    """Per-pixel combination of two raster tables (``image_id, h, w, cells``) with the same image ids.
+
+    Images meet as rows, so a pixel is never shuffled on its own.
+    """
+    both = left.join(right.select("image_id", F.col("cells").alias("others")), "image_id")
+    pair = lambda a, b: F.struct(*[PAIR_OPS[o](a.cast("int"), b.cast("int")).alias(f"v_{o}") for o in ops])
+    cells = both.select("image_id", "w", F.posexplode(F.zip_with("cells", "others", pair)).alias("i", "c"))
+    return cells.select("image_id", F.expr("cast(i div w as int)").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), "c.*")
 
 
 def to_gray(bgr: DataFrame) -> DataFrame:

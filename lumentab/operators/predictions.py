@@ -7,17 +7,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lumentab.functions.numeric import dot
 from lumentab.operators.ranking import row_numbers
 
-MODEL_CELLS = 10_000_000
 
-
-def linear_scores(vectors: DataFrame, weights: DataFrame, scale: float = 1.0) -> DataFrame:
+def linear_scores(vectors: DataFrame, weights: DataFrame, scale: float = 1.0, joined: bool = False) -> DataFrame:
     """``id, scores`` with scores an array of (class_index, z) in class order.
 
-    ``vectors`` has ``id, v`` (array), ``weights`` has ``class_index, i, w``. The model
-    becomes one literal array when it has at most MODEL_CELLS numbers (the count is checked),
-    so the corpus is scored in its scan without a shuffle; a larger model is joined.
+    ``vectors`` has ``id, v`` (array), ``weights`` has ``class_index, i, w``. The model is one
+    array value, so the corpus is scored in its scan without a shuffle; the caller asks for
+    ``joined`` where the model is too large to be held by every task.
     """
-    if weights.count() > MODEL_CELLS:
+    if joined:
         cells = vectors.select("id", F.posexplode("v").alias("i", "x"))
         sums = cells.join(weights, "i").groupBy("id", "class_index").agg((F.sum(F.col("x") * F.col("w")) * scale).alias("z"))
         return sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("class_index", "z"))).alias("scores"))

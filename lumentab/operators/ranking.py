@@ -18,13 +18,14 @@ SAMPLE_ROWS = 4096
 def _bounds(df: DataFrame, key: Column, slices: int) -> list:
     """Slice bounds from at most SAMPLE_ROWS rows, picked by hash so that reruns agree.
 
-    Empty when the whole input is below the sample size: one slice is enough then.
+    An input of any size is cut the same way; one with fewer rows than slices has equal bounds.
     """
     picked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE_ROWS)
     packed = picked.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("k")).alias("a"))
-    step = SAMPLE_ROWS // slices
-    cuts = F.expr(f"transform(sequence(1, {slices - 1}), i -> a[i * {step}])")
-    return packed.select(F.when(F.col("n") >= SAMPLE_ROWS, cuts).alias("b")).first()["b"] or []
+    if slices < 2:
+        return []
+    cuts = F.expr(f"array_distinct(transform(sequence(1, {slices - 1}), i -> a[cast(floor(i * n / {slices}) as int)]))")
+    return packed.select(F.when(F.col("n") > 0, cuts).alias("b")).first()["b"] or []
 
 
 def _literal(bound, key_type) -> Column:
@@ -47,17 +48,18 @@ def running_sums(
     order: Sequence[str],
     values: dict[str, Column],
     partition: Sequence[str] = (),
-    slices: int = 64,
+    slices: int | None = None,
     sample_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``values`` in the given total order, per partition key.
 
-    ``sample_from`` may name a cheaper table with the order columns; any sample gives
+    ``slices`` follows ``spark.sql.shuffle.partitions`` unless given. ``sample_from`` may name a cheaper table with the order columns; any sample gives
     right results, it only shapes the slices.
     """
     parts = list(partition)
     key = F.struct(*order) if len(order) > 1 else F.col(order[0])
     within = lambda extra: Window.partitionBy(*parts, *extra).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = _bounds(df if sample_from is None else sample_from, key, slices)
     if not bounds:
         return df.withColumns({n: F.sum(v).over(within([])) for n, v in values.items()})

@@ -49,11 +49,13 @@ def tiles_from_pixels(px: DataFrame, dims: DataFrame, halo: int, side: int = 256
     start = lambda t: F.col(t) * side
     low = lambda t: F.greatest(F.lit(0), start(t) - halo)
     high = lambda t, size: F.least(F.col(size), start(t) + side + halo)
+    # pixels are read by place, so a gap would shift all that follow
+    whole = F.size("s") == (high("ty", "h") - low("ty")) * (high("tx", "w") - low("tx"))
     return grouped.select(
         "image_id", "h", "w", start("ty").alias("oy"), start("tx").alias("ox"),
         F.least(F.lit(side), F.col("h") - start("ty")).alias("th"), F.least(F.lit(side), F.col("w") - start("tx")).alias("tw"),
         low("ty").alias("hy"), low("tx").alias("hx"), (high("ty", "h") - low("ty")).alias("hh"), (high("tx", "w") - low("tx")).alias("hw"),
-        F.array(F.transform("s", lambda c: c["v"])).alias("planes"),
+        F.when(whole, F.array(F.transform("s", lambda c: c["v"]))).otherwise(F.raise_error(F.lit("a tile lacks pixels or has one twice"))).alias("planes"),
     )
 
 

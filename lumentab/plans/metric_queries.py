@@ -129,9 +129,7 @@ def _(s, d):
 
 @query("A32_soft_losses", f"select image_id, {R('avg(-(t*ln(q)+(1-t)*ln(1-q)))')} bce, {R('1-(2*sum(q*t)+1e-7)/(sum(q)+sum(t)+1e-7)')} dice_loss from (select m.image_id, m.t, 1/(1+exp(-(v*4))) q from masks m join px x on m.image_id=x.image_id and m.y=x.y and m.x=x.x) z group by 1")
 def _(s, d):
-    v = V.px(s, d).withColumnRenamed("v", "z")
-    m = V.masks(s, d).join(v, ["image_id", "y", "x"])
-    return E.soft_losses(m, sigmoid(F.col("z") * 4)).select("image_id", r6("bce").alias("bce"), r6("dice_loss").alias("dice_loss"))
+    return E.soft_losses(V.masks(s, d, "z"), sigmoid(F.col("z") * 4)).select("image_id", r6("bce").alias("bce"), r6("dice_loss").alias("dice_loss"))
 
 
 @query("A37_generalisation_gap", f"select {R('avg(case when image_id%4<>0 then c end)')} internal, {R('avg(case when image_id%4=0 then c end)')} external_, {R('avg(case when image_id%4<>0 then c end)-avg(case when image_id%4=0 then c end)')} gap from (select image_id, case when correct then 1e0 else 0 end c from preds) q")
@@ -247,6 +245,26 @@ def _(s, d):
     return p.select("image_id", F.col("ka").alias("det_k"), F.col("kb").alias("truth_k"), r6("iou").alias("iou"))
 
 
+PIXEL_BOXES = {
+    "pixel_boxes": "select b.image_id, b.k, b.kind, b.class_index, b.score, b.x1*g.w x1, b.y1*g.h y1, b.x2*g.w x2, b.y2*g.h y2 from boxes b join img_dims g on b.image_id=g.image_id",
+    "pixel_ious": f"select a.image_id, a.k ka, b.k kb, {IOU} iou from pixel_boxes a join pixel_boxes b on a.image_id=b.image_id where a.kind='det' and b.kind='truth'",
+}
+
+
+def pixel_boxes(s, d):
+    """Boxes in pixels of their image, a few hundred units wide."""
+    b = V.boxes(s, d).join(V.img_dims(s, d).select("image_id", "w", "h"), "image_id")
+    scaled = {c: F.col(c) * F.col("w" if c[0] == "x" else "h") for c in G.CORNERS}
+    return b.withColumns(scaled).drop("w", "h")
+
+
+@query("J06_pixel_boxes", f"select image_id, ka det_k, kb truth_k, {R('iou')} iou from pixel_ious where iou>0", extra=PIXEL_BOXES)
+def _(s, d):
+    b = pixel_boxes(s, d)
+    p = B.overlap_pairs(b.filter("kind = 'det'"), b.filter("kind = 'truth'"))
+    return p.select("image_id", F.col("ka").alias("det_k"), F.col("kb").alias("truth_k"), r6("iou").alias("iou"))
+
+
 @query("B01_corner_centre", f"select image_id, k, {R('(x1+x2)/2')} cx, {R('(y1+y2)/2')} cy, {R('x2-x1')} bw, {R('y2-y1')} bh, {R('x1')} back_x1, {R('y2')} back_y2 from boxes")
 def _(s, d):
     c = V.boxes(s, d).select("image_id", "k", *G.corner_to_centre(*[F.col(n) for n in G.CORNERS]))
@@ -261,8 +279,8 @@ def _(s, d):
     return c.select("image_id", "k", r6(left).alias("px_left"), r6(top).alias("px_top"), r6(F.col("bw") * F.col("w")).alias("px_w"), r6(F.col("bh") * F.col("h")).alias("px_h"))
 
 
-SIZES, RATIOS = [0.75, 0.5, 0.25], [1, 2, 0.5]
-SHAPES = ", ".join(f"({i},{float(sz)!r}::double,{float(r)!r}::double)" for i, (sz, r) in enumerate([(0.75, 1), (0.5, 1), (0.25, 1), (0.75, 2), (0.75, 0.5)]))
+SIZES, RATIOS = [0.8, 0.4, 0.2], [1, 3, 0.4]
+SHAPES = ", ".join(f"({i},{float(sz)!r}::double,{float(r)!r}::double)" for i, (sz, r) in enumerate([(0.8, 1), (0.4, 1), (0.2, 1), (0.8, 3), (0.8, 0.4)]))
 
 
 def anchor_sql(div, level):
@@ -310,6 +328,18 @@ def _(s, d):
     return B.assign_anchors(det(s, d), truth(s, d))
 
 
+PIXEL_ASSIGN = {
+    **PIXEL_BOXES,
+    **{k: ASSIGN[k].replace("ious", "pixel_ious").replace("from tru)", "from pixel_boxes where kind='truth')") for k in ("pick", "forced", "assigned")},
+}
+
+
+@query("B04_pixel_boxes", "select image_id, cast(k as int) k, cast(truth as int) truth from assigned", extra=PIXEL_ASSIGN, recursive=True)
+def _(s, d):
+    b = pixel_boxes(s, d)
+    return B.assign_anchors(b.filter("kind = 'det'"), b.filter("kind = 'truth'"))
+
+
 @query("B05_encode_offsets", "select image_id, k, " + ", ".join(f"{R(c)} {c}" for c in OFFS) + " from targets where mask=1", extra=ASSIGN, recursive=True)
 def _(s, d):
     t = B.anchor_targets(det(s, d), truth(s, d)).filter("mask = 1")
@@ -366,6 +396,26 @@ def _(s, d):
     return B.suppress(decoded(s, d), 0.5)
 
 
+CROWD = {
+    **{k: v for k, v in RAW.items() if k != "sweep" and k != "keeps" and k != "dec"},
+    "solo": RAW["dec"],
+    "dec": "select g.class_index::bigint image_id, cast(s.image_id*16+s.k as int) k, score, cls, x1+s.image_id%25*75e-2 x1, y1+s.image_id//25%20*75e-2 y1, x2+s.image_id%25*75e-2 x2, y2+s.image_id//25%20*75e-2 y2 from solo s join img_dims g on s.image_id=g.image_id",
+    "sweep": """select image_id, 0::bigint r, []::bigint[] kept from (select distinct image_id from ord) z
+      union all select w.image_id, w.r+1, case when exists (select 1 from overlapped o where o.image_id=w.image_id and o.rb=w.r+1 and list_contains(w.kept,o.ra)) then w.kept else list_append(w.kept,w.r+1) end from sweep w where w.r<(select max(r) from ord)""",
+    "keeps": "select s.image_id, unnest(kept) r from sweep s join (select max(r) n from ord) m on s.r=m.n",
+}
+
+
+@query("B08_crowded_images", "select o.image_id, o.k from ord o join keeps using (image_id, r)", extra=CROWD, recursive=True)
+def _(s, d):
+    """All boxes of a class stand in one wide image: hundreds of boxes, beyond what a fold takes."""
+    label = V.img_dims(s, d).select("image_id", F.col("class_index").cast("bigint").alias("c"))
+    b = decoded(s, d).join(label, "image_id").withColumn("k", (F.col("image_id") * 16 + F.col("k")).cast("int"))
+    move = {"x": F.col("image_id") % 25 * 0.75, "y": F.floor(F.col("image_id") / 25) % 20 * 0.75}
+    b = b.withColumns({c: F.col(c) + move[c[0]] for c in G.CORNERS})
+    return B.suppress(b.withColumn("image_id", F.col("c")).drop("c"), 0.5, fold_limit=64)
+
+
 @query("B09_decoded_detections", f"select image_id, k, row_number() over (partition by image_id order by kept desc, case when kept then -score else 0 end, k) position, kept, case when kept and score>=0.009999999 then cls else -1 end class_index, {R('case when score<0.009999999 then 1-score else score end')} confidence, {R('x1')} x1, {R('y1')} y1, {R('x2')} x2, {R('y2')} y2 from (select o.*, s.r is not null kept from ord o left join keeps s using (image_id, r)) q", extra=RAW, recursive=True)
 def _(s, d):
     t = B.decode_detections(raw_detections(s, d), ["p1", "p2"], ["o1", "o2", "o3", "o4"])

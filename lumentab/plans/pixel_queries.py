@@ -41,7 +41,7 @@ def _(s, d):
 
 @query("P04_image_and_or", "select a.image_id, a.y, a.x, a.v & b.v v_and, a.v | b.v v_or from px8 a join px8 b on b.image_id=a.image_id+1 and a.y=b.y and a.x=b.x")
 def _(s, d):
-    p = V.px8(s, d)
+    p = V.byte_rasters(s, d)
     return P.combine(p, p.withColumn("image_id", F.col("image_id") - 1), "and", "or")
 
 

@@ -342,9 +342,9 @@ def _(s, d):
 
 @query("M05_hadamard", f"select a.i, a.j, {R('a.v*b.v')} product, {R('a.v*2+3')} scaled from mat a join (select 63-j j, i, v from mat) b on a.i=b.i and a.j=b.j")
 def _(s, d):
-    m = V.mat(s, d)
-    other = m.select("i", (F.lit(63) - F.col("j")).alias("j"), F.col("v").alias("bv"))
-    return m.join(other, ["i", "j"]).select("i", "j", r6(F.col("v") * F.col("bv")).alias("product"), r6(F.col("v") * 2 + 3).alias("scaled"))
+    rows = V.rasters(s, d).select(F.col("image_id").alias("i"), F.col("cells").alias("a"), F.reverse("cells").alias("b"))
+    cells = M.hadamard(rows, "i", "a", "b").withColumnRenamed("v", "product")
+    return cells.select("i", "j", r6("product").alias("product"), r6(F.col("a") * 2 + 3).alias("scaled"))
 
 
 @query("M06_centre", f"select i, j, {R('v-(select avg(v) from mat)')} v from mat")

@@ -56,10 +56,12 @@ def px(spark, sf) -> DataFrame:
     )
 
 
+def byte_value(v):
+    return F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v + 0.5) * 255))).cast("int")
+
+
 def px8(spark, sf) -> DataFrame:
-    return px(spark, sf).withColumn(
-        "v", F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("v") + 0.5) * 255))).cast("int")
-    )
+    return px(spark, sf).withColumn("v", byte_value(F.col("v")))
 
 
 def bgr(spark, sf) -> DataFrame:
@@ -201,12 +203,14 @@ def preds_topk(spark, sf) -> DataFrame:
     )
 
 
-def masks(spark, sf) -> DataFrame:
+def masks(spark, sf, *more) -> DataFrame:
+    """Truth and predicted mask; ``more`` are further columns of the same pixel, ``z`` the raw value."""
     v = F.col("v")
-    return px8(spark, sf).select(
+    return px(spark, sf).withColumn("z", F.col("v")).withColumn("v", byte_value(F.col("v"))).select(
         "image_id",
         "y",
         "x",
+        *more,
         F.when(F.col("image_id") % 50 == 0, 0).when(v >= 128, 1).otherwise(0).alias("t"),
         F.when(v >= 140, 1).otherwise(0).alias("p"),
     )

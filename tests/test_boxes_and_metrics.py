@@ -22,22 +22,22 @@ def iou(a, b):
 
 
 def test_worked_anchor_labels(spark):
-    truths = table(spark, [(0, 0, 0, 1.0, 0.1, 0.08, 0.52, 0.92), (0, 1, 1, 1.0, 0.55, 0.2, 0.9, 0.88)])
-    raw = [(0.0, 0.1, 0.2, 0.3), (0.15, 0.2, 0.4, 0.4), (0.63, 0.05, 0.88, 0.98), (0.66, 0.45, 0.8, 0.8), (0.57, 0.3, 0.92, 0.9)]
+    truths = table(spark, [(0, 0, 0, 1.0, 0.0, 0.0, 0.4, 0.4), (0, 1, 1, 1.0, 0.5, 0.5, 0.9, 0.9)])
+    raw = [(0.05, 0.0, 0.45, 0.4), (0.5, 0.5, 0.9, 0.8), (0.6, 0.0, 0.8, 0.2), (0.52, 0.5, 0.92, 0.9)]
     anchors = table(spark, [(0, i, 0, 1.0, *b) for i, b in enumerate(raw)])
     got = {r["k"]: r for r in B.anchor_targets(anchors, truths).collect()}
-    assert [got[i]["target_class"] for i in range(5)] == [0, 1, 2, 0, 2]
-    assert [got[i]["mask"] for i in range(5)] == [0, 1, 1, 0, 1]
-    assert np.allclose([got[1][c] for c in ("dx", "dy", "dw", "dh")], [1.40, 10.0, 2.59, 7.18], atol=0.01)
+    assert [got[i]["target_class"] for i in range(4)] == [1, 2, 0, 2]
+    assert [got[i]["mask"] for i in range(4)] == [1, 1, 0, 1]
+    assert np.allclose([got[0][c] for c in ("dx", "dy", "dw", "dh")], [-1.25, 0.0, 0.0, 0.0], atol=0.001)
 
 
 def test_worked_suppression(spark):
-    raw = [(0.1, 0.08, 0.52, 0.92), (0.08, 0.2, 0.56, 0.95), (0.15, 0.3, 0.62, 0.91), (0.55, 0.2, 0.9, 0.88)]
-    dog, cat = [0.9, 0.8, 0.7, 0.1], [0.1, 0.2, 0.3, 0.9]
+    raw = [(0.0, 0.0, 0.4, 0.4), (0.02, 0.0, 0.42, 0.4), (0.6, 0.6, 0.9, 0.9), (0.61, 0.6, 0.91, 0.9)]
+    first, second = [0.9, 0.7, 0.2, 0.1], [0.1, 0.2, 0.8, 0.6]
     df = table(spark, [(0, i, 0, 0.0, *b) for i, b in enumerate(raw)]).drop("score")
-    scores = spark.createDataFrame([(i, dog[i], cat[i], 0.0) for i in range(4)], "k int, p1 double, p2 double, o double")
+    scores = spark.createDataFrame([(i, first[i], second[i], 0.0) for i in range(4)], "k int, p1 double, p2 double, o double")
     out = B.decode_detections(df.join(scores, "k"), ["p1", "p2"], ["o"] * 4, 0.5).orderBy("position").collect()
-    assert [(r["k"], r["class_index"], r["confidence"]) for r in out] == [(0, 0, 0.9), (3, 1, 0.9), (1, -1, 0.8), (2, -1, 0.7)]
+    assert [(r["k"], r["class_index"], r["confidence"]) for r in out] == [(0, 0, 0.9), (2, 1, 0.8), (1, -1, 0.7), (3, -1, 0.6)]
 
 
 def many(seed, images=6, per=40):
@@ -107,7 +107,7 @@ def test_average_precision(spark, limit):
 
 def test_overlap_pairs_report_each_pair_once(spark):
     rows = many(6, images=2)
-    got = [(r["image_id"], r["ka"], r["kb"]) for r in B.overlap_pairs(table(spark, rows), table(spark, rows), cell=0.07).collect()]
+    got = [(r["image_id"], r["ka"], r["kb"]) for r in B.overlap_pairs(table(spark, rows), table(spark, rows)).collect()]
     want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and iou(a[4:], b[4:]) > 0}
     assert len(got) == len(set(got)) and set(got) == want
 
@@ -139,12 +139,10 @@ def test_top_k_bounds(spark):
     assert P.argmax(probs.filter("class_index < 2")).first()["predicted_index"] == 0
 
 
-def test_large_models_are_joined(spark, monkeypatch):
+def test_joined_models_score_alike(spark):
     v = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "id long, v array<double>")
     w = spark.createDataFrame([(c, i, float(c + i)) for c in range(3) for i in range(2)], "class_index int, i int, w double")
-    small = sorted(P.linear_scores(v, w).collect())
-    monkeypatch.setattr(P, "MODEL_CELLS", 1)
-    assert sorted(P.linear_scores(v, w).collect()) == small
+    assert sorted(P.linear_scores(v, w).collect()) == sorted(P.linear_scores(v, w, joined=True).collect())
 
 
 def test_synthetic_line_is_recovered(spark):
@@ -155,15 +153,24 @@ def test_synthetic_line_is_recovered(spark):
 
 
 def test_feature_preparation_on_the_tiny_table(spark):
-    t = spark.createDataFrame([(None, "Pave", 127500), (2.0, None, 106000), (4.0, None, 178100), (None, None, 140000)], "rooms double, alley string, price int")
+    t = spark.createDataFrame([(None, "gravel", 90500), (3.0, None, 99000), (5.0, None, 150250), (None, None, 120000)], "rooms double, alley string, price int")
     filled = Fe.one_hot(Fe.impute_means(t, ["rooms"]), ["alley"])
-    assert [tuple(r) for r in filled.orderBy("price").collect()] == [(2.0, 106000, 0, 1), (3.0, 127500, 1, 0), (3.0, 140000, 0, 1), (4.0, 178100, 0, 1)]
+    assert [tuple(r) for r in filled.orderBy("price").collect()] == [(4.0, 90500, 1, 0), (3.0, 99000, 0, 1), (4.0, 120000, 0, 1), (5.0, 150250, 0, 1)]
     assert Fe.numeric_columns(t) == ["rooms", "price"] and Fe.text_columns(t) == ["alley"]
     z = [r["rooms"] for r in Fe.standardise(t, ["rooms"]).orderBy("price").collect()]
-    assert np.allclose(z, [-1 / 2**0.5, 0, 0, 1 / 2**0.5])
+    assert np.allclose(z, [0, -1 / 2**0.5, 0, 1 / 2**0.5])
 
 
-def test_level_count_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(Fe, "MAX_LEVELS", 2)
+def test_level_count_is_checked(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id int, s string")
     with pytest.raises(ValueError):
-        Fe.levels_of(spark.createDataFrame([("a",), ("b",), ("c",)], "s string"), "s")
+        Fe.one_hot(t, ["s"], max_levels=2)
+    assert [tuple(r) for r in Fe.one_hot_long(t, "id", ["s"]).orderBy("id").collect()] == [(1, "s", "a"), (2, "s", "b"), (3, "s", "c"), (4, "s", None)]
+
+
+@pytest.mark.parametrize("scale", [1.0, 400.0, 1e-3])
+def test_overlap_pairs_in_any_unit(spark, scale):
+    rows = [(*r[:4], *(c * scale for c in r[4:])) for r in many(8, images=2)] + [(0, 900, 0, 1.0, 0.0, 0.0, 90 * scale, 90 * scale), (0, 901, 0, 1.0, 0.5 * scale, 0.5 * scale, 0.5 * scale, 0.9 * scale)]
+    got = [(r["image_id"], r["ka"], r["kb"]) for r in B.overlap_pairs(table(spark, rows), table(spark, rows)).collect()]
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[6] > a[4] and b[6] > b[4] and iou(a[4:], b[4:]) > 0}
+    assert len(got) == len(set(got)) and set(got) == want

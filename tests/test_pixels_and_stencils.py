@@ -172,3 +172,20 @@ def test_moving_statistics_fold(spark):
         mean, var = 0.9 * mean + 0.1 * b * b, 0.9 * var + 0.1 * (1 + b)
     r = A.moving_statistics(batches, 0.9).first()
     assert abs(r["moving_mean"] - mean) < 1e-12 and abs(r["moving_var"] - var) < 1e-12
+
+
+def test_a_tile_with_a_gap_is_refused(spark):
+    px = spark.createDataFrame([(1, y, x, float(y + x)) for y in range(4) for x in range(4) if (y, x) != (1, 2)], "image_id long, y int, x int, v double")
+    dims = spark.createDataFrame([(1, 4, 4)], "image_id long, h int, w int")
+    with pytest.raises(Exception, match="lacks pixels"):
+        W.tiles_from_pixels(px, dims, halo=1, side=4).collect()
+
+
+def test_edges_of_very_wide_images_do_not_meet(spark, monkeypatch):
+    from lumentab.operators import edges as E
+
+    # (0, 65536) and (1, 0) are far apart; only the second touches a strong pixel
+    rows = [(1, 0, 65536, 1.0, False), (1, 1, 0, 1.0, False), (1, 1, 1, 9.0, True), (1 << 40, 1, 2, 1.0, False)]
+    ridges = spark.createDataFrame(rows, "image_id long, y int, x int, m double, strong boolean")
+    monkeypatch.setattr(E, "ridge_pixels", lambda *a: ridges)
+    assert sorted(tuple(r) for r in E.edge_map(None).collect()) == [(1, 1, 0), (1, 1, 1)]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lumentab.functions.numeric import dot
+from lumentab.functions.numeric import dot, let
 from lumentab.operators.ranking import row_numbers
 
 
@@ -25,11 +25,11 @@ def linear_scores(vectors: DataFrame, weights: DataFrame, scale: float = 1.0, jo
     return vectors.withColumn("m", model.scalar()).select("id", F.transform("m", score).alias("scores"))
 
 
-def softmax(logits: DataFrame) -> DataFrame:
-    """Stable softmax per image over its class rows (as many as there are classes)."""
-    w = Window.partitionBy("image_id")
-    raised = logits.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
-    return raised.withColumn("p", F.col("e") / F.sum("e").over(w)).drop("e")
+def softmax(scores: Column) -> Column:
+    """Stable softmax of one row's array of (class_index, z): an array of (class_index, p)."""
+    raised = lambda m: F.transform(scores, lambda c: F.struct(c["class_index"].alias("class_index"), F.exp(c["z"] - m).alias("e")))
+    shares = lambda r: let(F.aggregate(r, F.lit(0.0), lambda t, c: t + c["e"]), lambda t: F.transform(r, lambda c: F.struct(c["class_index"].alias("class_index"), (c["e"] / t).alias("p"))))
+    return let(F.array_max(F.transform(scores, lambda c: c["z"])), lambda m: let(raised(m), shares))
 
 
 def argmax(probs: DataFrame) -> DataFrame:
@@ -46,12 +46,18 @@ def top_k(probs: DataFrame, k: int, classes: int | None = None) -> DataFrame:
     return probs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
 
 
-def crop_ensemble(crop_logits: DataFrame) -> DataFrame:
-    """Mean over crops of the softmax of each crop."""
-    w = Window.partitionBy("image_id", "crop")
-    raised = crop_logits.withColumn("e", F.exp(F.col("z") - F.max("z").over(w)))
-    p = raised.withColumn("p", F.col("e") / F.sum("e").over(w))
-    return p.groupBy("image_id", "class_index").agg(F.avg("p").alias("p"))
+def crop_ensemble(crops: list[Column]) -> Column:
+    """Mean over crops of the softmax of each crop; all crops list the classes in one order."""
+    total = softmax(crops[0])
+    for crop in crops[1:]:
+        total = F.zip_with(total, softmax(crop), lambda a, b: F.struct(a["class_index"].alias("class_index"), (a["p"] + b["p"]).alias("p")))
+    return F.transform(total, lambda c: F.struct(c["class_index"].alias("class_index"), (c["p"] / float(len(crops))).alias("p")))
+
+
+def best_classes(probs: Column, k: int, digits: int = 9) -> Column:
+    """The first k classes of one row's array of (class_index, p), equal values by lower class."""
+    ranked = F.sort_array(F.transform(probs, lambda c: F.struct((-F.round(c["p"], digits)).alias("n"), c["class_index"].alias("class_index"))))
+    return F.transform(F.slice(ranked, 1, k), lambda c: c["class_index"])
 
 
 def wide_submission(probs: DataFrame, classes: list[int], prefix: str = "class_") -> DataFrame:

@@ -159,8 +159,7 @@ def _(s, d):
 
 @query("L05_softmax_cross_entropy", f"select l.image_id, l.class_index, {R('exp(z-m)/t')} p, {R('case when label=l.class_index then -ln(exp(z-m)/t) else 0 end')} loss from logits l join (select image_id, max(z) m from logits group by 1) a on l.image_id=a.image_id join (select l.image_id, sum(exp(z-m)) t from logits l join (select image_id, max(z) m from logits group by 1) b on l.image_id=b.image_id group by 1) c on l.image_id=c.image_id join embeddings e on e.vec_id=l.image_id")
 def _(s, d):
-    sm = P.softmax(V.logits(s, d))
-    j = sm.join(V.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label"), "image_id")
+    j = V.class_scores(s, d).select("image_id", "label", F.explode(P.softmax(F.col("s"))).alias("c")).select("image_id", "label", "c.*")
     return j.select("image_id", "class_index", r6("p").alias("p"), r6(F.when(F.col("label") == F.col("class_index"), -F.log("p")).otherwise(0.0)).alias("loss"))
 
 
@@ -181,32 +180,29 @@ CROPS = {
 }
 
 
-def crop_logits(s, d):
-    c = V.logits(s, d).withColumn("crop", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return c.withColumn("z", F.col("z") * (F.col("crop") / 10.0 + 1) + F.when((F.col("class_index") + F.col("crop")) % 3 == 0, 0.5).otherwise(0.0))
+def crop_scores(k):
+    """Scores of crop k, made from the row's own scores."""
+    bump = lambda c: F.when((c["class_index"] + k) % 3 == 0, 0.5).otherwise(0.0)
+    return F.transform("s", lambda c: F.struct(c["class_index"].alias("class_index"), (c["z"] * (1 + k / 10.0) + bump(c)).alias("z")))
 
 
 @query("L07_crop_ensemble", f"select image_id, class_index, {R('p')} p from ensemble", extra=CROPS)
 def _(s, d):
-    return P.crop_ensemble(crop_logits(s, d)).select("image_id", "class_index", r6("p").alias("p"))
+    mean = V.class_scores(s, d).select("image_id", F.explode(P.crop_ensemble([crop_scores(k) for k in range(5)])).alias("c"))
+    return mean.select("image_id", "c.class_index", r6("c.p").alias("p"))
 
 
 @query("L08_baseline_vs_crops", """select count(*) images, count(*) filter (where a.c=label) baseline_top1, count(*) filter (where list_contains(a.t,label)) baseline_top3, count(*) filter (where b.c=label) crops_top1, count(*) filter (where list_contains(b.t,label)) crops_top3, count(*) filter (where a.c<>b.c) changed
  from (select image_id, first(class_index order by round(p,9) desc, class_index) c, list(class_index order by round(p,9) desc, class_index)[1:3] t from single group by 1) a join (select image_id, first(class_index order by round(p,9) desc, class_index) c, list(class_index order by round(p,9) desc, class_index)[1:3] t from ensemble group by 1) b using (image_id) join embeddings e on e.vec_id=image_id""", extra=CROPS)
 def _(s, d):
-    crops = crop_logits(s, d)
-    label = V.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
-
-    def guesses(probs, name):
-        t = P.top_k(probs.withColumn("p", F.round("p", 9)), 3).groupBy("image_id")
-        return t.agg(F.min(F.struct("k", "class_index"))["class_index"].alias(f"{name}_c"), F.collect_list("class_index").alias(f"{name}_t"))
-
-    base = guesses(P.softmax(crops.filter("crop = 4").drop("crop")), "baseline")
-    multi = guesses(P.crop_ensemble(crops), "crops")
+    rows = V.class_scores(s, d).select(
+        "label", P.best_classes(P.softmax(crop_scores(4)), 3).alias("baseline"), P.best_classes(P.crop_ensemble([crop_scores(k) for k in range(5)]), 3).alias("crops"),
+    )
     n = lambda c: F.count(F.when(c, 1))
-    aggs = [n(F.col(f"{m}_c") == F.col("label")).alias(f"{m}_top1") for m in ("baseline", "crops")]
-    aggs += [n(F.array_contains(f"{m}_t", F.col("label"))).alias(f"{m}_top3") for m in ("baseline", "crops")]
-    return base.join(multi, "image_id").join(label, "image_id").agg(F.count("*").alias("images"), *aggs, n(F.col("baseline_c") != F.col("crops_c")).alias("changed"))
+    first = lambda m: F.get(m, F.lit(0))
+    aggs = [n(first(m) == F.col("label")).alias(f"{m}_top1") for m in ("baseline", "crops")]
+    aggs += [n(F.array_contains(m, F.col("label"))).alias(f"{m}_top3") for m in ("baseline", "crops")]
+    return rows.agg(F.count("*").alias("images"), *aggs, n(first("baseline") != first("crops")).alias("changed"))
 
 
 @query("S09_wide_submission", "select image_id, " + ", ".join(f"max(case when class_index={c} then p end) class_{c}" for c in range(10)) + " from probs group by 1")

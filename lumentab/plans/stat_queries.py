@@ -313,9 +313,10 @@ def _(s, d):
     return M.multiply(V.mat(s, d), V.mat_b(s, d)).select("i", "j", r6("v").alias("v"))
 
 
-@query("M02_matrix_vector", f"select a.i, {R('sum(a.v*b.v)')} v from mat a join (select * from mat_b where j=0) b on a.j=b.i group by 1")
+@query("M02_matrix_vector", f"select a.i, {R('sum(a.v*b.v)')} v from mat a join (select i, sum(v) v from mat_b group by 1) b on a.j=b.i group by 1")
 def _(s, d):
-    return M.multiply_vector(V.mat(s, d), V.mat_b(s, d).filter("j = 0")).select("i", r6("v").alias("v"))
+    vector = V.mat_b(s, d).groupBy("i").agg(F.sum("v").alias("v"))
+    return M.multiply_vector(V.mat(s, d), vector).select("i", r6("v").alias("v"))
 
 
 GRAM = {"gram": "select a.j i, b.j, round(sum(a.v*b.v),6) v from mat a join mat b on a.i=b.i group by 1,2"}

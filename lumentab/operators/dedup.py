@@ -36,9 +36,11 @@ def duplicate_summary(items: DataFrame, digest: str = "digest", label: str = "la
     )
 
 
-def conflict_members(items: DataFrame, digest: str = "digest", label: str = "label") -> DataFrame:
-    """Members of cross-class groups; groups are numbered by digest over all duplicate groups."""
+def conflict_members(items: DataFrame, digest: str = "digest", label: str = "label", numbered: bool = False) -> DataFrame:
+    """Members of cross-class groups; ``numbered`` adds the group's place by digest among all duplicate groups."""
     groups = items.groupBy(digest).agg(F.count("*").alias("n"), (F.min(label) != F.max(label)).alias("cross")).filter("n >= 2")
+    if not numbered:
+        return items.join(groups.filter("cross").select(digest), digest, "left_semi")
     numbered = row_numbers(groups, [digest], "group_number").filter("cross")
     return items.join(numbered.select(digest, "group_number"), digest)
 

@@ -11,11 +11,10 @@ from lumentab.session import cut_lineage
 EPSILON = 1e-7
 
 
-def overall(preds: DataFrame, true_scores: DataFrame) -> DataFrame:
-    """Accuracy, counts and mean cross-entropy; ``true_scores`` has ``image_id, p`` of the true class."""
-    j = preds.join(true_scores, "image_id")
+def overall(preds: DataFrame) -> DataFrame:
+    """Accuracy, counts and mean cross-entropy; ``preds`` has ``correct`` and ``p``, the true class's probability."""
     hit = F.col("correct").cast("bigint")
-    return j.agg(
+    return preds.agg(
         F.count("*").alias("images"), F.sum(hit).alias("correct"), F.sum(1 - hit).alias("incorrect"),
         F.avg(hit.cast("double")).alias("accuracy"), F.avg(-F.log(F.greatest(F.col("p"), F.lit(1e-9)))).alias("loss"),
     )

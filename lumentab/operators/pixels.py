@@ -6,6 +6,7 @@ operator combines two images, so a corpus scan needs no shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -152,6 +153,65 @@ def resize_nearest(px: DataFrame, fy: float, fx: float, h: int, w: int) -> DataF
     return xs.select(*keep, F.col("ty").alias("y"), F.col("tx").alias("x"))
 
 
+def _grid(rasters: DataFrame, height: Column, width: Column, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """``image_id, y, x, v`` of a new canvas whose size may differ by image, made inside the image's row."""
+    places = rasters.withColumns({"_h": height.cast("int"), "_w": width.cast("int")})
+    y, x = lambda p: F.floor(p / F.col("_w")).cast("int"), lambda p: (p % F.col("_w")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("_h") * F.col("_w") - 1), lambda p: F.struct(y(p).alias("y"), x(p).alias("x"), value(y(p), x(p)).alias("v")))
+    return places.select("image_id", F.explode(cells).alias("c")).select("image_id", "c.*")
+
+
+def _cell(y: Column, x: Column) -> Column:
+    return F.get("cells", (y * F.col("w") + x).cast("int"))
+
+
+def resize_area(rasters: DataFrame, height: Column, width: Column) -> DataFrame:
+    """Mean over the source area of every target pixel; each image may have its own target size.
+
+    ``rasters`` has ``image_id, h, w, cells``. A source cell counts by the part of it that the
+    target pixel covers.
+    """
+    ky, kx = F.col("h") / F.col("_h"), F.col("w") / F.col("_w")
+    part = lambda c, t, k: F.least(c + 1, (t + 1) * k) - F.greatest(c.cast("double"), t * k)
+    covered = lambda t, k, n: F.sequence(F.floor(t * k).cast("int"), F.least(n, F.ceil((t + 1) * k).cast("int")) - 1)
+
+    def mean(y: Column, x: Column) -> Column:
+        row = lambda r: F.aggregate(covered(x, kx, F.col("w")), F.lit(0.0), lambda a, c: a + _cell(r, c) * part(c, x, kx))
+        total = F.aggregate(covered(y, ky, F.col("h")), F.lit(0.0), lambda a, r: a + row(r) * part(r, y, ky))
+        return total / (ky * kx)
+
+    return _grid(rasters, height, width, mean)
+
+
+def letterbox(rasters: DataFrame, size: int, fill: float) -> DataFrame:
+    """Aspect-keeping nearest resize to ``size`` with padding, the way back is ``letterbox_inverse``."""
+    boxed = letterbox_geometry(rasters, size)
+
+    def value(y: Column, x: Column) -> Column:
+        r, c = y - F.col("top"), x - F.col("left")
+        inside = (r >= 0) & (r < F.col("rh")) & (c >= 0) & (c < F.col("rw"))
+        source = _cell(F.floor(r * F.col("h") / F.col("rh").cast("double")), F.floor(c * F.col("w") / F.col("rw").cast("double")))
+        return F.when(inside, source).otherwise(F.lit(float(fill)))
+
+    return _grid(boxed, F.lit(size), F.lit(size), value)
+
+
+def rotate(rasters: DataFrame, degrees: float, fill: float) -> DataFrame:
+    """Rotation about the centre onto a canvas that holds all of the image, nearest source pixel."""
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    height = F.ceil(F.col("h") * abs(c) + F.col("w") * abs(s) - 1e-9)
+    width = F.ceil(F.col("h") * abs(s) + F.col("w") * abs(c) - 1e-9)
+
+    def value(y: Column, x: Column) -> Column:
+        dy, dx = y - (F.col("_h") - 1) / 2.0, x - (F.col("_w") - 1) / 2.0
+        sy = F.rint(dx * -s + dy * c + (F.col("h") - 1) / 2.0)
+        sx = F.rint(dx * c + dy * s + (F.col("w") - 1) / 2.0)
+        inside = (sy >= 0) & (sy < F.col("h")) & (sx >= 0) & (sx < F.col("w"))
+        return F.when(inside, _cell(sy, sx)).otherwise(F.lit(float(fill)))
+
+    return _grid(rasters, height, width, value)
+
+
 def letterbox_geometry(dims: DataFrame, size: int) -> DataFrame:
     """Scale, resized size and the four paddings of an aspect-keeping resize to ``size``."""
     w, h = F.col("w"), F.col("h")

@@ -47,7 +47,7 @@ def _(s, d):
 
 @query("A08_conflict_report", "select group_number, digest, label, doc_id from conflicts", extra=DOCS)
 def _(s, d):
-    return D.conflict_members(docs(s, d)).select("group_number", "digest", "label", "doc_id")
+    return D.conflict_members(docs(s, d), numbered=True).select("group_number", "digest", "label", "doc_id")
 
 
 @query("A09_exclusion_manifest", f"select doc_id, label, digest, '{D.REASON}' reason, '{D.ACTION}' \"action\", true key_unique from conflicts", extra=DOCS)

@@ -26,9 +26,9 @@ def query(name, sql=None, **kw):
 
 @query("A14_overall_metrics", f"select count(*) images, count(*) filter (where correct) correct, count(*) filter (where not correct) incorrect, {R('avg(case when correct then 1e0 else 0 end)')} accuracy, {R('avg(-ln(greatest(b.p,1e-9)))')} loss from preds a join probs b on a.image_id=b.image_id and a.true_index=b.class_index")
 def _(s, d):
-    p = V.preds(s, d)
-    true = V.class_probs(s, d).select("image_id", F.get(F.filter("s", lambda c: c["class_index"] == F.col("label")), F.lit(0))["p"].alias("p"))
-    return E.overall(p, true).select("images", "correct", "incorrect", r6("accuracy").alias("accuracy"), r6("loss").alias("loss"))
+    true = F.get(F.filter("s", lambda c: c["class_index"] == F.col("label")), F.lit(0))["p"]
+    rows = V.class_probs(s, d).select((F.get(P.best_classes(F.col("s"), 1), F.lit(0)) == F.col("label")).alias("correct"), true.alias("p"))
+    return E.overall(rows.filter("p is not null")).select("images", "correct", "incorrect", r6("accuracy").alias("accuracy"), r6("loss").alias("loss"))
 
 
 REPORT = {

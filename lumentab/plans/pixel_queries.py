@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from lumentab.functions.numeric import r6, relu, sigmoid
@@ -125,6 +127,40 @@ def _(s, d):
     return small.unionByName(P.resize_nearest(V.px8(s, d), 2.0, 2.0, 8, 8).withColumn("pct", F.lit(200)))
 
 
+AREA = "sum(v*(least(p.y+1,(a.d+1)*8e0/nh)-greatest(p.y,a.d*8e0/nh))*(least(p.x+1,(b.d+1)*8e0/nw)-greatest(p.x,b.d*8e0/nw)))/(8e0/nh*8e0/nw)"
+
+
+@query("P14_resize_area", f"select p.image_id, cast(a.d as int) y, cast(b.d as int) x, {R(AREA)} v from (select *, 2+image_id%5 nh, 3+image_id%4 nw from px) p join range(0,6) a(d) on a.d<nh and p.y+1>a.d*8e0/nh and p.y<(a.d+1)*8e0/nh join range(0,6) b(d) on b.d<nw and p.x+1>b.d*8e0/nw and p.x<(b.d+1)*8e0/nw group by 1,2,3,nh,nw")
+def _(s, d):
+    i = F.col("image_id")
+    return P.resize_area(V.rasters(s, d), i % 5 + 2, i % 4 + 3).select("image_id", "y", "x", r6("v").alias("v"))
+
+
+def low_rasters(s, d):
+    """Rasters of one to eight rows."""
+    h = (F.col("image_id") % 8 + 1).cast("int")
+    return V.byte_rasters(s, d).withColumn("cells", F.slice("cells", 1, h * 8)).withColumn("h", h)
+
+
+@query("P15_letterbox_pixels", """select g.image_id, cast(a.d as int) y, cast(b.d as int) x, cast(coalesce(p.v,114) as double) v from
+ (select *, cast(floor((12-rh)/2e0) as int) tp from (select *, cast(round_even(h*sc,0) as int) rh from (select distinct image_id, image_id%8+1 h, least(12e0/8,12e0/(image_id%8+1)) sc from px8) q) z) g
+ join range(0,12) a(d) on true join range(0,12) b(d) on true
+ left join px8 p on p.image_id=g.image_id and a.d>=tp and a.d<tp+rh and p.y=floor((a.d-tp)*h/cast(rh as double)) and b.d>=cast(floor((12-cast(round_even(8*sc,0) as int))/2e0) as int) and b.d<cast(floor((12-cast(round_even(8*sc,0) as int))/2e0) as int)+cast(round_even(8*sc,0) as int) and p.x=floor((b.d-cast(floor((12-cast(round_even(8*sc,0) as int))/2e0) as int))*8/cast(cast(round_even(8*sc,0) as int) as double))""")
+def _(s, d):
+    return P.letterbox(low_rasters(s, d), 12, 114).select("image_id", "y", "x", "v")
+
+
+COS, SIN = math.cos(math.radians(30)), math.sin(math.radians(30))
+
+
+@query("P13_rotated", f"""select g.image_id, cast(a.d as int) y, cast(b.d as int) x, cast(coalesce(p.v,0) as double) v from
+ (select *, cast(ceil(h*{COS!r}::double+8*{SIN!r}::double-1e-9) as int) nh, cast(ceil(h*{SIN!r}::double+8*{COS!r}::double-1e-9) as int) nw from (select distinct image_id, image_id%8+1 h from px8) q) g
+ join range(0,12) a(d) on a.d<nh join range(0,12) b(d) on b.d<nw
+ left join px8 p on p.image_id=g.image_id and p.y<h and p.y=round_even((b.d-(nw-1)/2e0)*-{SIN!r}::double+(a.d-(nh-1)/2e0)*{COS!r}::double+(h-1)/2e0,0) and p.x=round_even((b.d-(nw-1)/2e0)*{COS!r}::double+(a.d-(nh-1)/2e0)*{SIN!r}::double+7/2e0,0)""")
+def _(s, d):
+    return P.rotate(low_rasters(s, d), 30, 0).select("image_id", "y", "x", "v")
+
+
 def letterbox_sql(size):
     return f"""select image_id, w, h, scale, rw, rh, lft, tp, {size}-rw-lft rgt, {size}-rh-tp bot from
  (select *, cast(floor(({size}-rw)/2e0) as int) lft, cast(floor(({size}-rh)/2e0) as int) tp from

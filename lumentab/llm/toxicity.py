@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from lumentab.llm import batches as B
@@ -129,16 +130,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
                 names=["doc_id", "toxic", "ids", "counts"],
             )
 
-    got = texts.mapInArrow(extract, "doc_id bigint, toxic int, ids array<int>, counts array<int>").toArrow().sort_by("doc_id")
-    y = got.column("toxic").to_numpy()
-    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy()
-    per_doc = np.array([len(x) for x in got.column("counts")], np.int64)
-    if not len(y):
-        return np.zeros(FEATURES, np.float32), BIAS
-    back = {k: totals[k] / max(1, (y == k).sum()) for k in totals}
-    return learn(flat("ids"), flat("counts").astype(np.int64), per_doc, y, np.array([back[k] for k in y]))
+    def train(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(parts), schema=FEATURE_ROWS).sort_by("doc_id").combine_chunks()
+        weights, bias = np.zeros(FEATURES, np.float32), BIAS
+        if got.num_rows:
+            y = got.column("toxic").to_numpy()
+            flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy()
+            per_doc = pc.list_value_length(got.column("counts")).to_numpy().astype(np.int64)
+            back = {k: totals[k] / max(1, (y == k).sum()) for k in totals}
+            weights, bias = learn(flat("ids"), flat("counts").astype(np.int64), per_doc, y, np.array([back[k] for k in y]))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
+    # the bounded sample is learned from in one task; the driver only gets the weights
+    rows = texts.mapInArrow(extract, "doc_id bigint, toxic int, ids array<int>, counts array<int>").repartition(1)
+    model = rows.mapInArrow(train, "weights binary, bias double").first()
+    return np.frombuffer(bytes(model["weights"]), np.float32), float(model["bias"])
 
+
+FEATURE_ROWS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
 RESULT = "doc_id bigint, score double, n_sentences int, offending array<struct<sentence:int,score:double,text:string>>"
 
 

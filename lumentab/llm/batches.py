@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -33,6 +33,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    # workers live on for other tasks; what this one no longer needs goes back
+    pa.default_memory_pool().release_unused()
 
 
 def raw_texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

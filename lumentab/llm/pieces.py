@@ -258,7 +258,7 @@ def relax(sizes: np.ndarray, found: np.ndarray, order: np.ndarray) -> tuple[np.n
 SEGMENT = re.compile(rb" *[^ ]+| +")
 SPACE_BYTES = SPACE.encode()
 #: Distinct segments whose ids a task remembers from one chunk to the next.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 class Encoder:

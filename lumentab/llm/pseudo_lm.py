@@ -1,12 +1,15 @@
 """LM scoring by masked pseudo-likelihood.
 
-Every token is predicted from the two tokens before and the two after it. A token is a class
-(its form and how frequent it is) and a word of that class: a window network, trained in numpy,
-gives the class from both sides, and corpus counts give the word. A document's score is the sum
-of its tokens' conditional log-probabilities.
-
-The network sees the classes of a window only, so counts of class windows over the whole corpus
-are all that training needs; Spark adds them up and their number is fixed by the classes.
+Every token is predicted from both sides. A token has a class (its form and how frequent it is);
+a window network, trained in numpy, gives the class from the classes of two tokens on either
+side, and corpus counts give the word of the class. Counts of the words next to each other give
+the word from its left and from its right neighbour; the three are mixed by how often the
+neighbours were seen, so the mixture sums to 1 over all words. A document's score is the sum of
+its tokens' conditional log-probabilities.
+
+Words and pairs are counted by 62- and 64-bit digests in Spark tables that grow with the corpus,
+and the totals go back to the chunk of documents that asks for them. The driver holds the counts
+of class windows, whose number is fixed by the classes, and how many words have which count.
 """
 
 from __future__ import annotations
@@ -17,18 +20,21 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lumentab.llm import batches as B
-from lumentab.session import ship_package
+from lumentab.session import cut_lineage, ship_package
 
-#: Hashed words that are counted; frequency bands and forms of a class; the last class is the edge of a text.
-BUCKETS, BANDS, FORMS = 1 << 18, 8, 4
+#: Frequency bands and forms of a class; the last class is the edge of a text.
+BANDS, FORMS = 8, 4
 CLASSES = BANDS * FORMS + 1
 EDGE = CLASSES - 1
 #: Outer neighbours are told apart only as edge, frequent and rare.
 OUTER = 3
 CELLS = OUTER * CLASSES * CLASSES * CLASSES * OUTER
+#: Sightings of a neighbour at which its own counts weigh as much as the network.
+BACKOFF = 32
 ENDS = np.zeros(256, bool)
 ENDS[list(b".,;:!?|")] = True
 #: Bytes of plain words: letters of ASCII and all of other scripts.
@@ -37,7 +43,7 @@ PLAIN[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all words on one line, words per text, and each code's bucket and form."""
+    """Codes of all words on one line, words per text, and each code's word key and form; the key's low bits are the form."""
     words = [t.split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     flat = np.empty(int(counts.sum()), dtype=object)
@@ -45,14 +51,14 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     codes, unique = pd.factorize(flat)
     if not len(unique):
         return codes, counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bucket = (pd.util.hash_array(unique, categorize=False) % np.uint64(BUCKETS)).astype(np.int64)
     sizes = np.fromiter(map(len, unique), np.int64, len(unique))
     data = np.frombuffer(b"".join(unique), np.uint8)
     last = np.cumsum(sizes) - 1
     first, end = data[last - sizes + 1], ENDS[data[last]]
     odd = np.add.reduceat(~PLAIN[data], last - sizes + 1) - end
     form = np.where(odd > 0, 3, np.where(end, 2, np.where((first >= 65) & (first <= 90), 1, 0)))
-    return codes, counts, bucket, form.astype(np.int64)
+    key = pd.util.hash_array(unique, categorize=False).view(np.int64) & ~np.int64(FORMS - 1)
+    return codes, counts, key | form, form.astype(np.int64)
 
 
 def windows(classes: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,11 +80,16 @@ def _contexts(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return ((a * CLASSES + b) * CLASSES + c) * OUTER + d
 
 
-def _sums(docs: DataFrame, add, size: int) -> np.ndarray:
-    """Sum over all documents of a table that ``add(table, texts)`` fills in each task.
+def _added(cells: DataFrame, size: int) -> np.ndarray:
+    """Sums of ``cell, n`` rows; ``size`` bounds what meets on the driver."""
+    got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return out
 
-    A task sends the filled cells of its own table; ``size`` bounds what meets on the driver.
-    """
+
+def _sums(docs: DataFrame, add, size: int) -> np.ndarray:
+    """Sum over all documents of a table that ``add(table, texts)`` fills in each task."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -87,21 +98,114 @@ def _sums(docs: DataFrame, add, size: int) -> np.ndarray:
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
-    got = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return out
+    return _added(docs.select("text").mapInArrow(run, "cell bigint, n bigint"), size)
+
+
+def coded(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``chunk, id, words``: word keys of every row; chunk numbers hold because the table is written."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(B.chunks(parts)):
+            codes, counts, key, _ = tokens(B.raw_texts(part))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts), first + k)), part.column("id"), B.ragged(key[codes], counts, pa.int64())], names=["chunk", "id", "words"])
+
+    ship_package(docs.sparkSession)
+    kind = dict(docs.dtypes)[id_col]
+    return cut_lineage(docs.selectExpr(f"`{id_col}` as id", "text").mapInArrow(run, f"chunk bigint, id {kind}, words array<bigint>"))
+
+
+def _line(part: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all rows on one line, words per row, and whether a token has a left, a right neighbour."""
+    column = part.column("words")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    words, counts = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy()).astype(np.int64)
+    left, right = np.ones(len(words), bool), np.ones(len(words), bool)
+    some = counts > 0
+    left[B.starts_of(counts)[some]] = False
+    right[np.cumsum(counts)[some] - 1] = False
+    return words, counts, left, right
+
+
+def _pair_keys(words: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Keys of each token that has a left neighbour with that neighbour."""
+    at = np.flatnonzero(left)
+    with np.errstate(over="ignore"):
+        return B.mixed(words[at - 1].view(np.uint64) * B.STEP + words[at].view(np.uint64)).view(np.int64)
+
+
+def _counted(data: DataFrame, pairs: bool) -> DataFrame:
+    """Totals of all words, or of all pairs, of the corpus; of words also how many have a neighbour."""
+    names = ["key", "n"] if pairs else ["key", "n", "followed", "preceded"]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            words, _, left, right = _line(part)
+            codes, keys = pd.factorize(_pair_keys(words, left) if pairs else words)
+            sides = [] if pairs else [codes[right], codes[left]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(c, minlength=len(keys)), pa.int64()) for c in (codes, *sides))], names=names)
+
+    got = data.select("words").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    return got.groupBy("key").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
-def bands(counts: np.ndarray) -> np.ndarray:
-    """Band of each bucket: buckets by falling count, cut into bands of equal shares of the tokens."""
-    order = np.argsort(-counts, kind="stable")
-    share = np.cumsum(counts[order]) - counts[order] / 2
-    out = np.empty(len(counts), np.int64)
-    out[order] = np.minimum(BANDS - 1, share * BANDS // max(1, counts.sum())).astype(np.int64)
+def _gathered(data: DataFrame, totals: DataFrame, pairs: bool, use, schema: str) -> DataFrame:
+    """``use(totals, documents)`` of every chunk, with the totals of its words and, if asked for, its pairs.
+
+    A chunk asks once for a key, so a word or pair that stands everywhere is a row per chunk.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            chunk = part.column("chunk").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+            for a, b in zip(cut, cut[1:]):
+                words, _, left, _ = _line(part.slice(a, b - a))
+                keys = np.concatenate([pd.unique(words), pd.unique(_pair_keys(words, left))]) if pairs else pd.unique(words)
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), chunk[a]))], names=["key", "chunk"])
+
+    asked = data.select("chunk", "words").mapInArrow(run, "key bigint, chunk bigint").join(totals, "key")
+    return asked.groupBy("chunk").cogroup(data.groupBy("chunk")).applyInArrow(use, schema)
+
+
+def _lookup(totals: pa.Table, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
+    """Columns of ``totals`` at each key; 0 where there is none."""
+    known = totals.column("key").to_numpy()
+    codes, unique = pd.factorize(keys)
+    at = pd.Index(known).drop_duplicates() if not pd.Index(known).is_unique else pd.Index(known)
+    place = at.get_indexer(unique)
+    out = []
+    for c in columns:
+        values = totals.column(c).to_numpy()
+        values = values if len(at) == len(known) else pd.Series(values, known).groupby(level=0, sort=False).first().to_numpy()
+        out.append(np.where(place >= 0, values[place] if len(values) else 0, 0)[codes])
     return out
 
 
+def bands(counts: np.ndarray, tokens_of: np.ndarray) -> np.ndarray:
+    """Band of each rising word count: bands hold equal shares of the tokens, equal counts stay together."""
+    after = np.cumsum(tokens_of[::-1])[::-1] - tokens_of / 2
+    return np.minimum(BANDS - 1, after * BANDS // max(1, tokens_of.sum())).astype(np.int64)
+
+
+class Model(tuple):
+    """``classes, shares, table``: class and log share of the words of one form and count, network.
+
+    ``levels`` are the word counts there are, ``band`` their bands, ``mass`` the smoothed tokens
+    of a class, ``totals`` the table of words and pairs.
+    """
+
+    levels: np.ndarray
+    band: np.ndarray
+    mass: np.ndarray
+    totals: DataFrame
+
+
+def _classes(words: np.ndarray, n: np.ndarray, levels: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return (words & (FORMS - 1)) * BANDS + band[np.searchsorted(levels, n)]
+
+
 def train(table: np.ndarray, hidden: int = 24, rounds: int = 150, rate: float = 0.03, seed: int = 4) -> np.ndarray:
     """Log-probabilities ``[context, class]`` of a network fitted to counts of the same shape.
 
@@ -138,53 +242,74 @@ def train(table: np.ndarray, hidden: int = 24, rounds: int = 150, rate: float =
     return forward(place)[1].astype(np.float32)
 
 
-def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band of each bucket, log-probability of a bucket in its band, class table of the network."""
-    ship_package(docs.sparkSession)
-
-    def count_words(total: np.ndarray, texts: list[bytes]) -> None:
-        codes, _, bucket, _ = tokens(texts)
-        np.add.at(total, bucket, np.bincount(codes, minlength=len(bucket)))
-
-    counts = _sums(docs, count_words, BUCKETS)
-    band = bands(counts)
-
-    def count_windows(total: np.ndarray, texts: list[bytes]) -> None:
-        codes, per_text, bucket, form = tokens(texts)
-        classes = (form * BANDS + band[bucket])[codes]
-        cell, n = np.unique(_contexts(classes, per_text) * CLASSES + classes, return_counts=True)
-        total[cell] += n
-
-    table = _sums(docs, count_windows, CELLS).reshape(-1, CLASSES)
-    smooth = counts + 0.5
-    in_band = np.log(smooth / np.bincount(band, weights=smooth, minlength=BANDS)[band]).astype(np.float32)
-    return band.astype(np.int8), in_band, train(table)
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], id_col: str = "doc_id") -> DataFrame:
-    """``id, n_tokens, log_likelihood, per_token`` of every whole text."""
-    ship_package(docs.sparkSession)
-    band, in_band, table = model
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.chunks(parts):
-            codes, counts, bucket, form = tokens(B.raw_texts(part))
-            classes = (form * BANDS + band[bucket])[codes]
-            each = table[_contexts(classes, counts), classes] + in_band[bucket][codes]
-            sums = B.run_sums(each, counts)
-            mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts), pa.array(sums), mean], names=["id", "n_tokens", "log_likelihood", "per_token"])
-
-    kind = dict(docs.dtypes)[id_col]
-    out = docs.selectExpr(f"`{id_col}` as id", "text").mapInArrow(run, f"id {kind}, n_tokens bigint, log_likelihood double, per_token double")
-    return out.withColumnRenamed("id", id_col)
+def fit(docs: DataFrame) -> Model:
+    return _fit(coded(docs.selectExpr("cast(null as bigint) as doc_id", "text")))
+
+
+def _fit(data: DataFrame) -> Model:
+    words = cut_lineage(_counted(data, pairs=False))
+    got = words.groupBy("n", F.col("key").bitwiseAND(F.lit(FORMS - 1)).cast("int").alias("form")).agg(F.count("*").alias("words")).toArrow()
+    n, form, many = (got.column(c).to_numpy().astype(np.int64) for c in ("n", "form", "words"))
+    # a word of each form that was never seen
+    n, form, many = np.r_[n, np.zeros(FORMS, np.int64)], np.r_[form, np.arange(FORMS)], np.r_[many, np.ones(FORMS, np.int64)]
+    levels, at = np.unique(n, return_inverse=True)
+    band = bands(levels, np.bincount(at, weights=n * many))
+    classes = form * BANDS + band[at]
+    mass = np.bincount(classes, weights=(n + 0.5) * many, minlength=CLASSES)
+    shares = np.log((n + 0.5) * many / mass[classes])
+
+    def count_windows(totals: pa.Table, rows: pa.Table) -> pa.Table:
+        own, counts, _, _ = _line(rows)
+        seen = _classes(own, _lookup(totals, own, "n")[0], levels, band)
+        cell, times = np.unique(_contexts(seen, counts) * CLASSES + seen, return_counts=True)
+        return pa.table({"cell": pa.array(cell, pa.int64()), "n": pa.array(times, pa.int64())})
+
+    table = _added(_gathered(data, words, False, count_windows, "cell bigint, n bigint"), CELLS).reshape(-1, CLASSES)
+    model = Model((classes, shares, train(table)))
+    model.levels, model.band, model.mass = levels, band, mass
+    model.totals = words.unionByName(_counted(data, pairs=True).selectExpr("*", "0L as followed", "0L as preceded"))
+    return model
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """``id, n_tokens, log_likelihood, per_token`` of every whole text; the texts are not the model's own."""
+    return _score(coded(docs, id_col), model, 0).withColumnRenamed("id", id_col)
+
+
+def _score(data: DataFrame, model: Model, own: int) -> DataFrame:
+    """Scores of documents; ``own`` is 1 where the model counted them, and a token's own sighting is left out."""
+    levels, band, mass, table = model.levels, model.band, model.mass, model[2]
+
+    def run(totals: pa.Table, rows: pa.Table) -> pa.Table:
+        words, counts, left, right = _line(rows)
+        n, followed, preceded = _lookup(totals, words, "n", "followed", "preceded")
+        (pair,) = _lookup(totals, _pair_keys(words, left), "n")
+        n, pair = np.maximum(n, own), np.maximum(pair, own)
+        classes = _classes(words, n, levels, band)
+        each = np.exp(table[_contexts(classes, counts), classes].astype(np.float64)) * (n - own + 0.5) / (mass[classes] - own)
+        to, free, near = np.flatnonzero(left), np.ones(len(words)), np.zeros(len(words))
+        # a pair is the left neighbour of its second token and the right one of its first
+        for at, seen in ((to, followed[to - 1]), (to - 1, preceded[to])):
+            seen = np.maximum(seen - own, 0)
+            weight = seen / (seen + BACKOFF) / 2
+            free[at] -= weight
+            near[at] += weight * (pair - own) / np.maximum(seen, 1)
+        each = np.log(free * each + near)
+        sums = B.run_sums(each, counts)
+        mean = pa.array(np.divide(sums, counts, out=np.zeros(len(counts)), where=counts > 0), mask=counts == 0)
+        return pa.table({"id": rows.column("id"), "n_tokens": pa.array(counts), "log_likelihood": pa.array(sums), "per_token": mean})
+
+    # what stands once is the token's own sighting and need not come back
+    return _gathered(data, model.totals.filter(F.col("n") > own), True, run, f"id {dict(data.dtypes)['id']}, n_tokens bigint, log_likelihood double, per_token double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, log_likelihood, per_token`` under a model of all ``docs``.
 
-    Defined cases: null and empty texts have no tokens, log-likelihood 0 and no mean; texts of
-    one token are predicted from the edges; repeated rows count as often as they stand in the
-    corpus and score alike; an empty table gives no rows; other columns are not read.
+    Each token is scored by the counts of all others. Defined cases: null and empty texts have no
+    tokens, log-likelihood 0 and no mean; texts of one token are predicted from the edges, which
+    only the network knows; repeated rows count as often as they stand in the corpus and score
+    alike; an empty table gives no rows; other columns are not read.
     """
-    return score(docs, fit(docs))
+    data = coded(docs)
+    return _score(data, _fit(data), 1).withColumnRenamed("id", "doc_id")

@@ -61,3 +61,62 @@ def test_odd_rows(spark, make_docs):
     assert [g[:2] for g in got] == [(0, 3), (1, 0), (2, 0), (3, 1), (3, 1), (4, 20000)]
     assert got[1][2:] == (0.0, None) and got[3] == got[4] and got[5][2] < 0
     assert P.pseudo_likelihood(make_docs([])).count() == 0
+
+
+def plain_pair_counts(texts):
+    words = [t.split() for t in texts]
+    return Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
+
+
+def test_words_and_pairs_are_counted_exactly(spark, make_docs):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400000)}" if rng.random() < 0.5 else rng.choice(["aa", "bb"]) for _ in range(300)) for _ in range(900)]
+    one, two = plain_pair_counts(texts)
+    assert len(one) > 100000
+    data = P.coded(make_docs(list(enumerate(texts))))
+    assert Counter(r["n"] for r in P._counted(data, False).collect()) == Counter(one.values())
+    assert Counter(r["n"] for r in P._counted(data, True).collect()) == Counter(two.values())
+
+
+def test_words_of_one_class_depend_on_their_neighbours(spark, make_docs):
+    rows = [(i, "red fox eats. blue owl naps." if i % 2 else "blue owl naps. red fox eats.") for i in range(200)]
+    model = P.fit(make_docs(rows))
+    same = {1: "red fox eats.", 2: "blue fox eats.", 3: "red owl eats."}
+    got = {r["doc_id"]: r["per_token"] for r in P.score(make_docs(list(same.items())), model).collect()}
+    assert got[1] > got[2] + 0.1 and got[1] > got[3] + 0.1
+
+
+def test_scores_against_plain_loops_and_sum_to_one(spark, make_docs):
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}" for a in "abcdef" for b in "xyz"]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(1, 19), k=12))) for i in range(80)]
+    one, two = plain_pair_counts([t for _, t in rows])
+    docs = make_docs(rows)
+    model = P.fit(docs)
+    follow, before = Counter(), Counter()
+    for (a, b), n in two.items():
+        follow[a] += n
+        before[b] += n
+    kind = lambda w: int(model.band[list(model.levels).index(one[w])])
+    table = np.exp(model[2].astype(float))
+
+    def chance(words, k, own):
+        w, c = words[k], kind(words[k])
+        line = [P.EDGE, P.EDGE, *map(kind, words), P.EDGE, P.EDGE]
+        context = ((P.OUTER_KIND[line[k]] * P.CLASSES + line[k + 1]) * P.CLASSES + line[k + 3]) * P.OUTER + P.OUTER_KIND[line[k + 4]]
+        near, free = 0, 1
+        for has, pair, seen in ((k > 0, (words[k - 1], w), follow[words[k - 1]]), (k + 1 < len(words), (w, words[(k + 1) % len(words)]), before[words[(k + 1) % len(words)]])):
+            if has and seen > own:
+                weight = (seen - own) / (seen - own + P.BACKOFF) / 2
+                near += weight * (two[pair] - own) / (seen - own)
+                free -= weight
+        return near + free * table[context, c] * (one[w] - own + 0.5) / (model.mass[c] - own)
+
+    got = {r["doc_id"]: r["log_likelihood"] for r in P.pseudo_likelihood(docs).collect()}
+    for i, t in rows:
+        words = t.split()
+        assert abs(got[i] - sum(np.log(chance(words, k, 1)) for k in range(len(words)))) < 1e-6
+    words = rows[0][1].split()
+    total = sum(chance([*words[:4], w, *words[5:]], 4, 0) for w in one)
+    # the rest belongs to classes that no word has and to words never seen
+    assert 0.97 < total <= 1 + 1e-9

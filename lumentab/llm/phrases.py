@@ -6,10 +6,11 @@ document, in four steps that Spark shuffles by content:
 
 1. Each window has an anchor, the smallest hash among the word n-grams inside it, so equal
    windows have equal anchors. Anchors seen in one document only rule out their windows.
-2. Documents are cut into the stretches around recurring anchors, and each stretch goes to the
-   shard of its anchor. All occurrences of a window meet in one shard.
-3. A shard confirms the windows that occur under two ids, notes the smallest id of each,
-   compiles them into automata and streams its stretches through them.
+2. The hashes of the other windows are counted the same way; windows seen under one id drop out
+   before any text moves. An anchor that stands among differing text keeps nothing.
+3. The words of the windows left go to the shard of the whole window, where equal windows meet
+   and get their smallest id. They are compiled into automata, a bounded number of bytes at a
+   time, and the occurrences are streamed through them.
 4. Each document drops the words covered by windows that also start under a smaller id.
 """
 
@@ -33,8 +34,8 @@ from lumentab.session import ship_package
 WINDOW, GRAM = 13, 5
 #: Bits of an anchor that a document's own list keeps; a chance hit adds a stretch, no window.
 LOW_BITS = (1 << 31) - 1
-#: Stretches of one automaton; a shard of more gets one automaton after the other.
-STRETCHES = 4000
+#: Bytes of windows and their occurrences in one automaton; a shard of more gets one automaton after the other.
+AUTOMATON_BYTES = 1 << 22
 
 
 def _anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +65,26 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _windows_listed(part: pa.RecordBatch, words: np.ndarray, counts: np.ndarray, window: int, anchored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, anchors and hashes of windows whose anchor (else hash) is in the lists of the chunk's rows."""
+    starts, anchors = _anchors(words, counts, window)
+    hashes = B.window_hashes(words, window).view(np.int64)[starts]
+    lists = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("listed", "known")]
+    hit = np.isin((anchors if anchored else hashes) & LOW_BITS, np.concatenate(lists).astype(np.int64))
+    return starts[hit], anchors[hit], hashes[hit]
+
+
 def _spread(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
-    """Anchors of a chunk: one row per anchor and document, or, for anchors of several documents.
+    """Anchors of a chunk, or hashes of its windows where anchors are listed.
 
-    of the chunk, two rows for the anchor and a list in each document's own row: a phrase that
+    One row per anchor and document, or, for anchors of several documents of the chunk, two rows for the anchor and a list in each document's own row: a phrase that
     a third of all documents share costs two rows per chunk, not one per document.
     """
     words, counts = B.hashed_words([t.split() for t in _known_texts(part)])
-    starts, anchors = _anchors(words, counts, window)
+    if "listed" in part.schema.names:
+        starts, _, anchors = _windows_listed(part, words, counts, window, True)
+    else:
+        starts, anchors = _anchors(words, counts, window)
     if not len(starts):
         return None
     rows = np.searchsorted(np.cumsum(counts), starts, side="right")
@@ -101,59 +114,57 @@ def _spread(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids), lists], names=["place", "doc_id", "known"])
 
 
-def recurring_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``key, anchors, known``: of each document, low bits of its anchors that recur in another one."""
+def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``key, listed, known``: of each document, low bits of its anchors that recur in another one.
+
+    Documents that have such lists get those of their windows at listed anchors.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             if (out := _spread(part, window)) is not None:
                 yield out
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "place bigint, doc_id bigint, known array<int>")
+    lists = [c for c in ("listed", "known") if c in docs.columns]
+    rows = docs.select("doc_id", "text", *lists).mapInArrow(run, "place bigint, doc_id bigint, known array<int>")
     w = Window.partitionBy("place")
-    listed = F.size("known") > 0
-    found = rows.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter(listed | (F.col("low") < F.col("high")))
+    owned = F.size("known") > 0
+    found = rows.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter(owned | (F.col("low") < F.col("high")))
     # a list per document is bounded by the document's own words
-    low_bits = F.when(~listed, F.col("place").bitwiseAND(F.lit(LOW_BITS)).cast("int"))
-    return found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(low_bits).alias("anchors"), F.flatten(F.collect_list("known")).alias("known"))
+    low_bits = F.when(~owned, F.col("place").bitwiseAND(F.lit(LOW_BITS)).cast("int"))
+    return found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(low_bits).alias("listed"), F.flatten(F.collect_list("known")).alias("known"))
 
 
-STRETCH = "anchor bigint, stretch string, docs array<bigint>, marks array<bigint>, starts array<int>"
+STRETCH = "stretch string, docs array<bigint>, marks array<bigint>, starts array<int>"
 
 
 def stretches(joined: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Stretches around recurring anchors: ``anchor, stretch`` and where a chunk has them."""
+    """Words of the windows whose hashes recur, and where a chunk has them."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             texts = _known_texts(part)
             split = [t.split() for t in texts]
             words, counts = B.hashed_words(split)
-            starts, anchors = _anchors(words, counts, window)
-            lists = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("anchors", "known")]
-            hit = np.isin(anchors & LOW_BITS, np.concatenate(lists).astype(np.int64))
-            starts, anchors = starts[hit], anchors[hit]
+            starts, _, _ = _windows_listed(part, words, counts, window, False)
             if not len(starts):
                 continue
             ends = np.cumsum(counts)
             rows = np.searchsorted(ends, starts, side="right")
-            begin = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1) | (rows[1:] != rows[:-1])])
-            stop = np.r_[begin[1:], len(starts)] - 1
-            ids = _ids(part)
+            places = starts - (ends - counts)[rows]
+            ids = _ids(part).tolist()
             marks = [crc32(t) for t in texts]
-            offset = ends - counts
-            found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            for anchor, row, a, b in zip(anchors[begin].tolist(), rows[begin].tolist(), starts[begin].tolist(), starts[stop].tolist()):
-                a, b = a - int(offset[row]), b - int(offset[row])
-                found.setdefault((anchor, b" ".join(split[row][a : b + window])), []).append((int(ids[row]), marks[row], a))
+            found: dict[bytes, list[tuple[int, int, int]]] = {}
+            for row, a in zip(rows.tolist(), places.tolist()):
+                found.setdefault(b" ".join(split[row][a : a + window]), []).append((ids[row], marks[row], a))
             sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
             flat = np.array(list(chain.from_iterable(found.values())), np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in found], pa.int64()), pa.array([t.decode() for _, t in found], pa.string()), B.ragged(flat[:, 0], sizes, pa.int64()), B.ragged(flat[:, 1], sizes, pa.int64()), B.ragged(flat[:, 2].astype(np.int32), sizes, pa.int32())],
-                names=["anchor", "stretch", "docs", "marks", "starts"],
+                [pa.array([t.decode() for t in found], pa.string()), B.ragged(flat[:, 0], sizes, pa.int64()), B.ragged(flat[:, 1], sizes, pa.int64()), B.ragged(flat[:, 2].astype(np.int32), sizes, pa.int32())],
+                names=["stretch", "docs", "marks", "starts"],
             )
 
-    return joined.mapInArrow(run, STRETCH)
+    return joined.select("doc_id", "text", "listed", "known").mapInArrow(run, STRETCH)
 
 
 def _merged(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -208,7 +219,11 @@ def locate(rows: list[tuple[str, list[int], list[int], list[int]]], window: int)
 
 
 def covered_words(parts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, mark, from, to`` from stretches; shards are runs of whole anchors of a partition."""
+    """``doc_id, mark, from, to`` from the windows that stand under two ids.
+
+    The smallest and largest id come with each row, so an automaton may end between any two rows.
+    """
+    limit = AUTOMATON_BYTES
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
         got = list(locate(rows, window))
@@ -217,18 +232,20 @@ def covered_words(parts: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "mark", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, last = [], None
+        rows, size = [], 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("anchor", "stretch", "docs", "marks", "starts")]
-            for anchor, *row in zip(*columns):
-                if anchor != last and len(rows) >= STRETCHES:
+            slices = (batch.slice(k, 256) for k in range(0, batch.num_rows, 256))
+            for stretch, docs, marks, starts, low, high in chain.from_iterable(zip(*(x.column(c).to_pylist() for c in ("stretch", "docs", "marks", "starts", "low", "high"))) for x in slices):
+                rows += [(stretch, [low, high], [], []), (stretch, docs, marks, starts)]
+                size += len(stretch) + 20 * len(docs)
+                if size >= limit:
                     yield from flush(rows)
-                    rows = []
-                last = anchor
-                rows.append(row)
+                    rows, size = [], 0
         yield from flush(rows)
 
-    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id bigint, mark bigint, a int, b int")
+    same = Window.partitionBy("stretch")
+    several = parts.withColumn("low", F.min(F.array_min("docs")).over(same)).withColumn("high", F.max(F.array_max("docs")).over(same)).filter("low < high")
+    return several.mapInArrow(run, "doc_id bigint, mark bigint, a int, b int")
 
 
 def _copies(docs: DataFrame, digest: Column) -> DataFrame:
@@ -259,8 +276,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) ->
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), digest).alias("key"), *read)
     base = keyed.join(_copies(docs, digest), "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", digest), F.lit(False)))
     firsts = base.filter(~F.col("copy"))
-    anchors = recurring_anchors(firsts, window)
-    found = covered_words(stretches(firsts.join(anchors, "key"), window), window)
+    windows = recurring(firsts.join(recurring(firsts, window), "key"), window)
+    found = covered_words(stretches(firsts.join(windows, "key"), window), window)
     ranges = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("mark", "a", "b")).alias("ranges"))
     extra = [c for c in keep if c not in ("doc_id", "text")]
 

@@ -91,3 +91,26 @@ def test_stage(spark, make_docs):
             assert got[i]["n_chars"] == len(got[i]["text"])
     texts = dict(rows)
     assert all(got[i]["text"] == texts[i] for i, n, removed, _ in brute(rows) if i in got and not removed)
+
+
+def test_a_common_line_among_differing_text_sends_no_stretches(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    text = lambda: " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))
+    line = "the nine words of a line that is common"
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"{text()} {line} {text()}" + (f" {passage}" if i < 3 else "")) for i in range(200)]
+    docs = make_docs(rows).withColumn("key", F.col("doc_id"))
+    windows = P.recurring(docs.join(P.recurring(docs), "key"))
+    sent = P.stretches(docs.join(windows, "key")).collect()
+    assert {r["stretch"] for r in sent} == {" ".join(passage.split()[a : a + 13]) for a in range(8)}
+    assert found(make_docs(rows)) == brute(rows)
+
+
+def test_automata_may_end_anywhere(spark, make_docs, monkeypatch):
+    rows = passages(9, 60)
+    docs = make_docs(rows)
+    for size in (1, 300):
+        monkeypatch.setattr(P, "AUTOMATON_BYTES", size)
+        assert found(docs) == brute(rows)

@@ -2,11 +2,16 @@
 
 A text is brought to a canonical form (case, punctuation, copyright lines and equivalent
 spellings do not count) and its digest is joined to the digests of known notices. Whole
-documents and their single lines are looked up alike.
+documents and their single lines are looked up alike; texts that stand inside a document, over
+several lines or within one, are found in its canonical words. Known are one-sentence notices
+and the full licence texts in the folder ``licence_texts``.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumentab.llm.words import lower_ascii
@@ -36,14 +41,18 @@ COPYRIGHT = r"^[\x00-\x2F\x3A-\x40]*(copyright|\(c\)|©).*[0-9][0-9][0-9][0-9]"
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def _spelled(text: Column) -> Column:
+    """Equivalent spellings in a text whose words stand between two spaces each."""
+    for old, new in SPELLINGS:
+        text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new} "))
+    return F.trim(F.regexp_replace(text, " +", " "))
+
+
 def canonical_line(line: Column) -> Column:
     """Canonical form of one line; empty for copyright lines."""
     low = lower_ascii(line)
     text = F.concat(F.lit(" "), F.regexp_replace(low, SIGNS, "  "), F.lit(" "))
-    for old, new in SPELLINGS:
-        text = F.replace(text, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new} "))
-    text = F.trim(F.regexp_replace(text, " +", " "))
-    return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(text)
+    return F.when(low.rlike(COPYRIGHT), F.lit("")).otherwise(_spelled(text))
 
 
 def canonical_lines(text: Column) -> Column:
@@ -51,6 +60,11 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical_line), lambda x: x != "")
 
 
+def canonical_words(lines: Column) -> Column:
+    """All canonical lines as one; spellings of two words may stand on two lines."""
+    return _spelled(F.concat(F.lit(" "), F.replace(F.array_join(lines, " "), F.lit(" "), F.lit("  ")), F.lit(" ")))
+
+
 def known_digests(notices: DataFrame) -> DataFrame:
     """``digest, licence`` from ``licence, text``; a digest of two licences goes to the first by name."""
     whole = F.array_join(canonical_lines(F.col("text")), " ")
@@ -59,15 +73,33 @@ def known_digests(notices: DataFrame) -> DataFrame:
 
 
 def default_notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "licence string, text string")
+    """Notices and full texts; the texts are read where the plan is made, not in tasks."""
+    texts = [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+    return spark.createDataFrame(NOTICES + texts, "licence string, text string")
+
+
+def _inside(rows: DataFrame, notices: DataFrame) -> DataFrame:
+    """``id, key, inside``: licences whose canonical words are a part of a row's, but not all of them.
+
+    Rows without the first two words of any known text are passed over before the comparison.
+    """
+    known = notices.select("licence", canonical_words(canonical_lines(F.col("text"))).alias("known")).filter("known <> ''").groupBy("known").agg(F.min("licence").alias("licence")).collect()
+    if not known:
+        return rows.select("id", "key", F.array().cast("array<string>").alias("inside")).limit(0)
+    openings = sorted({re.escape(" ".join(r["known"].split(" ")[:2])) for r in known})
+    table = rows.sparkSession.createDataFrame([(r["known"], r["licence"]) for r in known], "known string, licence string")
+    some = rows.select("id", "key", canonical_words(F.col("lines")).alias("words")).filter(F.col("words").rlike(f"(?:^| )(?:{'|'.join(openings)})(?: |$)"))
+    part = (F.col("words") != F.col("known")) & F.concat(F.lit(" "), "words", F.lit(" ")).contains(F.concat(F.lit(" "), "known", F.lit(" ")))
+    return some.join(F.broadcast(table), part).groupBy("id", "key").agg(F.collect_set("licence").alias("inside"))
 
 
 def scan_licences(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, whole_licence, licences, n_lines``: one row per row of ``docs``.
 
     ``whole_licence`` names the licence whose canonical text is the document's entire canonical
-    text (null else); ``licences`` lists, sorted, those whose canonical text is one of its lines;
-    ``n_lines`` counts such lines. The digests of whole texts and lines are exploded and joined
+    text (null else); ``licences`` lists, sorted, those whose canonical text is one of its lines
+    or a run of its words, within a line or over several; ``n_lines`` counts the lines that are a
+    known text by themselves. The digests of whole texts and lines are exploded and joined
     to the table of known digests; only hits are grouped, and only ids meet them again.
 
     Defined cases: null and empty texts, and texts of copyright lines alone, match nothing;
@@ -84,10 +116,14 @@ def scan_licences(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", t
         F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("licence")))).alias("licences"),
         F.count_distinct(F.when(~F.col("whole"), F.col("unit"))).alias("hit_lines"),
     )
+    inside = _inside(rows, notices)
     ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col, F.length(text_col)).alias("key"))
-    per_row = ids.alias("d").join(hits.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.key") == F.col("h.key")), "left")
+    per_row = ids.alias("d")
+    for name, found in (("h", hits), ("i", inside)):
+        per_row = per_row.join(found.alias(name), F.col("d.id").eqNullSafe(F.col(f"{name}.id")) & (F.col("d.key") == F.col(f"{name}.key")), "left")
+    none = F.array().cast("array<string>")
     return per_row.select(
         F.col("d.id").alias(id_col), "h.whole_licence",
-        F.coalesce("h.licences", F.array().cast("array<string>")).alias("licences"),
+        F.sort_array(F.array_union(F.coalesce("h.licences", none), F.coalesce("i.inside", none))).alias("licences"),
         F.coalesce("h.hit_lines", F.lit(0)).cast("bigint").alias("n_lines"),
     )

@@ -36,3 +36,21 @@ def test_odd_rows(spark, make_docs):
     assert got == sorted([(1, None, [], 0), (2, None, [], 0), (3, None, [], 0), (0, "All-Rights-Reserved", ["All-Rights-Reserved"], 1), (4, None, ["All-Rights-Reserved"], 3), (4, None, ["All-Rights-Reserved"], 3), (5, None, [], 0)], key=repr)
     assert scan(spark, make_docs, []) == []
     assert scan(spark, make_docs, [(1, "All rights reserved.")], [("none", "")]) == [(1, None, [], 0)]
+
+
+def test_full_texts_and_texts_inside_a_document(spark, make_docs):
+    texts = {r["licence"]: r["text"] for r in L.default_notices(spark).collect()}
+    mit = texts["MIT"]
+    rows = [
+        (1, "Copyright (c) 2019 Some Body\n\n" + mit),
+        (2, "# a file\n# Copyright (c) 2019 Some Body\n" + "\n".join("# " + x for x in mit.splitlines()) + "\nimport os\n"),
+        (3, "words\nLicensed under the Apache\nLicense, Version 2.0.\nwords"),
+        (4, "this file is released under the MIT license and more"),
+        (5, "Licensed under Creative\nCommons Attribution 4.0.\nwords"),
+        (6, " ".join(mit.split())), (7, texts["Apache-2.0"]), (8, mit.replace("merge, ", "") + "x"),
+    ]
+    got = {r[0]: r[1:3] for r in scan(spark, make_docs, rows)}
+    assert got[1] == ("MIT", []) and got[6] == ("MIT", ["MIT"])
+    assert got[2] == (None, ["MIT"]) and got[4] == (None, ["MIT"]) and got[8] == (None, [])
+    assert got[3] == (None, ["Apache-2.0"]) and got[5] == (None, ["CC-BY-4.0"])
+    assert got[7][0] == "Apache-2.0"

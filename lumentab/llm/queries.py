@@ -118,3 +118,33 @@ def _(s, d):
     from lumentab.llm.pseudo_lm import pseudo_likelihood
 
     return pseudo_likelihood(table(s, d, "documents"))
+
+
+@query("op11_lexical_search", r"""
+with i as (select row_number() over () r, item_id, unnest(list_distinct(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) term from benchmark),
+d as (select row_number() over () k, doc_id, regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') t from documents),
+s as (select count(*) docs, sum(len(t))::bigint total from d where len(t)>0),
+f as (select k, doc_id, len(t) n, unnest(t) term from d),
+tf as (select k, any_value(doc_id) doc_id, any_value(n) n, term, count(*) tf from f where term in (select term from i) group by k, term),
+w as (select term, floor(1000*ln((2*docs+2)/(2*count(*)+1)))::bigint w from tf, s group by term, docs),
+p as (select r, any_value(item_id) item_id, k, any_value(doc_id) doc_id, sum(w*((1000000000*tf)//(1000*tf+20*(100-50+((50*n*docs)//total)))))::bigint score
+ from i join tf using (term) join w using (term), s group by r, k)
+select item_id, rank, doc_id, score from (select item_id, doc_id, score, (row_number() over (partition by r order by score desc, doc_id))::int rank from p where score>0) where rank<=50""")
+def _(s, d):
+    from lumentab.llm.max_sketch import search
+
+    return search(table(s, d, "documents"), table(s, d, "benchmark"))
+
+
+@query("op12_language_id")
+def _(s, d):
+    from lumentab.llm.hyperlang import identify
+
+    return identify(table(s, d, "documents"))
+
+
+@query("op13_embedding_whitening")
+def _(s, d):
+    from lumentab.llm.whitening import whiten
+
+    return whiten(table(s, d, "embeddings"))

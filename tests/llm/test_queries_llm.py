@@ -9,6 +9,6 @@ def test_names():
     assert importlib.util.find_spec("corpus_pipeline")
     names = set(entry.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
-    assert {"op1_url_filters", "op7_license_scans"} <= set(entry.oracle_sql())
+    assert {"op1_url_filters", "op7_license_scans", "op11_lexical_search"} <= set(entry.oracle_sql())

@@ -1,24 +1,24 @@
 """Substring dedup with repeated-phrase automata.
 
-A window is so many consecutive words of one document. Windows that recur in several documents
-are found, confirmed word by word, compiled into Aho-Corasick automata and located in every
-document, in four steps that Spark shuffles by content:
+A window is so many consecutive words of one document. What recurs is found by hashes, sent as
+text, and located by Aho-Corasick automata that stream every document that can hold it:
 
 1. Each window has an anchor, the smallest hash among the word n-grams inside it, so equal
    windows have equal anchors. Anchors seen in one document only rule out their windows.
-2. The hashes of the other windows are counted the same way; windows seen under one id drop out
-   before any text moves. An anchor that stands among differing text keeps nothing.
-3. The words of the windows left go to the shard of the whole window, where equal windows meet
-   and get their smallest id. They are compiled into automata, a bounded number of bytes at a
-   time, and the occurrences are streamed through them.
-4. Each document drops the words covered by windows that also start under a smaller id.
+2. The other windows are hashed whole. Where a smaller id has an equal hash, that document is
+   the window's witness, and the window's place there falls into one of the witness's phrases,
+   fixed runs of its words that overlap by a window less one word.
+3. Every phrase that was asked for is cut from its witness once and sent to those who asked.
+4. Chunks of documents compile the phrases that came into automata, a bounded number of bytes at
+   a time. Their keys are the blocks of half a window at every half window of a phrase: a window
+   always holds one whole. The documents are streamed, hits are compared word by word with the
+   phrase, and words covered by windows of a smaller id go. Hashes only propose; words decide.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import ahocorasick
@@ -32,10 +32,14 @@ from lumentab.session import ship_package
 
 #: Words of a window, and of the n-grams whose smallest hash is its anchor.
 WINDOW, GRAM = 13, 5
-#: Bits of an anchor that a document's own list keeps; a chance hit adds a stretch, no window.
+#: Bits of an anchor that a document's own list keeps; a chance hit adds a hash, no window.
 LOW_BITS = (1 << 31) - 1
-#: Bytes of windows and their occurrences in one automaton; a shard of more gets one automaton after the other.
+#: Windows that start in one phrase.
+PHRASE = 32
+#: Bytes of phrases in one automaton; a chunk that got more streams through one after the other.
 AUTOMATON_BYTES = 1 << 22
+#: Hits compared with their phrases at once.
+HITS = 1 << 13
 
 
 def _anchors(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,26 +69,23 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _windows_listed(part: pa.RecordBatch, words: np.ndarray, counts: np.ndarray, window: int, anchored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, anchors and hashes of windows whose anchor (else hash) is in the lists of the chunk's rows."""
+def _windows_listed(part: pa.RecordBatch, words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of windows whose anchor is in the lists of the chunk's rows."""
     starts, anchors = _anchors(words, counts, window)
     hashes = B.window_hashes(words, window).view(np.int64)[starts]
     lists = [part.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("listed", "known")]
-    hit = np.isin((anchors if anchored else hashes) & LOW_BITS, np.concatenate(lists).astype(np.int64))
-    return starts[hit], anchors[hit], hashes[hit]
+    hit = np.isin(anchors & LOW_BITS, np.concatenate(lists).astype(np.int64))
+    return starts[hit], hashes[hit]
 
 
 def _spread(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
-    """Anchors of a chunk, or hashes of its windows where anchors are listed.
+    """Anchors of a chunk: one row per anchor and document.
 
-    One row per anchor and document, or, for anchors of several documents of the chunk, two rows for the anchor and a list in each document's own row: a phrase that
-    a third of all documents share costs two rows per chunk, not one per document.
+    Anchors of several documents of the chunk take two rows and a list in each document's own
+    row: a phrase that a third of all documents share costs two rows per chunk, not one per document.
     """
     words, counts = B.hashed_words([t.split() for t in _known_texts(part)])
-    if "listed" in part.schema.names:
-        starts, _, anchors = _windows_listed(part, words, counts, window, True)
-    else:
-        starts, anchors = _anchors(words, counts, window)
+    starts, anchors = _anchors(words, counts, window)
     if not len(starts):
         return None
     rows = np.searchsorted(np.cumsum(counts), starts, side="right")
@@ -115,18 +116,14 @@ def _spread(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
 
 
 def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``key, listed, known``: of each document, low bits of its anchors that recur in another one.
-
-    Documents that have such lists get those of their windows at listed anchors.
-    """
+    """``key, listed, known``: of each document, low bits of its anchors that recur in another one."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             if (out := _spread(part, window)) is not None:
                 yield out
 
-    lists = [c for c in ("listed", "known") if c in docs.columns]
-    rows = docs.select("doc_id", "text", *lists).mapInArrow(run, "place bigint, doc_id bigint, known array<int>")
+    rows = docs.select("doc_id", "text").mapInArrow(run, "place bigint, doc_id bigint, known array<int>")
     w = Window.partitionBy("place")
     owned = F.size("known") > 0
     found = rows.withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).filter(owned | (F.col("low") < F.col("high")))
@@ -135,117 +132,143 @@ def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(low_bits).alias("listed"), F.flatten(F.collect_list("known")).alias("known"))
 
 
-STRETCH = "stretch string, docs array<bigint>, marks array<bigint>, starts array<int>"
+def _mark(text: bytes) -> int:
+    """Tells texts of one id apart."""
+    return crc32(text) - (1 << 31)
 
 
-def stretches(joined: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Words of the windows whose hashes recur, and where a chunk has them."""
+def _witnessed(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
+    """Windows of a chunk, each with its smallest id there; the chunk's other documents have that one for a witness.
+
+    A phrase that a third of all documents share is a row per chunk among the windows, and the
+    requests for it go to the chunk's own smallest id, not all to one.
+    """
+    texts = _known_texts(part)
+    words, counts = B.hashed_words([t.split() for t in texts])
+    starts, hashes = _windows_listed(part, words, counts, window)
+    if not len(starts):
+        return None
+    ends = np.cumsum(counts)
+    rows = np.searchsorted(ends, starts, side="right")
+    ids, at = _ids(part)[rows], starts - (ends - counts)[rows]
+    marks = np.fromiter(map(_mark, texts), np.int64, len(texts))[rows]
+    order = np.lexsort((at, ids, hashes))
+    h, d, m, p = (x[order] for x in (hashes, ids, marks, at))
+    once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+    h, d, m, p = (x[once] for x in (h, d, m, p))
+    first = np.r_[True, h[1:] != h[:-1]]
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))[~first]
+    asked = np.stack([d[~first], d[lead], m[lead], p[lead] // PHRASE], axis=1)
+    asked = asked[np.lexsort(asked.T)]
+    asked = asked[np.r_[True, (asked[1:] != asked[:-1]).any(axis=1)]] if len(asked) else asked
+    columns = [
+        np.r_[h[first], B.mixed(asked[:, 0].astype(np.int64).view(np.uint64)).view(np.int64)],
+        np.r_[d[first], asked[:, 0]],
+        np.r_[d[first], asked[:, 1]],
+        np.r_[m[first], asked[:, 2]],
+        np.r_[p[first] // PHRASE, asked[:, 3]],
+    ]
+    own = np.r_[np.ones(int(first.sum()), bool), np.zeros(len(asked), bool)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array(own)], names=["place", "key", "witness", "mark", "phrase", "own"])
+
+
+def requests(listed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``key, witness, mark, phrase``: the phrases, each of a smaller id, that hold the windows of a document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
-            texts = _known_texts(part)
-            split = [t.split() for t in texts]
-            words, counts = B.hashed_words(split)
-            starts, _, _ = _windows_listed(part, words, counts, window, False)
-            if not len(starts):
-                continue
-            ends = np.cumsum(counts)
-            rows = np.searchsorted(ends, starts, side="right")
-            places = starts - (ends - counts)[rows]
-            ids = _ids(part).tolist()
-            marks = [crc32(t) for t in texts]
-            found: dict[bytes, list[tuple[int, int, int]]] = {}
-            for row, a in zip(rows.tolist(), places.tolist()):
-                found.setdefault(b" ".join(split[row][a : a + window]), []).append((ids[row], marks[row], a))
-            sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
-            flat = np.array(list(chain.from_iterable(found.values())), np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t.decode() for t in found], pa.string()), B.ragged(flat[:, 0], sizes, pa.int64()), B.ragged(flat[:, 1], sizes, pa.int64()), B.ragged(flat[:, 2].astype(np.int32), sizes, pa.int32())],
-                names=["stretch", "docs", "marks", "starts"],
-            )
+            if (out := _witnessed(part, window)) is not None:
+                yield out
+
+    rows = listed.select("doc_id", "text", "listed", "known").mapInArrow(run, "place bigint, key bigint, witness bigint, mark int, phrase int, own boolean")
+    where = F.struct("witness", "mark", "phrase")
+    # a place has a row per chunk at most
+    lowest = F.min(F.when(F.col("own"), where)).over(Window.partitionBy("place"))
+    return rows.select("key", F.when(F.col("own"), lowest).otherwise(where).alias("w")).select("key", "w.*").filter("key > witness").distinct()
+
 
-    return joined.select("doc_id", "text", "listed", "known").mapInArrow(run, STRETCH)
-
-
-def _merged(starts: list[int], window: int) -> list[tuple[int, int]]:
-    """Word ranges covered by windows that begin at the sorted ``starts``."""
-    out: list[list[int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1][1] = s + window
-        else:
-            out.append([s, s + window])
-    return [(a, b) for a, b in out]
-
-
-def locate(rows: list[tuple[str, list[int], list[int], list[int]]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """``doc_id, mark, from, to`` of words to drop, from all stretches of some anchors."""
-    number: dict[str, int] = {}
-    lines, seen = [], {}
-    for stretch, docs, _, _ in rows:
-        line = tuple(number.setdefault(w, len(number)) for w in stretch.split(" "))
-        lines.append(line)
-        low, high = min(docs), max(docs)
-        for j in range(len(line) - window + 1):
-            phrase = line[j : j + window]
-            known = seen.get(phrase)
-            if known is None:
-                seen[phrase] = (low, high)
-            elif low < known[0] or high > known[1]:
-                seen[phrase] = (min(low, known[0]), max(high, known[1]))
-    # keys are sequences of word numbers: a node for a word, not for a letter
+def phrases_of(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``witness, mark, phrase, words``: the text of every phrase that was asked for, once."""
+    schema = "witness bigint, mark int, phrase int, words string"
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in B.chunks(parts):
+            out = []
+            for text, doc, wanted in zip(_known_texts(part), part.column("doc_id").to_pylist(), part.column("wanted").to_pylist()):
+                words, mark = text.split(), _mark(text)
+                out += [(doc, mark, w["phrase"], b" ".join(words[(a := w["phrase"] * PHRASE) : a + PHRASE + window - 1]).decode()) for w in wanted if w["mark"] == mark]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["witness", "mark", "phrase", "words"])
+
+    # a list per document is bounded by the document's own phrases
+    wanted = asked.select("witness", "mark", "phrase").distinct().groupBy(F.col("witness").alias("key")).agg(F.collect_list(F.struct("mark", "phrase")).alias("wanted"))
+    return docs.join(wanted, "key").select("doc_id", "text", "wanted").mapInArrow(run, schema).dropDuplicates(["witness", "mark", "phrase"])
+
+
+def _automaton(lines: list[list[int]], block: int) -> ahocorasick.Automaton:
+    """Blocks at every ``block`` words of the lines; keys are sequences of word numbers, a node for a word."""
+    places: dict[tuple, list[tuple[int, int]]] = {}
+    for k, line in enumerate(lines):
+        for o in range(0, len(line) - block + 1, block):
+            places.setdefault(tuple(line[o : o + block]), []).append((k, o))
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for phrase, (low, high) in seen.items():
-        if low < high:
-            automaton.add_word(phrase, low)
-    if not len(automaton):
-        return
+    for key, where in places.items():
+        automaton.add_word(key, where)
     automaton.make_automaton()
-    for (_, docs, marks, starts), line in zip(rows, lines):
-        hits = [(end - window + 1, low) for end, low in automaton.iter(line)]
-        if not hits:
-            continue
-        lowest, highest = min(low for _, low in hits), max(low for _, low in hits)
-        whole = None
-        for doc, mark, start in zip(docs, marks, starts):
-            if doc <= lowest:
-                continue
-            if doc > highest:
-                ranges = whole = whole or _merged([j for j, _ in hits], window)
-            else:
-                ranges = _merged([j for j, low in hits if low < doc], window)
-            for a, b in ranges:
-                yield doc, mark, start + a, start + b
-
-
-def covered_words(parts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, mark, from, to`` from the windows that stand under two ids.
-
-    The smallest and largest id come with each row, so an automaton may end between any two rows.
-    """
-    limit = AUTOMATON_BYTES
-
-    def flush(rows: list) -> Iterator[pa.RecordBatch]:
-        got = list(locate(rows, window))
-        if got:
-            columns = list(zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "mark", "a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for batch in batches:
-            slices = (batch.slice(k, 256) for k in range(0, batch.num_rows, 256))
-            for stretch, docs, marks, starts, low, high in chain.from_iterable(zip(*(x.column(c).to_pylist() for c in ("stretch", "docs", "marks", "starts", "low", "high"))) for x in slices):
-                rows += [(stretch, [low, high], [], []), (stretch, docs, marks, starts)]
-                size += len(stretch) + 20 * len(docs)
-                if size >= limit:
-                    yield from flush(rows)
-                    rows, size = [], 0
-        yield from flush(rows)
-
-    same = Window.partitionBy("stretch")
-    several = parts.withColumn("low", F.min(F.array_min("docs")).over(same)).withColumn("high", F.max(F.array_max("docs")).over(same)).filter("low < high")
-    return several.mapInArrow(run, "doc_id bigint, mark bigint, a int, b int")
+    return automaton
+
+
+def _cover(words: list[list[bytes]], ids: np.ndarray, phrases: list[tuple[bytes, int]], window: int, cover: np.ndarray) -> None:
+    """Add 1 to ``cover`` where a window of a phrase of a smaller id begins in the line of all words, take 1 where it ends."""
+    number: dict[bytes, int] = {}
+    # 0 stands between documents, 1 for words of no phrase
+    lines = [[number.setdefault(w, len(number) + 2) for w in text.split(b" ")] for text, _ in phrases]
+    block = (window + 1) // 2
+    automaton = _automaton(lines, block)
+    get = number.get
+    line = [0]
+    for row in words:
+        line += [get(w, 1) for w in row]
+        line.append(0)
+    hits = [(k, end - block + 1 - o) for end, where in automaton.iter(tuple(line)) for k, o in where]
+    if not hits:
+        return
+    width = max(map(len, lines))
+    table = np.full((len(lines), width), -1, np.int64)
+    for k, codes in enumerate(lines):
+        table[k, : len(codes)] = codes
+    low = np.array([i for _, i in phrases], np.int64)
+    padded = np.concatenate([np.zeros(width, np.int64), line, np.zeros(width, np.int64)])
+    owner = np.repeat(ids, [len(row) + 1 for row in words])
+    hits = np.unique(np.array(hits, np.int64), axis=0)
+    for a in range(0, len(hits), HITS):
+        k, start = hits[a : a + HITS].T
+        equal = padded[start[:, None] + width + np.arange(width)] == table[k]
+        run = np.concatenate([np.zeros((len(k), 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
+        hit, at = np.nonzero(run[:, window:] - run[:, :-window] == window)
+        place = start[hit] + at - 1  # less the leading 0
+        earlier = low[k[hit]] < owner[place]
+        np.add.at(cover, place[earlier], 1)
+        np.add.at(cover, place[earlier] + window, -1)
+
+
+def covered(words: list[list[bytes]], ids: list[int], phrases: dict[bytes, int], window: int) -> list[np.ndarray]:
+    """Of each row, which words lie in a window of a phrase whose id (the dict's value) is smaller than the row's."""
+    sizes = [len(row) + 1 for row in words]
+    cover = np.zeros(sum(sizes) + 1, np.int64)
+    shard, size = [], 0
+    for phrase in phrases.items():
+        shard.append(phrase)
+        size += len(phrase[0])
+        if size >= AUTOMATON_BYTES:
+            _cover(words, np.array(ids, np.int64), shard, window, cover)
+            shard, size = [], 0
+    if shard:
+        _cover(words, np.array(ids, np.int64), shard, window, cover)
+    inside = np.cumsum(cover) > 0
+    ends = np.cumsum(sizes)
+    return [inside[e - n : e - 1] for e, n in zip(ends, sizes)]
 
 
 def _copies(docs: DataFrame, digest: Column) -> DataFrame:
@@ -267,34 +290,40 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) ->
 
     Defined cases: null and empty texts have no words; a row without an id keeps all its words
     and is no earlier document; rows that share an id do not count as earlier than each other;
-    texts shorter than a window are kept; an empty table gives no rows.
+    texts shorter than a window are kept; an empty table gives no rows. A text is the copy of an
+    earlier one where their MD5 digests agree; a window is missed only where 64-bit hashes of
+    different windows agree and no other witness stands for it.
     """
     ship_package(docs.sparkSession)
     read = list(dict.fromkeys(["doc_id", "text", *keep]))
     # the key is never null, so every use below asks for the same exchange of the texts, which is made once
-    digest = F.xxhash64("text", F.length("text"))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), digest).alias("key"), *read)
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("key"), *read)
+    digest = F.md5("text")
     base = keyed.join(_copies(docs, digest), "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", digest), F.lit(False)))
     firsts = base.filter(~F.col("copy"))
-    windows = recurring(firsts.join(recurring(firsts, window), "key"), window)
-    found = covered_words(stretches(firsts.join(windows, "key"), window), window)
-    ranges = found.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.struct("mark", "a", "b")).alias("ranges"))
+    asked = requests(firsts.join(recurring(firsts, window), "key"), window)
+    phrases = asked.join(phrases_of(firsts, asked, window), ["witness", "mark", "phrase"]).groupBy("key").agg(F.collect_list(F.struct("witness", "words")).alias("phrases"))
     extra = [c for c in keep if c not in ("doc_id", "text")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, doc, copy, spans in zip(B.raw_texts(part), part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), part.column("ranges").to_pylist()):
-                words = text.split()
+            split = [text.split() for text in B.raw_texts(part)]
+            sent, known = part.column("phrases").to_pylist(), part.column("doc_id").to_pylist()
+            copies = part.column("copy").to_pylist()
+            rows = [r for r, got in enumerate(sent) if got and known[r] is not None and not copies[r]]
+            lowest: dict[bytes, int] = {}
+            for got in (sent[r] for r in rows):
+                for p in got:
+                    text = p["words"].encode()
+                    lowest[text] = min(p["witness"], lowest.get(text, p["witness"]))
+            gone = dict(zip(rows, covered([split[r] for r in rows], [known[r] for r in rows], lowest, window)))
+            for r, words in enumerate(split):
                 n = len(words)
-                if copy:
+                if copies[r]:
                     words = words if n < window else []
-                elif spans and doc is not None:
-                    mark, live = crc32(text), np.ones(n, bool)
-                    for s in spans:
-                        if s["mark"] == mark:
-                            live[s["a"] : s["b"]] = False
-                    words = [words[i] for i in np.flatnonzero(live)]
+                elif r in gone:
+                    words = [words[i] for i in np.flatnonzero(~gone[r])]
                 kept = b" ".join(words)
                 n_words.append(n)
                 n_removed.append(n - len(words))
@@ -307,7 +336,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) ->
 
     types = dict(docs.dtypes)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string, text string" + "".join(f", {c} {types[c]}" for c in extra)
-    out = base.join(ranges, "key", "left").select(*read, "copy", "ranges").mapInArrow(run, schema)
+    out = base.join(phrases, "key", "left").select(*read, "copy", "phrases").mapInArrow(run, schema)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", *[c for c in keep if c != "doc_id"])
 
 

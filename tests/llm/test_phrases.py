@@ -58,18 +58,26 @@ def test_against_plain_loops(spark, make_docs, monkeypatch):
     assert found(make_docs(rows), window=7) == brute(rows, 7)
 
 
-def test_small_chunks_and_shards(monkeypatch):
+def test_automata_locate_phrases_in_whole_documents(monkeypatch):
     rows = passages(3, 60)
-    stretch = {}
+    phrases = {}
     for i, t in rows:
-        w = t.split()
-        if len(w) >= 13:
-            stretch.setdefault(" ".join(w), []).append(i)
-    got = {}
-    for doc, _, a, b in P.locate([(s, d, [0] * len(d), [0] * len(d)) for s, d in stretch.items()], 13):
-        got.setdefault(doc, set()).update(range(a, b))
-    for i, n, removed, _ in brute(rows):
-        assert len(got.get(i, ())) == removed
+        words = t.encode().split()
+        if len(words) >= 13:
+            phrases[b" ".join(words)] = min(i, phrases.get(b" ".join(words), i))
+    ids, words = [i for i, _ in rows], [t.encode().split() for _, t in rows]
+    for size in (1, 300, 1 << 22):
+        monkeypatch.setattr(P, "AUTOMATON_BYTES", size)
+        got = P.covered(words, ids, phrases, 13)
+        assert sorted((i, len(w), int(g.sum())) for i, w, g in zip(ids, words, got)) == sorted(r[:3] for r in brute(rows))
+
+
+def test_removal_is_the_automata_s(spark, make_docs, monkeypatch):
+    """Nothing goes where the automata find nothing, copies apart."""
+    words = [[b"a"] * 20, [b"a"] * 20]
+    assert P.covered(words, [1, 2], {b" ".join(words[0]): 1}, 13)[1].all()
+    monkeypatch.setattr(P, "_automaton", lambda lines, block: type("None", (), {"iter": staticmethod(lambda line: ())}))
+    assert not P.covered(words, [1, 2], {b" ".join(words[0]): 1}, 13)[1].any()
 
 
 def test_odd_rows(spark, make_docs):
@@ -93,18 +101,21 @@ def test_stage(spark, make_docs):
     assert all(got[i]["text"] == texts[i] for i, n, removed, _ in brute(rows) if i in got and not removed)
 
 
-def test_a_common_line_among_differing_text_sends_no_stretches(spark, make_docs):
+def test_a_common_line_among_differing_text_asks_for_no_phrase(spark, make_docs):
     from pyspark.sql import functions as F
 
     rng = random.Random(8)
     text = lambda: " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))
     line = "the nine words of a line that is common"
-    passage = " ".join(f"p{i}" for i in range(20))
+    passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{text()} {line} {text()}" + (f" {passage}" if i < 3 else "")) for i in range(200)]
     docs = make_docs(rows).withColumn("key", F.col("doc_id"))
-    windows = P.recurring(docs.join(P.recurring(docs), "key"))
-    sent = P.stretches(docs.join(windows, "key")).collect()
-    assert {r["stretch"] for r in sent} == {" ".join(passage.split()[a : a + 13]) for a in range(8)}
+    asked = P.requests(docs.join(P.recurring(docs), "key"))
+    got = asked.collect()
+    # of the three that share the passage two ask, each for the two or three phrases of one witness that hold it
+    assert {r["key"] for r in got} == {1, 2} and all(r["witness"] < r["key"] for r in got) and 4 <= len(got) <= 6
+    sent = P.phrases_of(docs, asked).collect()
+    assert len(sent) == len({(r["witness"], r["phrase"]) for r in got}) and all(len(r["words"].split()) <= P.PHRASE + 12 for r in sent)
     assert found(make_docs(rows)) == brute(rows)
 
 

@@ -36,6 +36,8 @@ WINDOW, GRAM = 13, 5
 LOW_BITS = (1 << 31) - 1
 #: Windows that start in one phrase.
 PHRASE = 32
+#: Marks of a text; a spot is the number of a phrase in its text, times this, and the text's mark.
+MARKS = 1 << 16
 #: Bytes of phrases in one automaton; a chunk that got more streams through one after the other.
 AUTOMATON_BYTES = 1 << 22
 #: Hits compared with their phrases at once.
@@ -133,8 +135,8 @@ def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _mark(text: bytes) -> int:
-    """Tells texts of one id apart."""
-    return crc32(text) - (1 << 31)
+    """Tells texts of one id apart; a chance agreement sends a phrase too many."""
+    return crc32(text) & MARKS - 1
 
 
 def _witnessed(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
@@ -153,57 +155,51 @@ def _witnessed(part: pa.RecordBatch, window: int) -> pa.RecordBatch | None:
     ids, at = _ids(part)[rows], starts - (ends - counts)[rows]
     marks = np.fromiter(map(_mark, texts), np.int64, len(texts))[rows]
     order = np.lexsort((at, ids, hashes))
-    h, d, m, p = (x[order] for x in (hashes, ids, marks, at))
+    h, d, spot = hashes[order], ids[order], (at // PHRASE * MARKS + marks)[order]
     once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-    h, d, m, p = (x[once] for x in (h, d, m, p))
+    h, d, spot = h[once], d[once], spot[once]
     first = np.r_[True, h[1:] != h[:-1]]
     lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))[~first]
-    asked = np.stack([d[~first], d[lead], m[lead], p[lead] // PHRASE], axis=1)
+    asked = np.stack([d[~first], d[lead], spot[lead]], axis=1)
     asked = asked[np.lexsort(asked.T)]
     asked = asked[np.r_[True, (asked[1:] != asked[:-1]).any(axis=1)]] if len(asked) else asked
-    columns = [
-        np.r_[h[first], B.mixed(asked[:, 0].astype(np.int64).view(np.uint64)).view(np.int64)],
-        np.r_[d[first], asked[:, 0]],
-        np.r_[d[first], asked[:, 1]],
-        np.r_[m[first], asked[:, 2]],
-        np.r_[p[first] // PHRASE, asked[:, 3]],
-    ]
-    own = np.r_[np.ones(int(first.sum()), bool), np.zeros(len(asked), bool)]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds)), pa.array(own)], names=["place", "key", "witness", "mark", "phrase", "own"])
+    windows = int(first.sum())
+    place = np.r_[h[first], B.mixed(asked[:, 0].astype(np.int64).view(np.uint64)).view(np.int64)]
+    witness = pa.array(np.r_[np.zeros(windows, np.int64), asked[:, 1]], mask=np.arange(len(place)) < windows)
+    return pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.r_[d[first], asked[:, 0]]), witness, pa.array(np.r_[spot[first], asked[:, 2]])], names=["place", "key", "witness", "spot"])
 
 
 def requests(listed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``key, witness, mark, phrase``: the phrases, each of a smaller id, that hold the windows of a document."""
+    """``key, witness, spot``: the phrases, each of a smaller id, that hold the windows of a document."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             if (out := _witnessed(part, window)) is not None:
                 yield out
 
-    rows = listed.select("doc_id", "text", "listed", "known").mapInArrow(run, "place bigint, key bigint, witness bigint, mark int, phrase int, own boolean")
-    where = F.struct("witness", "mark", "phrase")
-    # a place has a row per chunk at most
-    lowest = F.min(F.when(F.col("own"), where)).over(Window.partitionBy("place"))
-    return rows.select("key", F.when(F.col("own"), lowest).otherwise(where).alias("w")).select("key", "w.*").filter("key > witness").distinct()
+    rows = listed.select("doc_id", "text", "listed", "known").mapInArrow(run, "place bigint, key bigint, witness bigint, spot bigint")
+    # a place has a row per chunk at most; rows that have their witness pass through
+    lowest = F.min(F.when(F.col("witness").isNull(), F.struct(F.col("key").alias("witness"), "spot"))).over(Window.partitionBy("place"))
+    return rows.select("key", F.when(F.col("witness").isNull(), lowest).otherwise(F.struct("witness", "spot")).alias("w")).select("key", "w.*").filter("key > witness").distinct()
 
 
 def phrases_of(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``witness, mark, phrase, words``: the text of every phrase that was asked for, once."""
-    schema = "witness bigint, mark int, phrase int, words string"
+    """``witness, spot, words``: the text of every phrase that was asked for, once."""
+    schema = "witness bigint, spot bigint, words string"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
             out = []
             for text, doc, wanted in zip(_known_texts(part), part.column("doc_id").to_pylist(), part.column("wanted").to_pylist()):
                 words, mark = text.split(), _mark(text)
-                out += [(doc, mark, w["phrase"], b" ".join(words[(a := w["phrase"] * PHRASE) : a + PHRASE + window - 1]).decode()) for w in wanted if w["mark"] == mark]
+                starts = ((spot, spot // MARKS * PHRASE) for spot in wanted if spot % MARKS == mark)
+                out += [(doc, spot, b" ".join(words[a : a + PHRASE + window - 1]).decode()) for spot, a in starts if a < len(words)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["witness", "mark", "phrase", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()))], names=["witness", "spot", "words"])
 
     # a list per document is bounded by the document's own phrases
-    wanted = asked.select("witness", "mark", "phrase").distinct().groupBy(F.col("witness").alias("key")).agg(F.collect_list(F.struct("mark", "phrase")).alias("wanted"))
-    return docs.join(wanted, "key").select("doc_id", "text", "wanted").mapInArrow(run, schema).dropDuplicates(["witness", "mark", "phrase"])
+    wanted = asked.select("witness", "spot").distinct().groupBy(F.col("witness").alias("key")).agg(F.collect_list("spot").alias("wanted"))
+    return docs.join(wanted, "key").select("doc_id", "text", "wanted").mapInArrow(run, schema).dropDuplicates(["witness", "spot"])
 
 
 def _automaton(lines: list[list[int]], block: int) -> ahocorasick.Automaton:
@@ -302,7 +298,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] = ()) ->
     base = keyed.join(_copies(docs, digest), "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", digest), F.lit(False)))
     firsts = base.filter(~F.col("copy"))
     asked = requests(firsts.join(recurring(firsts, window), "key"), window)
-    phrases = asked.join(phrases_of(firsts, asked, window), ["witness", "mark", "phrase"]).groupBy("key").agg(F.collect_list(F.struct("witness", "words")).alias("phrases"))
+    phrases = asked.join(phrases_of(firsts, asked, window), ["witness", "spot"]).groupBy("key").agg(F.collect_list(F.struct("witness", "words")).alias("phrases"))
     extra = [c for c in keep if c not in ("doc_id", "text")]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -115,7 +115,7 @@ def test_a_common_line_among_differing_text_asks_for_no_phrase(spark, make_docs)
     # of the three that share the passage two ask, each for the two or three phrases of one witness that hold it
     assert {r["key"] for r in got} == {1, 2} and all(r["witness"] < r["key"] for r in got) and 4 <= len(got) <= 6
     sent = P.phrases_of(docs, asked).collect()
-    assert len(sent) == len({(r["witness"], r["phrase"]) for r in got}) and all(len(r["words"].split()) <= P.PHRASE + 12 for r in sent)
+    assert len(sent) == len({(r["witness"], r["spot"]) for r in got}) and all(len(r["words"].split()) <= P.PHRASE + 12 for r in sent)
     assert found(make_docs(rows)) == brute(rows)
 
 

@@ -72,12 +72,13 @@ def _overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c)).cast("bigint")
 
 
-def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = (), weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shard_docs: int = 4096, seed: int = 17) -> DataFrame:
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] = (), weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 64, shard_docs: int = 4096, seed: int = 17, salts: int = 32) -> DataFrame:
     """``doc_id, size, source, source_size, target, taken, pieces`` and the columns in ``keep``.
 
-    The words of a source are dealt to shards of about ``shard_docs`` documents by a hash of the
-    id, so a source with a third of all rows becomes many shards. Blocks of ``block_words`` words
-    go to sources by Sainte-Lague quotients of their targets, and a source's blocks go to its
+    The words of a source are dealt to shards of about ``shard_docs`` documents by a hash of id
+    and text, so a source with a third of all rows becomes many shards. A block has ``block_words``
+    words, or fewer where the smallest target is below 32 such blocks: then a 32nd of it, at least
+    one word, so that every source comes within about a block of its target. Blocks go to sources by Sainte-Lague quotients of their targets, and a source's blocks go to its
     shards by the quotients of their sizes. In a shard the documents stand in seeded order on a
     ring that repeats them ``most`` = 2 times; the shard's quota is the run of blocks from a
     seeded block on. So no document is taken more than twice, few documents are cut, and a rerun
@@ -85,32 +86,37 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Defined cases: null text has size 0 and is never taken; a null source is a source of its
     own, the last; documents without words get 0; an empty table gives no rows; repeated rows
-    are drawn as rows of their own; equal seeded places go by id, then size.
+    are drawn as rows of their own; equal seeded places go by id, then size, then text; rows
+    equal in all three may change places, which changes no text of the mix.
     """
     if most != 2.0:
         raise ValueError("the ring repeats a shard twice; most has to be 2.0")
     size = count_words(F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    thin = sized.select("doc_id", "source", "size")
-    per_source = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    own = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), own.alias("own"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(per_source, list(weights), share, most)
     everything = Window.partitionBy(F.lit(0))
-    targets = targets.withColumn("blocks", F.round(F.sum("target").over(everything) / block_words).cast("bigint"))
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
+    targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block_words), F.coalesce(F.floor(smallest / 32), F.lit(1)))).cast("bigint"))
+    targets = targets.withColumn("blocks", F.round(F.sum("target").over(everything) / F.col("block")).cast("bigint"))
     quotas = apportion(targets, [], "target", "blocks", "source").withColumnRenamed("quota", "source_quota")
     quotas = quotas.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs)).drop("blocks")
 
-    # one row per source: the planner may broadcast it where it is small
-    joined = sized.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")))
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("shards"))
-    dealt = joined.select("d.*", "q.source_size", "q.target", "q.source_quota", shard.alias("shard"))
+    # a source with very many rows meets its quota in ``salts`` tasks
+    salted = quotas.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.col("own"), F.lit(salts)).cast("int")
+    joined = sized.withColumn("salt", salt).alias("d").join(salted.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.salt") == F.col("q.salt")))
+    shard = F.pmod(F.xxhash64("own"), F.col("shards"))
+    dealt = joined.select("d.*", "q.source_size", "q.target", "q.source_quota", "q.block", shard.alias("shard")).drop("salt")
     keys = ["source", "shard"]
-    per_shard = dealt.groupBy(*keys, "source_quota").agg(F.sum("size").alias("words"))
+    per_shard = dealt.groupBy(*keys, "source_quota", "block").agg(F.sum("size").alias("words"))
     per_shard = apportion(per_shard, ["source"], "words", "source_quota", "shard").select(*keys, "words", "quota")
 
     ring = F.col("words") * 2
-    start = F.floor(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("shard")), F.greatest(F.lit(1), F.ceil(ring / block_words)))) * block_words
-    length = F.least(F.col("quota") * block_words, ring)
-    line = Window.partitionBy("d.source", "d.shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.floor(F.pmod(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("shard")), F.greatest(F.lit(1), F.ceil(ring / F.col("block"))))) * F.col("block")
+    length = F.least(F.col("quota") * F.col("block"), ring)
+    line = Window.partitionBy("d.source", "d.shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col("own")), "doc_id", "size", "own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.shard") == F.col("s.shard"))
     placed = (
         dealt.alias("d").join(per_shard.alias("s"), same)

@@ -72,6 +72,27 @@ def test_targets_and_draw(spark, make_docs):
     assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
+def test_tiny_sources_come_near_their_targets(spark, make_docs):
+    rows = [(i, " ".join("w" * 3 for _ in range(n)), f"t{n:02}") for i, n in enumerate(range(1, 41))]
+    rows += [(100 + i, "x " * 50, "zz") for i in range(60)]
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    want, taken = targets(size), Counter()
+    for r in A.draw(make_docs(rows)).collect():
+        assert r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1.5 for s in size)
+    assert abs(sum(taken.values()) - sum(want.values())) <= 5
+
+
+def test_rows_of_one_id_fall_into_several_shards(spark, make_docs):
+    docs = make_docs([(None if i % 2 else 7, f"w{i} " * 9, "a") for i in range(400)])
+    got = A.draw(docs, shard_docs=50).collect()
+    assert sorted(r["taken"] for r in got) == sorted(r["taken"] for r in A.draw(docs.repartition(5), shard_docs=50).collect())
+    assert abs(sum(r["taken"] for r in got) - 1.5 * 3600) <= 64
+
+
 def test_stage_texts_follow_the_draw(spark, make_docs):
     rows = mixture(600, 3)
     docs = make_docs(rows)

@@ -7,7 +7,7 @@ operator combines two images, so a corpus scan needs no shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -233,12 +233,12 @@ def letterbox_inverse(px: DataFrame, geometry: DataFrame, size: int) -> DataFram
     )
 
 
-def five_crops(dims: DataFrame, resize: int, crop_size: int) -> DataFrame:
-    """Short side to ``resize``, then four corner crops and the centre crop."""
+def five_crops(dims: DataFrame, resize: int, crop_size: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Short side to ``resize``, then four corner crops and the centre crop; ``keep`` columns stay in the row."""
     w, h = F.col("w"), F.col("h")
     rw = F.when(w <= h, F.lit(resize)).otherwise(F.floor(w * resize / h)).cast("int")
     rh = F.when(w <= h, F.floor(h * resize / w)).otherwise(F.lit(resize)).cast("int")
-    d = dims.select("image_id", rw.alias("rw"), rh.alias("rh"))
+    d = dims.select("image_id", rw.alias("rw"), rh.alias("rh"), *keep)
     far_x, far_y = F.col("rw") - crop_size, F.col("rh") - crop_size
     one = lambda name, top, left: F.struct(F.lit(name).alias("crop"), top.cast("int").alias("top"), left.cast("int").alias("left"))
     zero = F.lit(0)
@@ -246,7 +246,17 @@ def five_crops(dims: DataFrame, resize: int, crop_size: int) -> DataFrame:
         one("top_left", zero, zero), one("top_right", zero, far_x), one("bottom_left", far_y, zero),
         one("bottom_right", far_y, far_x), one("centre", F.rint(far_y / 2.0), F.rint(far_x / 2.0)),
     )
-    return d.select("image_id", "rw", "rh", F.explode(crops).alias("c")).select("image_id", "rw", "rh", "c.*")
+    return d.select("image_id", "rw", "rh", *keep, F.explode(crops).alias("c")).select("image_id", "rw", "rh", *keep, "c.*")
+
+
+def cut_crops(rasters: DataFrame, resize: int, crop_size: int) -> DataFrame:
+    """``image_id, crop, y, x, v``: the pixels of the five crops, nearest source pixel, made in the image's row."""
+    crops = five_crops(rasters, resize, crop_size, ["h", "w", "cells"])
+    at = lambda p, start, size, scaled: F.floor((p + F.col(start)) * F.col(size) / F.col(scaled).cast("double"))
+    y, x = lambda p: F.floor(p / crop_size).cast("int"), lambda p: (p % crop_size).cast("int")
+    one = lambda p: F.struct(y(p).alias("y"), x(p).alias("x"), _cell(at(y(p), "top", "h", "rh"), at(x(p), "left", "w", "rw")).alias("v"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(crop_size * crop_size - 1)), one)
+    return crops.select("image_id", "crop", F.explode(cells).alias("c")).select("image_id", "crop", "c.*")
 
 
 def normalise(bgr: DataFrame) -> DataFrame:
@@ -305,16 +315,14 @@ def dropout(df: DataFrame, column: str, p: float, seed: int, keys: list[str]) ->
     return df.withColumn(column, F.when(hash_uniform(seed, *keys) < p, 0.0).otherwise(F.col(column) / (1 - p)))
 
 
-def augmentation_plan(dims: DataFrame, seed: int) -> DataFrame:
-    """Per image: flip decision, crop rectangle, rotation and colour factors.
+def augmentation_plan(dims: DataFrame, seed: int, keep: Sequence[str] = ()) -> DataFrame:
+    """Per image: flip decision, crop rectangle, rotation and colour factors; ``keep`` columns stay in the row.
 
     A crop that does not fit falls back to the whole image.
     """
     u = lambda name: hash_uniform(f"{seed}:{name}", "image_id")
     between = lambda name, lo, hi: F.lit(lo) + u(name) * (hi - lo)
     w, h = F.col("w"), F.col("h")
-    import math
-
     plan = dims.withColumns({
         "area": w * h * between("area", 0.7, 1.0),
         "aspect": F.exp(between("aspect", math.log(0.75), math.log(1.33))),
@@ -334,4 +342,48 @@ def augmentation_plan(dims: DataFrame, seed: int) -> DataFrame:
         between("contrast", 0.85, 1.15).alias("contrast"),
         between("saturation", 0.9, 1.1).alias("saturation"),
         between("hue", -0.02, 0.02).alias("hue"),
+        *keep,
+    )
+
+
+#: Colour of the corners that a rotation leaves empty.
+FILL = {"b": 104, "g": 116, "r": 124}
+
+
+def augmented(rasters: DataFrame, size: int, seed: int) -> DataFrame:
+    """``image_id, y, x, b, g, r``: the augmentation plan applied to every image, without a shuffle.
+
+    ``rasters`` has ``image_id, h, w, planes`` (b, g, r). Crop, resize to ``size`` squared, flip
+    and rotation are one inverse map from an output pixel to its source pixel, so a pixel is
+    looked up once, in the image's own row. The colour factors follow in the plan's order:
+    brightness, contrast about the mean gray of the result so far, saturation and hue.
+    """
+    half = (size - 1) / 2.0
+    angle = F.col("rotation") * (math.pi / 180)
+    rows = augmentation_plan(rasters, seed, ["h", "w", "planes"]).withColumns({"_cos": F.cos(angle), "_sin": F.sin(angle)})
+    # a generator keeps the plan from being computed again for every pixel
+    rows = rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_r")).select("_r.*")
+
+    def source(p: Column) -> Column:
+        dy, dx = F.floor(p / size) - half, p % size - half
+        sy = F.rint(dx * -F.col("_sin") + dy * F.col("_cos") + half)
+        sx = F.rint(dx * F.col("_cos") + dy * F.col("_sin") + half)
+        inside = (sy >= 0) & (sy < size) & (sx >= 0) & (sx < size)
+        across = F.when(F.col("flip"), size - 1 - sx).otherwise(sx)
+        y = F.col("top") + F.floor((sy + 0.5) * F.col("crop_h") / size)
+        x = F.col("left") + F.floor((across + 0.5) * F.col("crop_w") / size)
+        return F.when(inside, y * F.col("w") + x).otherwise(-1).cast("int")
+
+    def bright(i: Column) -> Column:
+        values = {c: F.coalesce(F.get(F.get("planes", F.lit(k)), i), F.lit(float(FILL[c]))) for k, c in enumerate("bgr")}
+        return F.struct(*[saturate(v * F.col("brightness")).alias(c) for c, v in values.items()])
+
+    rows = rows.withColumn("_at", F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), source))
+    rows = rows.withColumn("_lit", F.transform("_at", bright))
+    mean = F.aggregate("_lit", F.lit(0.0), lambda a, c: a + colour.gray(c["b"], c["g"], c["r"])) / (size * size)
+    out = rows.select("image_id", "contrast", "saturation", "hue", mean.alias("_mean"), F.posexplode("_lit").alias("_p", "_c"))
+    out = out.select(
+        "image_id", F.floor(F.col("_p") / size).cast("int").alias("y"), (F.col("_p") % size).alias("x"), "saturation", "hue",
+        *[saturate(F.col(f"_c.{c}") * F.col("contrast") + F.col("_mean") * (1 - F.col("contrast"))).alias(c) for c in "bgr"],
     )
+    return colour.turned(out, F.col("saturation"), F.col("hue")).select("image_id", "y", "x", "b", "g", "r")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["pixel_queries", "stat_queries", "dedup_queries", "metric_queries", "table_queries"]
+MODULES = ["pixel_queries", "stat_queries", "dedup_queries", "metric_queries", "table_queries", "applied_queries"]
 
 
 def all_queries() -> dict:

@@ -136,29 +136,33 @@ def _(s, d):
     return P.resize_area(V.rasters(s, d), i % 5 + 2, i % 4 + 3).select("image_id", "y", "x", r6("v").alias("v"))
 
 
-def low_rasters(s, d):
-    """Rasters of one to eight rows."""
-    h = (F.col("image_id") % 8 + 1).cast("int")
-    return V.byte_rasters(s, d).withColumn("cells", F.slice("cells", 1, h * 8)).withColumn("h", h)
+SHAPED = {"shaped": "select image_id, cast((y*8+x)//w as int) y, cast((y*8+x)%w as int) x, v, h, w from (select *, cast(pow(2,1+image_id%4) as int) h, cast(pow(2,5-image_id%4) as int) w from px8) q"}
+
+
+def shaped_rasters(s, d):
+    """Rasters of 2 x 32, 4 x 16, 8 x 8 and 16 x 4 cells."""
+    power = F.col("image_id") % 4
+    size = lambda k: F.pow(F.lit(2), k).cast("int")
+    return V.byte_rasters(s, d).withColumns({"h": size(1 + power), "w": size(5 - power)})
 
 
 @query("P15_letterbox_pixels", """select g.image_id, cast(a.d as int) y, cast(b.d as int) x, cast(coalesce(p.v,114) as double) v from
- (select *, cast(floor((12-rh)/2e0) as int) tp from (select *, cast(round_even(h*sc,0) as int) rh from (select distinct image_id, image_id%8+1 h, least(12e0/8,12e0/(image_id%8+1)) sc from px8) q) z) g
+ (select *, cast(floor((12-rh)/2e0) as int) tp, cast(floor((12-rw)/2e0) as int) lf from (select *, cast(round_even(h*sc,0) as int) rh, cast(round_even(w*sc,0) as int) rw from (select distinct image_id, h, w, least(12e0/w,12e0/h) sc from shaped) q) z) g
  join range(0,12) a(d) on true join range(0,12) b(d) on true
- left join px8 p on p.image_id=g.image_id and a.d>=tp and a.d<tp+rh and p.y=floor((a.d-tp)*h/cast(rh as double)) and b.d>=cast(floor((12-cast(round_even(8*sc,0) as int))/2e0) as int) and b.d<cast(floor((12-cast(round_even(8*sc,0) as int))/2e0) as int)+cast(round_even(8*sc,0) as int) and p.x=floor((b.d-cast(floor((12-cast(round_even(8*sc,0) as int))/2e0) as int))*8/cast(cast(round_even(8*sc,0) as int) as double))""")
+ left join shaped p on p.image_id=g.image_id and a.d>=tp and a.d<tp+rh and p.y=floor((a.d-tp)*g.h/cast(rh as double)) and b.d>=lf and b.d<lf+rw and p.x=floor((b.d-lf)*g.w/cast(rw as double))""", extra=SHAPED)
 def _(s, d):
-    return P.letterbox(low_rasters(s, d), 12, 114).select("image_id", "y", "x", "v")
+    return P.letterbox(shaped_rasters(s, d), 12, 114).select("image_id", "y", "x", "v")
 
 
 COS, SIN = math.cos(math.radians(30)), math.sin(math.radians(30))
 
 
 @query("P13_rotated", f"""select g.image_id, cast(a.d as int) y, cast(b.d as int) x, cast(coalesce(p.v,0) as double) v from
- (select *, cast(ceil(h*{COS!r}::double+8*{SIN!r}::double-1e-9) as int) nh, cast(ceil(h*{SIN!r}::double+8*{COS!r}::double-1e-9) as int) nw from (select distinct image_id, image_id%8+1 h from px8) q) g
- join range(0,12) a(d) on a.d<nh join range(0,12) b(d) on b.d<nw
- left join px8 p on p.image_id=g.image_id and p.y<h and p.y=round_even((b.d-(nw-1)/2e0)*-{SIN!r}::double+(a.d-(nh-1)/2e0)*{COS!r}::double+(h-1)/2e0,0) and p.x=round_even((b.d-(nw-1)/2e0)*{COS!r}::double+(a.d-(nh-1)/2e0)*{SIN!r}::double+7/2e0,0)""")
+ (select *, cast(ceil(h*{COS!r}::double+w*{SIN!r}::double-1e-9) as int) nh, cast(ceil(h*{SIN!r}::double+w*{COS!r}::double-1e-9) as int) nw from (select distinct image_id, h, w from shaped) q) g
+ join range(0,40) a(d) on a.d<nh join range(0,40) b(d) on b.d<nw
+ left join shaped p on p.image_id=g.image_id and p.y=round_even((b.d-(nw-1)/2e0)*-{SIN!r}::double+(a.d-(nh-1)/2e0)*{COS!r}::double+(g.h-1)/2e0,0) and p.x=round_even((b.d-(nw-1)/2e0)*{COS!r}::double+(a.d-(nh-1)/2e0)*{SIN!r}::double+(g.w-1)/2e0,0)""", extra=SHAPED)
 def _(s, d):
-    return P.rotate(low_rasters(s, d), 30, 0).select("image_id", "y", "x", "v")
+    return P.rotate(shaped_rasters(s, d), 30, 0).select("image_id", "y", "x", "v")
 
 
 def letterbox_sql(size):

@@ -357,13 +357,16 @@ def _(s, d):
     return Mo.complexity_report(p.withColumn("t", y), "t", [1, 3, 19])
 
 
-@query("W14_edge_map", """select image_id, y, x from hyst""", recursive=True, extra={
+EDGES = {
     "sob": "select p.image_id, p.y, p.x, sum(s.v*kx)::double gx, sum(s.v*ky)::double gy from px8 p cross join (values (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)) k(dy,dx,kx,ky) join px8 s on s.image_id=p.image_id and s.y=(case when abs(p.y+dy)>7 then 14-abs(p.y+dy) else abs(p.y+dy) end) and s.x=(case when abs(p.x+dx)>7 then 14-abs(p.x+dx) else abs(p.x+dx) end) group by 1,2,3",
     "mag": "select *, abs(gx)+abs(gy) m from sob",
     "dirs": "select *, case when abs(gy)<=abs(gx)*0.41421356237309503::double then 0 when abs(gx)<=abs(gy)*0.41421356237309503::double then 1 when gx*gy>0 then 2 else 3 end dr from mag",
     "ridge": "select d.image_id, d.y, d.x, d.m, d.m>160 strong from dirs d left join mag a on a.image_id=d.image_id and a.y=d.y-(case dr when 0 then 0 else 1 end) and a.x=d.x-(case dr when 0 then 1 when 1 then 0 when 2 then 1 else -1 end) left join mag b on b.image_id=d.image_id and b.y=d.y+(case dr when 0 then 0 else 1 end) and b.x=d.x+(case dr when 0 then 1 when 1 then 0 when 2 then 1 else -1 end) where d.m>80 and d.m>coalesce(a.m,0) and d.m>=coalesce(b.m,0)",
     "hyst": "select image_id, y, x from ridge where strong union select r.image_id, r.y, r.x from hyst h join ridge r on r.image_id=h.image_id and abs(r.y-h.y)<=1 and abs(r.x-h.x)<=1",
-})
+}
+
+
+@query("W14_edge_map", "select image_id, y, x from hyst", recursive=True, extra=EDGES)
 def _(s, d):
     return edge_map(tiles_from_rasters(V.byte_rasters(s, d)), 80.0, 160.0)
 

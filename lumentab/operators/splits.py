@@ -161,14 +161,19 @@ def stratified_validation(items: DataFrame, key: str, label: str, share: float)
     return ranked.select(key, label, F.when(F.col("_r") <= per_class, "valid").otherwise("train").alias("part"))
 
 
-def contiguous_folds(items: DataFrame, key: str, k: int) -> DataFrame:
-    """k folds of n // k consecutive rows; the remainder is left out, as in plain slicing."""
+def fold_blocks(items: DataFrame, key: str, k: int) -> DataFrame:
+    """Every row once, with the ``block`` of n // k consecutive rows that it validates; the remainder is left out."""
     if k < 2:
         raise ValueError("k must be at least 2")
     n = items.agg(F.count("*"))
     block = F.floor(n.scalar() / k)
     numbered = row_numbers(items, [key], "_r").withColumn("block", F.floor((F.col("_r") - 1) / block).cast("int")).filter(F.col("block") < k)
-    return numbered.drop("_r").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
+    return numbered.drop("_r")
+
+
+def contiguous_folds(items: DataFrame, key: str, k: int) -> DataFrame:
+    """k folds of n // k consecutive rows; the remainder is left out, as in plain slicing."""
+    return fold_blocks(items, key, k).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
         "part", F.when(F.col("block") == F.col("fold"), "valid").otherwise("train")
     )
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumentab.functions.numeric import saturate
+from lumentab.operators import running
 
 GEOMETRY = ["h", "w", "oy", "ox", "th", "tw", "hy", "hx", "hh", "hw"]
 UNROLL_LIMIT = 64
@@ -182,8 +183,13 @@ def transpose_correlate(tiles: DataFrame, kernel: Sequence[Sequence[float]], str
 
 
 def pool(tiles: DataFrame, size: tuple[int, int], mode: str, stride: tuple[int, int] | None = None, pad: tuple[int, int] = (0, 0)) -> DataFrame:
-    """Max or average pooling; padding counts as missing for max and as 0 for average."""
+    """Max or average pooling; padding counts as missing for max and as 0 for average.
+
+    Windows of more than ``UNROLL_LIMIT`` cells run on prefix tables, whatever their size.
+    """
     stride = stride or size
+    if size[0] * size[1] > UNROLL_LIMIT:
+        return running.pool(tiles, size, mode, stride, pad)
     pts = _strided(tiles, *size, pad, stride)
     rows = {dy: F.col("y") * stride[0] - pad[0] + dy for dy in range(size[0])}
     cols = {dx: F.col("x") * stride[1] - pad[1] + dx for dx in range(size[1])}
@@ -235,6 +241,9 @@ def separable_mirror(tiles: DataFrame, weights: Sequence[float]) -> DataFrame:
 
 
 def box_blur(tiles: DataFrame, k: int) -> DataFrame:
+    """Mean over k x k with mirrored borders; wide windows run on summed-area tables."""
+    if k * k > UNROLL_LIMIT:
+        return running.box_mean(tiles, k).withColumn("v", saturate(F.col("v")))
     return separable_mirror(tiles, [1.0 / k] * k).withColumn("v", saturate(F.col("v")))
 
 

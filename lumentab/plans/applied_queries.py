@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lumentab.functions.numeric import r6
 from lumentab.operators import batch as Ba, pixels as P, stencils as W
 from lumentab.plans import views as V
 from lumentab.plans.pixel_queries import SHAPED, shaped_rasters, u31
-from lumentab.plans.sqltext import SAT
+from lumentab.plans.sqltext import R, SAT
 from lumentab.plans.stat_queries import GAUSS, byte_tiles, stencil_sql
 from lumentab.plans.table_queries import EDGES
 from lumentab.plans.views import duck
+from lumentab.session import ship_package
+from lumentab.sources import paths as Pa
+from lumentab.sources.bitmaps import encode, read_tiles
+from lumentab.sources.folders import run_folder
 
 Q = {}
 
@@ -85,3 +91,63 @@ def _(s, d):
     done = Ba.run_chain(V.byte_rasters(s, d).withColumn("steps", steps))
     out = done.select("image_id", "status", F.posexplode_outer("cells").alias("p", "v"))
     return out.select("image_id", "status", F.floor(F.col("p") / V.SIDE).cast("int").alias("y"), (F.col("p") % V.SIDE).alias("x"), "v")
+
+
+SEVEN = "(case when abs({0})%14>7 then 14-abs({0})%14 else abs({0})%14 end)"
+
+
+@query("W10_box_blur_wide", f"select p.image_id, p.y, p.x, {SAT('sum(s.v)/961e0')} v from px8 p join range(-15,16) b(dy) on true join rowsums s on s.image_id=p.image_id and s.x=p.x and s.y={SEVEN.format('(p.y+dy)')} group by 1,2,3",
+       extra={"rowsums": f"select p.image_id, p.y, p.x, sum(s.v) v from px8 p join range(-15,16) a(dx) on true join px8 s on s.image_id=p.image_id and s.y=p.y and s.x={SEVEN.format('(p.x+dx)')} group by 1,2,3"})
+def _(s, d):
+    return W.box_blur(byte_tiles(s, d), 31)
+
+
+@query("W09_pooling_wide", f"select 'max' kind, image_id, cast(a as int) y, cast(b as int) x, {R('max(v)')} v from px join range(0,4) r(a) on y between a*2-4 and a*2+5 join range(0,4) q(b) on x between b*2-4 and b*2+5 group by 1,2,3,4 union all select 'avg', image_id, cast(a as int), cast(b as int), {R('sum(v)/81')} from px join range(0,2) r(a) on y between a*3-3 and a*3+5 join range(0,2) q(b) on x between b*3-3 and b*3+5 group by 1,2,3,4")
+def _(s, d):
+    t = W.tiles_from_rasters(V.rasters(s, d))
+    widest = W.pool(t, (10, 10), "max", stride=(2, 2), pad=(4, 4)).withColumn("kind", F.lit("max"))
+    mean = W.pool(t, (9, 9), "avg", stride=(3, 3), pad=(3, 3)).withColumn("kind", F.lit("avg"))
+    return widest.unionByName(mean).select("kind", "image_id", "y", "x", r6("v").alias("v"))
+
+
+MOSAIC = 16
+
+
+def mosaic_folder(s, d) -> str:
+    """Bitmaps of 16 x 16 rasters each, neighbours by id; places without a raster are black."""
+    root = run_folder(s, "mosaics")
+    ship_package(s)
+    edge = MOSAIC * V.SIDE
+
+    def write(key, rows):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, place = fs.FileSystem.from_uri(root)
+        store.create_dir(place, recursive=True)
+        image = np.zeros((edge, edge), np.uint8)
+        for i, cells in zip(rows["image_id"], rows["cells"]):
+            y, x = i % MOSAIC**2 // MOSAIC * V.SIDE, i % MOSAIC * V.SIDE
+            image[y : y + V.SIDE, x : x + V.SIDE] = np.array(cells).reshape(V.SIDE, V.SIDE)
+        with store.open_output_stream(f"{place}/mosaic_{key[0]}.bmp") as f:
+            f.write(encode(image))
+        return pd.DataFrame({"n": [len(rows)]})
+
+    rows = V.byte_rasters(s, d).select(F.floor(F.col("image_id") / MOSAIC**2).alias("m"), "image_id", "cells")
+    # a group holds the 256 rasters of one mosaic
+    rows.groupBy("m").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+WIDE = "(case when abs({0})>127 then 254-abs({0}) else abs({0}) end)"
+
+
+LAPLACE = ", ".join(f"({dy - 1},{dx - 1},{float(k)!r}::double)" for dy, row in enumerate(W.LAPLACIAN) for dx, k in enumerate(row) if k)
+
+
+@query("S07_large_image_tiles", f"select q.image_id, q.y, q.x, {R('sum(s.v*kv)')} v from (select p.image_id, p.y, p.x, kv, {WIDE.format('(p.y+dy)')} ny, {WIDE.format('(p.x+dx)')} nx from mosaic p cross join (values {LAPLACE}) k(dy,dx,kv)) q join mosaic s on s.image_id=q.image_id and s.y=q.ny and s.x=q.nx group by 1,2,3",
+       extra={"mosaic": "select m.k image_id, cast(a.d as int) y, cast(b.d as int) x, coalesce(p.v,0) v from (select distinct vec_id//256 k from embeddings) m join range(0,128) a(d) on true join range(0,128) b(d) on true left join (select image_id//256 k, (image_id%256)//16*8+y my, image_id%16*8+x mx, v from px8) p on p.k=m.k and p.my=a.d and p.mx=b.d"})
+def _(s, d):
+    rows = read_tiles(s, mosaic_folder(s, d), side=48, halo=1, band_bytes=1 << 14)
+    named = rows.filter("read_ok").withColumn("image_id", Pa.image_number(Pa.stem(F.col("path"))))
+    return W.filter_mirror(named, W.LAPLACIAN).select("image_id", "y", "x", r6("v").alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumentab.functions.numeric import r6
+from lumentab.operators.blocks import multiply_blocks
 from lumentab.operators import linalg as M, pixels as P, stats as A, stencils as W
 from lumentab.operators.ranking import running_sum
 from lumentab.plans import views as V
@@ -313,6 +314,12 @@ def _(s, d):
     return M.multiply(V.mat(s, d), V.mat_b(s, d)).select("i", "j", r6("v").alias("v"))
 
 
+@query("M01_block_product", f"select a.j i, b.j, {R('sum(a.v*b.v)')} v from mat a join mat b on a.i=b.i group by 1,2")
+def _(s, d):
+    m = V.mat(s, d)
+    return multiply_blocks(M.transpose(m), m, 32).select("i", "j", r6("v").alias("v"))
+
+
 @query("M02_matrix_vector", f"select a.i, {R('sum(a.v*b.v)')} v from mat a join (select i, sum(v) v from mat_b group by 1) b on a.j=b.i group by 1")
 def _(s, d):
     vector = V.mat_b(s, d).groupBy("i").agg(F.sum("v").alias("v"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumentab.functions.hashing import to_hex16
 from lumentab.functions.numeric import r6
-from lumentab.operators import batch as Bt, features as Fe, joins as J, models as Mo
+from lumentab.operators import batch as Bt, factors as Fa, features as Fe, joins as J, models as Mo
 from lumentab.operators.edges import edge_map
 from lumentab.operators.phash import perceptual_hash
 from lumentab.operators.stencils import tiles_from_rasters
@@ -16,6 +15,7 @@ from lumentab.plans import views as V
 from lumentab.plans.sqltext import R, U
 from lumentab.plans.views import duck
 from lumentab.sources import datasets as Ds, images as I, labels as L, paths as Pa
+from lumentab.sources.bitmaps import encode
 from lumentab.session import ship_package
 from lumentab.sources.folders import run_folder
 from lumentab.streaming import frames as St
@@ -56,11 +56,8 @@ def _(s, d):
 
 
 def bitmap(cells) -> bytes:
-    """24-bit BMP of an 8 x 8 gray raster (rows bottom-up)."""
-    rows = [bytes(v for c in cells[y * 8 : y * 8 + 8] for v in (int(c),) * 3) for y in range(7, -1, -1)]
-    body = b"".join(rows)
-    head = b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54)
-    return head + struct.pack("<IiiHHIIiiII", 40, 8, 8, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+    """24-bit BMP of an 8 x 8 gray raster."""
+    return encode(np.array(cells, float).reshape(8, 8).astype(np.uint8))
 
 
 def image_folder(s, d) -> str:
@@ -314,7 +311,7 @@ def _(s, d):
 
 @query("L02_ridge_sweep", f"select l penalty, {R('sqrt(w0*w0+w1*w1)')} weight_norm, {R('bias')} \"intercept\", {R('avg((y-w0*x0-w1*x1-bias)*(y-w0*x0-w1*x1-bias))')} mse from syn, lines group by l, w0, w1, bias", extra=RIDGE)
 def _(s, d):
-    t = Mo.fit_report(Mo.assemble(synthetic(s, d), ["x0", "x1"]), "y", [0.0, 3.0, 5.0])
+    t = Fa.ridge_sweep(synthetic(s, d), "y", ["x0", "x1"], [0.0, 3.0, 5.0])
     return t.select("penalty", *[r6(c).alias(c) for c in ("weight_norm", "intercept", "mse")])
 
 
@@ -345,16 +342,40 @@ FOLDS = {
 @query("L09_k_fold_log_rmse", f"select fold, part, {R('sqrt(avg(pow(ln(greatest(a*z+b,1))-ln(price),2)))')} log_rmse from folds join fits using (fold) group by 1,2", extra=FOLDS)
 def _(s, d):
     h = Fe.standardise(V.house(s, d), ["size"])
-    return Mo.k_fold_log_rmse(h, "id", "price", ["size"], 5).select("fold", "part", r6("log_rmse").alias("log_rmse"))
+    return Fa.k_fold_log_rmse(h, "id", "price", ["size"], 5).select("fold", "part", r6("log_rmse").alias("log_rmse"))
 
 
-@query("L10_fit_complexity")
-def _(s, d):
+def cubic(s, d):
+    """Noisy cubic of the first synthetic feature, even ids to train on, and 20 scaled powers."""
     syn = synthetic(s, d).withColumn("part", F.when(F.col("id") % 2 == 0, "train").otherwise("test"))
     p = syn.withColumn("poly", Fe.polynomial(F.col("x0"), 19))
     terms = [5.0, 1.2, -3.4, 5.6]
-    y = sum((F.col("poly")[i] * w for i, w in enumerate(terms)), F.lit(0.0)) + Fe.gaussian("9:e", "id") * 0.1
-    return Mo.complexity_report(p.withColumn("t", y), "t", [1, 3, 19])
+    return p.withColumn("t", sum((F.col("poly")[i] * w for i, w in enumerate(terms)), F.lit(0.0)) + Fe.gaussian("9:e", "id") * 0.1)
+
+
+@query("L10_fit_complexity")
+def _(s, d):
+    return Fa.nested_fits(cubic(s, d), "t", [1, 3, 19])
+
+
+def residual(column, onto):
+    """``column`` less its projections on the earlier columns, over the training rows."""
+    return f"{column}" + "".join(f"-{z}*(select sum(({column})*{z})/sum({z}*{z}) from {source} where tr)" for z, source in onto)
+
+
+LOW = {
+    **SYN,
+    "base": f"select id%2=0 tr, 1e0 z0, x0 x, 5+12e-1*x0-34e-1*x0*x0/2+56e-1*x0*x0*x0/6+sqrt(-2*ln(greatest({U('9:e:a', 'id')},1e-12)))*cos(2*pi()*{U('9:e:b', 'id')})*1e-1 t from syn",
+    "one": f"select *, {residual('x', [('z0', 'base')])} z1 from base",
+    "two": f"select *, {residual('x*x', [('z0', 'one'), ('z1', 'one')])} z2 from one",
+    "three": f"select *, {residual('x*x*x', [('z0', 'two'), ('z1', 'two'), ('z2', 'two')])} z3 from two",
+    "off": f"select tr, {residual('t', [('z0', 'three'), ('z1', 'three')])} e1, {residual('t', [(f'z{k}', 'three') for k in range(4)])} e3 from three",
+}
+
+
+@query("L10_low_degrees", f"select 1 degree, {R('avg(e1*e1) filter (tr)')} train_mse, {R('avg(e1*e1) filter (not tr)')} test_mse from off union all select 3, {R('avg(e3*e3) filter (tr)')}, {R('avg(e3*e3) filter (not tr)')} from off", extra=LOW)
+def _(s, d):
+    return Fa.nested_fits(cubic(s, d), "t", [1, 3]).select("degree", r6("train_mse").alias("train_mse"), r6("test_mse").alias("test_mse"))
 
 
 EDGES = {

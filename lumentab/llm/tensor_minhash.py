@@ -15,15 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumentab.llm import batches as B
 from lumentab.operators.graph import components
 from lumentab.session import cut_lineage, ship_package
 
 SHINGLE, ROWS, SIDE = 5, 3, 16
-#: Documents of a block; a family of more is confirmed block by block.
-BLOCK = 2048
+#: Classes of a block, and shingles of all its sets; a family of more is confirmed block by block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
 #: Similarity in hundredths.
 PERCENT = 75
 
@@ -65,11 +65,16 @@ def half_keys(sets: list[np.ndarray], side: int = SIDE, rows: int = ROWS) -> np.
     return B.mixed(out)
 
 
-SIGNATURE = "doc_id bigint, n_shingles bigint, set_key bigint, halves array<bigint>"
+SIGNATURE = "doc_id bigint, row_key bigint, n_shingles bigint, set_key bigint, halves array<bigint>"
+
+
+def row_key() -> Column:
+    """Tells rows apart by id and text, null ids included."""
+    return F.xxhash64("doc_id", "text")
 
 
 def signatures(docs: DataFrame, side: int = SIDE) -> DataFrame:
-    """``doc_id, n_shingles, set_key, halves`` of each whole text; empty sets have no halves."""
+    """``doc_id, row_key, n_shingles, set_key, halves`` of each whole text; empty sets have no halves."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.chunks(parts):
@@ -78,9 +83,9 @@ def signatures(docs: DataFrame, side: int = SIDE) -> DataFrame:
             full = [s for s in sets if len(s)]
             halves = half_keys(full, side) if full else np.zeros((0, 2 * side), np.uint64)
             lists = B.ragged(halves.ravel().view(np.int64), np.where(sizes > 0, 2 * side, 0), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(set_keys(sets).view(np.int64)), lists], names=["doc_id", "n_shingles", "set_key", "halves"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(sizes), pa.array(set_keys(sets).view(np.int64)), lists], names=["doc_id", "row_key", "n_shingles", "set_key", "halves"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNATURE)
+    return docs.select("doc_id", row_key().alias("row_key"), "text").mapInArrow(run, SIGNATURE)
 
 
 def candidate_edges(classes: DataFrame, side: int = SIDE) -> DataFrame:
@@ -157,11 +162,16 @@ def confirmed_links(keys: list[int], sets: list[np.ndarray], left: np.ndarray |
     return links
 
 
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Texts of the rows that stand for a class; rows of one id, or of none, meet only with their own text."""
+    return docs.select(row_key().alias("key"), "text").join(members, "key")
+
+
 def family_links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``u, v``: confirmed links between classes of one candidate family.
 
-    ``members`` has ``key, set_key, family, blocks``: the document that gives a class its text,
-    and in how many blocks its family is confirmed. Every pair of blocks is a unit of its own,
+    ``members`` has ``key, set_key, family, blocks``: the row that gives a class its text, and
+    in how many blocks its family is confirmed. Every pair of blocks is a unit of its own,
     so no unit is larger than two blocks and only a spanning forest leaves it.
     """
 
@@ -174,8 +184,7 @@ def family_links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) ->
             lists = B.ragged(np.concatenate(sets).view(np.int64), sizes, pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(c) for c in ("family", "blocks", "set_key")] + [lists], names=["family", "blocks", "set_key", "shingles"])
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text")
-    sets = keyed.join(members, "key").mapInArrow(texts_to_sets, "family bigint, blocks int, set_key bigint, shingles array<bigint>").filter(F.size("shingles") > 0)
+    sets = texts_of(docs, members).mapInArrow(texts_to_sets, "family bigint, blocks int, set_key bigint, shingles array<bigint>").filter(F.size("shingles") > 0)
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     dealt = sets.withColumn("block", block).withColumn("unit", F.explode(units)).select("family", "unit.i", "unit.j", "block", "set_key", "shingles")
@@ -215,6 +224,23 @@ def family_links(docs: DataFrame, members: DataFrame, percent: int = PERCENT) ->
     return parts.mapInArrow(run, "u bigint, v bigint")
 
 
+def _placed(docs: DataFrame, side: int = SIDE, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, row_key, n_shingles, component`` of every row; a component is a class key, null without shingles."""
+    ship_package(docs.sparkSession)
+    signed = cut_lineage(signatures(docs, side))
+    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.any_value("halves").alias("halves"), F.any_value("n_shingles").alias("size"), F.min("row_key").alias("key"))
+    edges = cut_lineage(candidate_edges(classes, side))
+    nodes = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
+    families = components(nodes, edges)
+    sized = families.join(classes.select(F.col("set_key").alias("id"), "key", "size"), "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    members = sized.join(sized.groupBy("component").agg(blocks.alias("blocks")), "component").select("key", F.col("id").alias("set_key"), F.col("component").alias("family"), "blocks")
+    links = cut_lineage(family_links(docs, members, percent).distinct())
+    linked = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
+    groups = components(linked, links).select(F.col("id").alias("set_key"), "component")
+    return signed.select("doc_id", "row_key", "n_shingles", "set_key").join(groups, "set_key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")))
+
+
 def near_duplicates(docs: DataFrame, side: int = SIDE, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -228,20 +254,7 @@ def near_duplicates(docs: DataFrame, side: int = SIDE, block: int = BLOCK, perce
     gives no rows; other columns are not read.
     """
     ship_package(docs.sparkSession)
-    signed = cut_lineage(signatures(docs, side))
-    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.any_value("halves").alias("halves"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("key"))
-    edges = cut_lineage(candidate_edges(classes, side))
-    nodes = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).distinct()
-    families = components(nodes, edges)
-    counts = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = (
-        families.join(counts, "component").join(classes.select("set_key", "key"), F.col("id") == F.col("set_key"))
-        .select("key", "set_key", F.col("component").alias("family"), "blocks")
-    )
-    links = cut_lineage(family_links(docs, members, percent).distinct())
-    linked = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-    groups = components(linked, links).select(F.col("id").alias("set_key"), "component")
-    placed = signed.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "set_key")))
+    placed = _placed(docs, side, block, percent)
     heads = placed.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("head"))
     out = placed.join(heads, "component", "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("head")).otherwise(F.col("doc_id"))
@@ -250,11 +263,16 @@ def near_duplicates(docs: DataFrame, side: int = SIDE, block: int = BLOCK, perce
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of documents.
+    """One row of each component, with the columns of documents.
 
-    Rows that share a kept id are one document; one of them stays.
+    It is the row of the smallest id, null ids last, and of equal ids the one of the smallest row
+    key, so a rerun keeps the same. Rows without shingles are no copies and stay; rows that share
+    an id and a text are one document.
     """
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.select(*columns).join(kept, "doc_id").dropDuplicates(["doc_id"])
-    return stay.select(*columns).unionByName(docs.filter("doc_id is null").select(*columns))
+    placed = _placed(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))["row_key"]
+    heads = placed.filter("component is not null").groupBy("component").agg(first.alias("row_key")).select("row_key")
+    kept = heads.unionByName(placed.filter("component is null").select("row_key")).distinct()
+    stay = docs.select(*columns).withColumn("row_key", row_key()).join(kept, "row_key").dropDuplicates(["row_key"])
+    return stay.select(*columns)

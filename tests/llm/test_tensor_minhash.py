@@ -78,3 +78,31 @@ def test_threshold_is_exact():
     assert M.confirmed_links([0, 1, 2, 3], sets, None) == [(0, 1), (0, 3), (1, 2)]
     left = np.array([True, False, False, False])
     assert M.confirmed_links([0, 1, 2, 3], sets, left) == [(0, 1), (0, 3)]
+
+
+def test_rows_without_ids_join_their_own_texts_only(spark, make_docs):
+    rng = random.Random(12)
+    rows = [(None if i % 2 else 7, " ".join(f"v{rng.randrange(9000)}" for _ in range(30))) for i in range(600)]
+    docs = make_docs(rows)
+    signed = M.signatures(docs)
+    members = signed.selectExpr("row_key as key", "set_key", "set_key as family", "1 as blocks")
+    assert M.texts_of(docs, members).count() == 600
+    near = [(None if i % 3 else 5, " ".join(f"n{rng.randrange(40)}" for _ in range(40))) for i in range(12)]
+    near += [(i, t + " more") for i, t in near] + [(None, near[0][1].upper())]
+    assert sorted((tuple(r) for r in M.near_duplicates(make_docs(near)).collect()), key=repr) == brute(near)
+
+
+def test_stage_keeps_one_row_of_a_group_whatever_its_ids(spark, make_docs):
+    base = [f"w{i}" for i in range(60)]
+    copy, clean = " ".join(base), " ".join(f"c{i}" for i in range(30))
+    rows = [(None, copy), (None, copy + " x"), (3, copy + " y"), (3, clean), (9, copy), (None, "lone words of no id at all"), (None, None), (4, "")]
+    kept = M.without_near_duplicates(make_docs(rows))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, copy + " y"), (3, clean), (None, "lone words of no id at all"), (None, None), (4, "")], key=repr)
+    none = M.without_near_duplicates(make_docs([(None, copy), (None, copy + " x")])).collect()
+    assert len(none) == 1
+
+
+def test_blocks_follow_the_size_of_the_sets(spark, make_docs, monkeypatch):
+    rows = families(3)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 200)
+    assert sorted((tuple(r) for r in M.near_duplicates(make_docs(rows)).collect()), key=repr) == brute(rows)

@@ -6,6 +6,7 @@ batch; a longer single text is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
@@ -20,8 +21,18 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, in slices of at most ``limit`` bytes of text."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -33,8 +44,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-    # workers live on for other tasks; what this one no longer needs goes back
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def raw_texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:

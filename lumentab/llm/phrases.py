@@ -39,7 +39,7 @@ PHRASE = 32
 #: Marks of a text; a spot is the number of a phrase in its text, times this, and the text's mark.
 MARKS = 1 << 16
 #: Bytes of phrases in one automaton; a chunk that got more streams through one after the other.
-AUTOMATON_BYTES = 1 << 22
+AUTOMATON_BYTES = 1 << 20
 #: Hits compared with their phrases at once.
 HITS = 1 << 13
 

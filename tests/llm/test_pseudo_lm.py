@@ -8,25 +8,24 @@ from rows import make_docs  # noqa: F401
 from lumentab.llm import pseudo_lm as P
 
 
-def test_counts_and_contexts_against_plain_loops():
+def test_words_and_windows_against_plain_loops():
     texts = [b"The cat sat. The cat, x9 sat", b"", b"one", b"a b"]
-    codes, counts, bucket, form = P.tokens(texts)
+    codes, counts, key, form = P.tokens(texts)
     words = [w for t in texts for w in t.split()]
     assert counts.tolist() == [7, 0, 1, 2]
     forms = {b"The": 1, b"cat": 0, b"sat.": 2, b"cat,": 2, b"x9": 3, b"sat": 0, b"one": 0, b"a": 0, b"b": 0}
     assert [int(form[c]) for c in codes] == [forms[w] for w in words]
-    classes = np.arange(len(words)) % (P.CLASSES - 1)
-    got = P._contexts(classes, counts)
-    at = 0
+    assert (P.shared_leaf(key) // P.LEAVES - P.FREQUENT == form).all() and (P.shared_leaf(key) < P.EDGE).all()
+    leaves = np.arange(len(words)) * 7
+    got, at = P.windows(leaves, counts), 0
     for n in counts.tolist():
-        own = [P.EDGE, P.EDGE, *classes[at : at + n].tolist(), P.EDGE, P.EDGE]
+        line = [P.EDGE, P.EDGE, *leaves[at : at + n].tolist(), P.EDGE, P.EDGE]
         for k in range(n):
-            a, b, _, c, d = own[k : k + 5]
-            assert got[at + k] == ((P.OUTER_KIND[a] * P.CLASSES + b) * P.CLASSES + c) * P.OUTER + P.OUTER_KIND[d]
+            assert got[:, at + k].tolist() == [line[k], line[k + 1], line[k + 3], line[k + 4]]
         at += n
 
 
-def test_scores_are_log_probabilities_and_tell_order(spark, make_docs):
+def test_scores_tell_order(spark, make_docs):
     rng = random.Random(3)
     names = ["Ana", "Bob", "Eve"]
     natural = lambda: " ".join(f"{rng.choice(names)} saw the {rng.choice(['dog', 'cat'])}." for _ in range(30))
@@ -34,25 +33,17 @@ def test_scores_are_log_probabilities_and_tell_order(spark, make_docs):
     mixed = [rng.sample(t.split(), len(t.split())) for _, t in rows[:20]]
     df = make_docs(rows)
     model = P.fit(df)
-    table = np.exp(model[2].astype(float)).sum(axis=1)
-    assert np.allclose(table, 1, atol=1e-4)
-    band, in_band, _ = model
-    for b in range(P.BANDS):
-        if (band == b).any():
-            assert abs(np.exp(in_band[band == b].astype(float)).sum() - 1) < 1e-2
     plain = {r["doc_id"]: r["per_token"] for r in P.score(df, model).collect()}
     other = {r["doc_id"]: r["per_token"] for r in P.score(make_docs([(i, " ".join(w)) for i, w in enumerate(mixed)]), model).collect()}
     assert all(plain[i] > other[i] for i in other)
 
 
-def test_counting_covers_all_rows(spark, make_docs):
-    rows = [(i, "w%d common" % (i % 7)) for i in range(500)]
-
-    def add(total, texts):
-        for w, n in Counter(w for t in texts for w in t.split()).items():
-            total[len(w)] += n
-
-    assert P._sums(make_docs(rows).repartition(5), add, 20)[[2, 6]].tolist() == [500, 500]
+def test_words_are_counted_exactly(spark, make_docs):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(400000)}" if rng.random() < 0.5 else rng.choice(["aa", "bb"]) for _ in range(300)) for _ in range(900)]
+    one = Counter(w for t in texts for w in t.split())
+    assert len(one) > 100000
+    assert Counter(r["n"] for r in P.word_counts(make_docs(list(enumerate(texts)))).collect()) == Counter(one.values())
 
 
 def test_odd_rows(spark, make_docs):
@@ -63,19 +54,35 @@ def test_odd_rows(spark, make_docs):
     assert P.pseudo_likelihood(make_docs([])).count() == 0
 
 
-def plain_pair_counts(texts):
-    words = [t.split() for t in texts]
-    return Counter(w for t in words for w in t), Counter(p for t in words for p in zip(t, t[1:]))
-
-
-def test_words_and_pairs_are_counted_exactly(spark, make_docs):
-    rng = random.Random(5)
-    texts = [" ".join(f"w{rng.randrange(400000)}" if rng.random() < 0.5 else rng.choice(["aa", "bb"]) for _ in range(300)) for _ in range(900)]
-    one, two = plain_pair_counts(texts)
-    assert len(one) > 100000
-    data = P.coded(make_docs(list(enumerate(texts))))
-    assert Counter(r["n"] for r in P._counted(data, False).collect()) == Counter(one.values())
-    assert Counter(r["n"] for r in P._counted(data, True).collect()) == Counter(two.values())
+def test_every_token_is_masked_once_in_all_rounds():
+    counts = np.array([5, 0, 9000, 1])
+    parts = [P.masked(np.array([7, 8, 9, 10]), counts, k) for k in range(P.MASK)]
+    assert sorted(np.concatenate(parts).tolist()) == list(range(9006))
+
+
+def test_gradients_against_differences():
+    """A step moves every used row against the slope of the mean log-probability."""
+    rng = np.random.default_rng(1)
+    words = P.Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(P.EDGE))
+    w = P.started(words)
+    w[P.UP :, : P.WIDTH] = rng.normal(0, 0.3, (P.ROWS - P.UP, P.WIDTH))
+    near, target = rng.integers(0, 6, (4, 40)) * 640, rng.integers(0, 6, 40) * 650
+    near[0, :5] = P.EDGE
+    after, size, used = w.copy(), np.zeros(P.ROWS, np.float32), np.zeros(P.ROWS)
+    P.step(after, size, used, near, target)
+    value = lambda v: P.log_chances(v, near, target).mean()
+    for row in (P.LEFT + near[1, 7], P.LEFT + P.EDGE, P.RIGHT + near[2, 3], P.SCALES, P.SCALES + 1, P.BIAS, P.UP + target[0] // P.LEAVES, P.DOWN + target[0]):
+        grad = np.zeros(P.WIDTH)
+        for c in range(P.WIDTH):
+            up, down = w.astype(np.float64), w.astype(np.float64)
+            up[row, c] += 1e-3
+            down[row, c] -= 1e-3
+            grad[c] = (value(up) - value(down)) / 2e-3
+        move = (after - w)[row, : P.WIDTH].astype(float)
+        cosine = move @ grad / np.linalg.norm(move) / np.linalg.norm(grad)
+        assert cosine > 0.99, (row, cosine)
+    # many.sum() of the words equals two sides of every place
+    assert used[P.LEFT : P.RIGHT].sum() == used[P.RIGHT : P.SCALES].sum() == 80
 
 
 def test_words_of_one_class_depend_on_their_neighbours(spark, make_docs):
@@ -86,37 +93,64 @@ def test_words_of_one_class_depend_on_their_neighbours(spark, make_docs):
     assert got[1] > got[2] + 0.1 and got[1] > got[3] + 0.1
 
 
-def test_scores_against_plain_loops_and_sum_to_one(spark, make_docs):
+def test_network_keeps_its_part_as_the_corpus_grows(spark, make_docs):
+    """The gap between a likely and an unlikely word must not shrink with more of the same text."""
+    gaps = []
+    for size in (200, 3200):
+        model = P.fit(make_docs([(i, "red fox eats. blue owl naps." if i % 2 else "blue owl naps. red fox eats.") for i in range(size)]))
+        got = {r["doc_id"]: r["per_token"] for r in P.score(make_docs([(1, "red fox eats."), (2, "blue fox eats.")]), model).collect()}
+        gaps.append(got[1] - got[2])
+    assert gaps[0] > 0.1 and gaps[1] > 0.9 * gaps[0]
+
+
+def test_scores_against_plain_loops_and_sum_to_one(spark, make_docs, monkeypatch):
+    # few words have leaves of their own or are sent, so all three ways take part
+    monkeypatch.setattr(P, "SENT", 4200)
     rng = random.Random(2)
-    vocabulary = [f"{a}{b}" for a in "abcdef" for b in "xyz"]
-    rows = [(i, " ".join(rng.choices(vocabulary, range(1, 19), k=12))) for i in range(80)]
-    one, two = plain_pair_counts([t for _, t in rows])
+    vocabulary = [f"{a}{b}{c}" for a in "abcdefghijklmnopqrst" for b in "uvwxyz" for c in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, range(1, len(vocabulary) + 1), k=150))) for i in range(120)]
+    one = Counter(w for _, t in rows for w in t.split())
     docs = make_docs(rows)
-    model = P.fit(docs)
-    follow, before = Counter(), Counter()
-    for (a, b), n in two.items():
-        follow[a] += n
-        before[b] += n
-    kind = lambda w: int(model.band[list(model.levels).index(one[w])])
-    table = np.exp(model[2].astype(float))
-
-    def chance(words, k, own):
-        w, c = words[k], kind(words[k])
-        line = [P.EDGE, P.EDGE, *map(kind, words), P.EDGE, P.EDGE]
-        context = ((P.OUTER_KIND[line[k]] * P.CLASSES + line[k + 1]) * P.CLASSES + line[k + 3]) * P.OUTER + P.OUTER_KIND[line[k + 4]]
-        near, free = 0, 1
-        for has, pair, seen in ((k > 0, (words[k - 1], w), follow[words[k - 1]]), (k + 1 < len(words), (w, words[(k + 1) % len(words)]), before[words[(k + 1) % len(words)]])):
-            if has and seen > own:
-                weight = (seen - own) / (seen - own + P.BACKOFF) / 2
-                near += weight * (two[pair] - own) / (seen - own)
-                free -= weight
-        return near + free * table[context, c] * (one[w] - own + 0.5) / (model.mass[c] - own)
-
-    got = {r["doc_id"]: r["log_likelihood"] for r in P.pseudo_likelihood(docs).collect()}
-    for i, t in rows:
-        words = t.split()
-        assert abs(got[i] - sum(np.log(chance(words, k, 1)) for k in range(len(words)))) < 1e-6
-    words = rows[0][1].split()
-    total = sum(chance([*words[:4], w, *words[5:]], 4, 0) for w in one)
-    # the rest belongs to classes that no word has and to words never seen
-    assert 0.97 < total <= 1 + 1e-9
+    counts = P.word_counts(docs)
+    words = P.vocabulary(counts)
+    data = P.coded(docs, words, 1)
+    weights = P.trained(data, words)
+    _, _, key, _ = P.tokens([" ".join(one).encode()])
+    key_of = dict(zip(one, key.tolist()))
+    ranked = sorted(one, key=lambda w: (-one[w], key_of[w]))
+    own_leaf = set(ranked[: P.FREQUENT * P.LEAVES])
+    assert 4200 < len(ranked)
+    leaf_of = dict(zip(ranked, words.leaves(np.array([key_of[w] for w in ranked]))[0].tolist()))
+    assert len({leaf_of[w] for w in own_leaf}) == len(own_leaf)
+    mass = Counter()
+    for w in ranked:
+        if w not in own_leaf:
+            assert leaf_of[w] == int(P.shared_leaf(np.array([key_of[w]]))[0])
+            mass[leaf_of[w]] += one[w] + 0.5
+    v = weights.astype(float)
+
+    def tree(line, k):
+        near = [line[k], line[k + 1], line[k + 3], line[k + 4]]
+        x = v[P.LEFT + near[1]] + v[P.RIGHT + near[2]] + v[P.BIAS] + v[P.LEFT + near[0]] * v[P.SCALES] + v[P.RIGHT + near[3]] * v[P.SCALES + 1]
+        h = np.r_[np.tanh(x[: P.WIDTH]), 1]
+        soft = lambda z: np.exp(z) / np.exp(z).sum()
+        down = np.concatenate([soft(v[P.DOWN + c * P.LEAVES : P.DOWN + (c + 1) * P.LEAVES] @ h) for c in range(P.CLASSES)])
+        return np.repeat(soft(v[P.UP : P.DOWN] @ h), P.LEAVES) * down
+
+    def share(w, own):
+        return 1 if w in own_leaf else (one[w] - own + 0.5) / (mass[leaf_of[w]] + 0.5 - own)
+
+    def line_of(text):
+        return [P.EDGE, P.EDGE, *(leaf_of[w] for w in text.split()), P.EDGE, P.EDGE]
+
+    model = P.Model(counts, words, weights)
+    got = {r["id"]: r["log_likelihood"] for r in P._score(data, model, 1).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows[:25]:
+        line = line_of(t)
+        want = sum(np.log(tree(line, k)[leaf_of[w]] * share(w, 1)) for k, w in enumerate(t.split()))
+        assert abs(got[i] - want) < 1e-3
+    chance = tree(line_of(rows[0][1]), 4)
+    seen = sum(chance[leaf_of[w]] * share(w, 0) for w in one)
+    unseen = sum(chance[f] * 0.5 / (mass[f] + 0.5) for f in range(P.FREQUENT * P.LEAVES, P.EDGE))
+    assert abs(seen + unseen - 1) < 1e-5

@@ -6,7 +6,11 @@ to files, so a restarted job goes on where it stopped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumentab.sources.folders import run_folder
 from lumentab.sources.images import IMAGE_SCHEMA, scanned
@@ -33,13 +37,14 @@ def drain(stream: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(root)
 
 
-def drain_updates(aggregate: DataFrame, keys: list[str], purpose: str, mode: str = "update") -> DataFrame:
+def drain_updates(aggregate: DataFrame, keys: list[str], purpose: str, mode: str = "update", root: str | None = None) -> DataFrame:
     """Write each trigger's changed groups and keep the latest row of every key.
 
-    A repeated trigger overwrites its own folder, so the result stays exact after a restart.
+    A repeated trigger overwrites its own folder, so the result stays exact after a restart; a
+    ``root`` of an earlier call goes on where that one stopped.
     """
     spark = aggregate.sparkSession
-    root = run_folder(spark, purpose)
+    root = root or run_folder(spark, purpose)
 
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
@@ -52,10 +57,71 @@ def drain_updates(aggregate: DataFrame, keys: list[str], purpose: str, mode: str
     return latest.select(*keys, "v.*")
 
 
-def frame_rate(stream: DataFrame, time: str, window: str, seconds: float, lateness: str) -> DataFrame:
-    """Frames per second in tumbling windows; the watermark bounds the state."""
-    counted = stream.withWatermark(time, lateness).groupBy(F.window(time, window)).agg(F.count("*").alias("frames"))
-    return counted.select(F.col("window.start").alias("window_start"), "frames", (F.col("frames") / seconds).alias("fps"))
+def arriving(table: DataFrame, slices: list[Column], purpose: str) -> str:
+    """Write the rows of each slice as files of their own, one slice after the other; gives the folder."""
+    root = run_folder(table.sparkSession, purpose)
+    for rows in slices:
+        table.filter(rows).write.mode("append").parquet(root)
+    return root
+
+
+def frame_counts(stream: DataFrame, time: str, seconds: int, lateness: int, purpose: str) -> DataFrame:
+    """``slot, frames, epoch, late`` of every trigger, in tumbling windows numbered from 1970.
+
+    A trigger counts its own rows and saves them with its latest time, so nothing is held in state
+    and no row is dropped. The watermark of a trigger is the latest time of those before it less
+    ``lateness`` seconds; rows of a window that it has passed are kept apart by ``late``.
+    """
+    spark = stream.sparkSession
+    root = run_folder(spark, purpose)
+    slot = F.expr(f"unix_micros(`{time}`) div {seconds * 1_000_000}").alias("slot")
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        counted = batch.groupBy(slot).agg(F.count("*").alias("frames"), F.max(F.unix_micros(time)).alias("latest"))
+        counted.write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{root}-offsets").trigger(availableNow=True).start().awaitTermination()
+    saved = spark.read.schema("slot long, frames long, latest long, epoch long").parquet(root)
+    # one row per trigger
+    before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    marks = saved.groupBy("epoch").agg(F.max("latest").alias("latest")).select("epoch", (F.max("latest").over(before) - lateness * 1_000_000).alias("mark"))
+    late = F.coalesce((F.col("slot") + 1) * (seconds * 1_000_000) <= F.col("mark"), F.lit(False))
+    return saved.join(marks, "epoch").select("slot", "frames", "epoch", late.alias("late"))
+
+
+def frame_rate(counted: DataFrame, seconds: int) -> DataFrame:
+    """Frames of each window when it closed, the late ones added to it, and the corrected rate."""
+    total = lambda rows: F.sum(F.when(rows, F.col("frames")).otherwise(0))
+    by_window = counted.groupBy("slot").agg(total(~F.col("late")).alias("on_time"), total(F.col("late")).alias("late"))
+    frames = F.col("on_time") + F.col("late")
+    return by_window.select(F.timestamp_seconds(F.col("slot") * seconds).alias("window_start"), "on_time", "late", frames.alias("frames"), (frames / seconds).alias("fps"))
+
+
+def early_stops(history: DataFrame, run: str, patience: int) -> DataFrame:
+    """Best epoch and patience stop of every run while its epochs arrive; one state row a run.
+
+    Gives ``run, best_epoch, best_metric, stop_epoch, epochs_run`` of the runs of each trigger.
+    Epochs of a run come in order from trigger to trigger, in any order inside one; an epoch not
+    after the last one is a repeat and counts no more, nor does any after the stop.
+    """
+    kind = dict(history.dtypes)[run]
+    result = f"`{run}` {kind}, best_epoch int, best_metric double, stop_epoch int, epochs_run long"
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best, best_epoch, waited, last, stop, count = state.get if state.exists else (None, None, 0, None, None, 0)
+        rows = sorted({pair for p in parts for pair in zip(p["epoch"].tolist(), p["metric"].tolist())})
+        for epoch, metric in rows:
+            if stop is not None or (last is not None and epoch <= last):
+                continue
+            last, count = epoch, count + 1
+            better = best is None or metric > best
+            best, best_epoch, waited = (metric, epoch, 0) if better else (best, best_epoch, waited + 1)
+            stop = epoch if waited >= patience else None
+        state.update((best, best_epoch, waited, last, stop, count))
+        yield pd.DataFrame({run: [key[0]], "best_epoch": [best_epoch], "best_metric": [best], "stop_epoch": pd.array([stop], "Int32"), "epochs_run": [count]})
+
+    held = "best double, best_epoch int, waited int, last int, stop int, count long"
+    return history.groupBy(run).applyInPandasWithState(follow, result, held, "update", GroupStateTimeout.NoTimeout)
 
 
 def accumulators(stream: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:

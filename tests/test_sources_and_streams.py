@@ -1,11 +1,13 @@
 """File sources, label parsing and stream restarts."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumentab import session
+from lumentab.operators.stats import best_epoch
 from lumentab.plans.table_queries import bitmap
 from lumentab.sources import folders, images as I, labels as L, paths as Pa
 from lumentab.streaming import frames as St
@@ -78,3 +80,35 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert folder != folders.run_folder(spark, "x")
     assert session.cut_lineage(spark.range(5)).count() == 5
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_late_frames_are_kept_apart_and_added(spark, tmp_path):
+    """Eight files of an hour each, every one with a row of hour 0."""
+    src = str(tmp_path / "in")
+    for k in range(8):
+        hours = [k] * 5 + ([0] if k else [])
+        df = spark.createDataFrame([(h * 3600 + 7 * i,) for i, h in enumerate(hours)], "t long").select(F.timestamp_seconds("t").alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(src)
+    counted = St.frame_counts(St.frame_stream(spark, src, "ts timestamp", "*.parquet"), "ts", 3600, 3600, "late")
+    got = {int(r["window_start"].timestamp()) // 3600: r for r in St.frame_rate(counted, 3600).collect()}
+    # the watermark passes the end of hour 0 once a time of hour 2 has been seen: files 3 to 7 are late
+    assert (got[0]["on_time"], got[0]["late"], got[0]["frames"]) == (7, 5, 12)
+    assert all((got[h]["on_time"], got[h]["late"]) == (5, 0) for h in range(1, 8)) and len(got) == 8
+    assert got[3]["fps"] == 5 / 3600
+
+
+def test_early_stops_go_on_after_a_restart(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(run, epoch, float(rng.randrange(30))) for run in ("a", "b", "c") for epoch in range(1, 31)]
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+    got = None
+    for lo, hi in ((1, 5), (6, 7), (7, 20), (21, 30)):  # epoch 7 comes twice
+        part = [r for r in rows if lo <= r[1] <= hi]
+        rng.shuffle(part)
+        spark.createDataFrame(part, "run string, epoch int, metric double").write.mode("append").parquet(src)
+        t = St.early_stops(St.frame_stream(spark, src, "run string, epoch int, metric double", "*.parquet", 1000), "run", 6)
+        got = St.drain_updates(t, ["run"], "stops", root=root)
+    want = best_epoch(spark.createDataFrame(rows, "run string, epoch int, metric double"), 6, ["run"])
+    columns = ["run", "best_epoch", "best_metric", "stop_epoch", "epochs_run"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    assert got.filter("stop_epoch is not null").count() > 0

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
+from math import comb
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -67,11 +70,11 @@ def block_masks(radius: int, picks: int = 1, bits: list[int] | None = None) -> l
     return [sum(c) for c in combinations(parts, picks)]
 
 
-def balanced_bits(rows: DataFrame, column: str) -> list[int]:
-    """Bits of a hash from most to least balanced over the rows (64 counts reach the driver)."""
-    ones = rows.agg(F.count("*"), *[F.sum(F.shiftright(F.col(column), i).bitwiseAND(F.lit(1))) for i in range(64)]).first()
+def balanced_bits(rows: DataFrame, *columns: str) -> tuple[int, list[list[int]]]:
+    """Number of rows, and per column the bits of a hash from most to least balanced (64 counts each reach the driver)."""
+    ones = rows.agg(F.count("*"), *[F.sum(F.shiftright(F.col(c), i).bitwiseAND(F.lit(1))) for c in columns for i in range(64)]).first()
     n = ones[0] or 1
-    return sorted(range(64), key=lambda i: (abs((ones[i + 1] or 0) / n - 0.5), i))
+    return ones[0], [sorted(range(64), key=lambda i: (abs((ones[64 * k + i + 1] or 0) / n - 0.5), i)) for k in range(len(columns))]
 
 
 def _signed(mask: int) -> Column:
@@ -86,6 +89,67 @@ def _first_agreeing(diff: Column, masks: list[int]) -> Column:
     return out
 
 
+def _masked(masks: list[tuple[int, int, int]]) -> Column:
+    """Array of join keys, one per (band, mask of phash, mask of dhash)."""
+    table = F.array(*[F.struct(F.lit(b).alias("band"), _signed(p).alias("p"), _signed(d).alias("d")) for b, p, d in masks])
+    return F.transform(table, lambda m: F.struct(
+        m["band"].alias("band"), F.col("phash").bitwiseAND(m["p"]).alias("pk"), F.col("dhash").bitwiseAND(m["d"]).alias("dk")))
+
+
+def _sample(codes: DataFrame, n: int, size: int) -> DataFrame:
+    """About ``size`` of ``n`` codes, the same at every run."""
+    return codes.filter(F.pmod(F.xxhash64("phash", "dhash"), F.lit(1 << 20)) < max(1, min(1 << 20, (size << 20) // max(n, 1))))
+
+
+#: A copy of a row that is shuffled and sorted costs about as much as comparing so many pairs.
+COPY = 50
+#: Codes on which the collisions of a key are measured, and masks tried per choice of blocks.
+MEASURED, TRIED = 16384, 3
+#: Blocks of phash that cut a crowded bucket further.
+FINE = 3
+
+
+def _bands(limits: tuple[int, int], picks: tuple[int, int], bits: list) -> tuple[list[int], list[int]]:
+    return block_masks(limits[0], picks[0], bits[0]), block_masks(limits[1], picks[1], bits[1])
+
+
+def key_choice(codes: DataFrame, limits: tuple[int, int], bits: list, hot: int, n: int, copy: float = COPY, most_keys: int = 1024) -> tuple[int, int]:
+    """How many agreeing blocks of phash and of dhash make a join key.
+
+    Longer keys mean fewer candidates and more copies of a code. On a bounded sample of
+    codes the chance that two codes share a key is measured for every choice of blocks;
+    times the number of codes it gives the candidates of a code and key. The choice with the
+    least copies plus candidates wins, so keys grow with the corpus and the candidates of a
+    code do not. Buckets that would be cut further (``hot``) count as the copies that takes.
+    """
+    fine = comb(limits[0] + FINE, FINE)
+    options = [(p, d) for p in range(5) for d in range(5 - p) if p + d and comb(limits[0] + p, p) * comb(limits[1] + d, d) <= most_keys]
+    tried, keys = [], {}
+    for o, picks in enumerate(options):
+        pm, dm = _bands(limits, picks, bits)
+        pairs = [(p, d) for p in pm for d in dm]
+        some = pairs[:: -(-len(pairs) // TRIED)]
+        keys[picks] = len(pairs), len(some)
+        tried += [(o * TRIED + i, p, d) for i, (p, d) in enumerate(some)]
+    held = _sample(codes, n, MEASURED).select(F.explode(_masked(tried)).alias("key")).groupBy("key").agg(F.count("*").alias("held"))
+    # bucket sizes of a bounded sample: at most a few hundred different ones per mask
+    sizes = held.groupBy("key.band", "held").agg(F.count("*").alias("buckets")).collect()
+    meet, crowd = Counter(), Counter()
+    m = sum(r["held"] * r["buckets"] for r in sizes) / max(len(tried), 1)
+    for r in sizes:
+        rows, picks = r["held"] * r["buckets"], options[r["band"] // TRIED]
+        if r["held"] * n >= hot * m:
+            crowd[picks] += rows / m
+        else:
+            meet[picks] += rows * (r["held"] - 1) / max(m * (m - 1), 1)
+
+    def cost(picks):
+        number, some = keys[picks]
+        return number * (copy + meet[picks] / some * n + crowd[picks] / some * fine * copy)
+
+    return min(options, key=cost)
+
+
 def hash_codes(hashes: DataFrame) -> DataFrame:
     """One row per distinct (phash, dhash): first image id, image count, count per class.
 
@@ -98,50 +162,82 @@ def hash_codes(hashes: DataFrame) -> DataFrame:
     )
 
 
-def near_code_pairs(codes: DataFrame, phash_limit: int = 6, dhash_limit: int = 6, picks: int = 1, hot: int = 20000) -> DataFrame:
-    """Pairs of distinct codes within both Hamming limits, each found exactly once.
+class CodeKeys(NamedTuple):
+    """Codes with their join keys: ``rows``, the columns to join ``on``, the masks behind them."""
+
+    rows: DataFrame
+    on: list[str]
+    phash: list[int]
+    dhash: list[int]
+    fine: list[int]
+
 
-    Join key: one block mask of phash and one of dhash. A pair shares several keys; only
-    the first shared one reports it, so no distinct is needed. Keys held by about ``hot``
-    codes or more (estimated on a hashed 1/16 of the codes) get further phash blocks
-    appended, cut along the bits that vary most inside those buckets. That is complete by
-    the same counting, so no bucket is paired out whole.
+def code_keys(codes: DataFrame, phash_limit: int, dhash_limit: int, picks: int | tuple[int, int] | None = None, hot: int | None = None, copy: float = COPY) -> CodeKeys:
+    """A row per code and key, so that codes within both limits share a key.
+
+    A key is some blocks of phash and dhash, ``picks`` of each, by default as many as suit
+    the codes (``key_choice``). Keys held by about ``hot`` codes or more (estimated on a
+    hashed 1/16 of the codes) get further phash blocks appended, cut along the bits that vary
+    most inside those buckets; by default those where comparing all pairs costs more than
+    the copies.
     """
-    pm, dm = block_masks(phash_limit, picks), block_masks(dhash_limit, picks)
-    fine: list[int] = []
-    keys = F.array(*[
-        F.struct(F.lit(i * len(dm) + j).alias("band"), F.col("phash").bitwiseAND(_signed(p)).alias("pk"), F.col("dhash").bitwiseAND(_signed(d)).alias("dk"))
-        for i, p in enumerate(pm) for j, d in enumerate(dm)
-    ])
+    limits = (phash_limit, dhash_limit)
+    hot = hot or int(comb(phash_limit + FINE, FINE) * copy)
+    bits = [None, None]
+    if picks is None:
+        n, bits = balanced_bits(codes, "phash", "dhash")
+        picks = key_choice(codes, limits, bits, hot, n, copy)
+    pm, dm = _bands(limits, (picks, picks) if isinstance(picks, int) else picks, bits)
+    bands = _masked([(i * len(dm) + j, p, d) for i, p in enumerate(pm) for j, d in enumerate(dm)])
     key = ["band", "pk", "dk"]
 
     def keyed(rows: DataFrame) -> DataFrame:
-        return rows.select("code_id", "phash", "dhash", F.explode(keys).alias("key")).select("code_id", "phash", "dhash", "key.*")
+        return rows.select("code_id", "phash", "dhash", F.explode(bands).alias("key")).select("code_id", "phash", "dhash", "key.*")
 
     sampled = keyed(codes.filter(F.pmod(F.xxhash64("phash", "dhash"), F.lit(16)) == 0))
     crowded = sampled.groupBy(*key).agg(F.count("*").alias("held")).filter(F.col("held") >= max(hot // 16, 2)).select(*key, F.lit(True).alias("hot"))
     ready = keyed(codes)
-    on = list(key)
     crowded = cut_lineage(crowded)
-    if not crowded.isEmpty():
-        on += ["fine", "fk"]
-        fine = block_masks(phash_limit, 3, balanced_bits(sampled.join(crowded, key, "left_semi"), "phash"))
-        plain = F.array(F.struct(F.lit(-1).alias("fine"), F.lit(0).cast("bigint").alias("fk")))
-        split = F.array(*[F.struct(F.lit(i).alias("fine"), F.col("phash").bitwiseAND(_signed(m)).alias("fk")) for i, m in enumerate(fine)])
-        marked = ready.join(crowded, key, "left").withColumn("f", F.explode(F.when(F.col("hot"), split).otherwise(plain)))
-        ready = marked.select("*", "f.*").drop("f", "hot")
-    side = lambda n: ready.select(*on, F.col("code_id").alias(f"{n}_id"), F.col("phash").alias(f"p_{n}"), F.col("dhash").alias(f"d_{n}"))
+    if crowded.isEmpty():
+        return CodeKeys(ready, key, pm, dm, [])
+    fine = block_masks(phash_limit, FINE, balanced_bits(sampled.join(crowded, key, "left_semi"), "phash")[1][0])
+    plain = F.array(F.struct(F.lit(-1).alias("fine"), F.lit(0).cast("bigint").alias("fk")))
+    split = F.array(*[F.struct(F.lit(i).alias("fine"), F.col("phash").bitwiseAND(_signed(m)).alias("fk")) for i, m in enumerate(fine)])
+    marked = ready.join(crowded, key, "left").withColumn("f", F.explode(F.when(F.col("hot"), split).otherwise(plain)))
+    return CodeKeys(marked.select("*", "f.*").drop("f", "hot"), [*key, "fine", "fk"], pm, dm, fine)
+
+
+def near_code_pairs(codes: DataFrame, phash_limit: int = 6, dhash_limit: int = 6, **keys) -> DataFrame:
+    """Pairs of distinct codes within both Hamming limits, each found exactly once.
+
+    A pair shares several keys; only the first shared one reports it, so no distinct is
+    needed. A crowded key is cut by further blocks, which is complete by the same counting,
+    so no bucket is paired out whole. ``codes`` is read several times: write it first.
+    """
+    k = code_keys(codes, phash_limit, dhash_limit, **keys)
+    side = lambda n: k.rows.select(*k.on, F.col("code_id").alias(f"{n}_id"), F.col("phash").alias(f"p_{n}"), F.col("dhash").alias(f"d_{n}"))
     pdiff, ddiff = F.col("p_first").bitwiseXOR(F.col("p_second")), F.col("d_first").bitwiseXOR(F.col("d_second"))
     # merge join: the planner does not count the copies per row, so its size check is void here
-    pairs = side("first").hint("merge").join(side("second"), on).filter(F.col("first_id") < F.col("second_id"))
+    pairs = side("first").hint("merge").join(side("second"), k.on).filter(F.col("first_id") < F.col("second_id"))
     pairs = pairs.withColumns({"phash_distance": F.bit_count(pdiff), "dhash_distance": F.bit_count(ddiff)})
     near = pairs.filter((F.col("phash_distance") <= phash_limit) & (F.col("dhash_distance") <= dhash_limit))
-    once = F.col("band") == _first_agreeing(pdiff, pm) * len(dm) + _first_agreeing(ddiff, dm)
-    if len(on) > len(key):
-        once = once & ((F.col("fine") == -1) | (F.col("fine") == _first_agreeing(pdiff, fine)))
+    once = F.col("band") == _first_agreeing(pdiff, k.phash) * len(k.dhash) + _first_agreeing(ddiff, k.dhash)
+    if k.fine:
+        once = once & ((F.col("fine") == -1) | (F.col("fine") == _first_agreeing(pdiff, k.fine)))
     return near.filter(once).select("first_id", "second_id", "phash_distance", "dhash_distance")
 
 
+def copied_codes(codes: DataFrame) -> DataFrame:
+    """One row per code held by several images: the pairs inside it, at distance 0."""
+    n = F.col("n")
+    half = lambda c: F.shiftright(c * (c - 1), 1)
+    return codes.filter("n > 1").select(
+        F.col("code_id").alias("first_id"), F.col("code_id").alias("second_id"), F.lit(0).alias("phash_distance"), F.lit(0).alias("dhash_distance"),
+        n.alias("first_n"), n.alias("second_n"), half(n).alias("pairs"),
+        F.aggregate(F.map_values("classes"), F.lit(0).cast("bigint"), lambda acc, c: acc + half(c)).alias("same_class_pairs"),
+    )
+
+
 def near_duplicates(hashes: DataFrame, codes: DataFrame | None = None, **limits) -> DataFrame:
     """The pair list in compact form: one row per pair of codes and one per copied code.
 
@@ -159,14 +255,7 @@ def near_duplicates(hashes: DataFrame, codes: DataFrame | None = None, **limits)
         "first_id", "second_id", "phash_distance", "dhash_distance", "first_n", "second_n",
         (F.col("first_n") * F.col("second_n")).alias("pairs"), same.alias("same_class_pairs"),
     )
-    n = F.col("n")
-    half = lambda c: F.shiftright(c * (c - 1), 1)
-    inside = codes.filter("n > 1").select(
-        F.col("code_id").alias("first_id"), F.col("code_id").alias("second_id"), F.lit(0).alias("phash_distance"), F.lit(0).alias("dhash_distance"),
-        n.alias("first_n"), n.alias("second_n"), half(n).alias("pairs"),
-        F.aggregate(F.map_values("classes"), F.lit(0).cast("bigint"), lambda acc, c: acc + half(c)).alias("same_class_pairs"),
-    )
-    return across.unionByName(inside)
+    return across.unionByName(copied_codes(codes))
 
 
 def near_summary(pairs: DataFrame, images: DataFrame) -> DataFrame:
@@ -183,13 +272,17 @@ def _members(hashes: DataFrame, codes: DataFrame) -> DataFrame:
     return hashes.join(codes.select("phash", "dhash", "code_id"), ["phash", "dhash"]).select("code_id", "image_id", "class_index")
 
 
-def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def expand_pairs(pairs: DataFrame, members: DataFrame, product: int | None = None) -> DataFrame:
     """Image pairs of a compact pair list. Its size is the number of pairs asked for:
-    filter ``pairs`` or ``members`` first when large copy groups are possible."""
-    a = members.select(F.col("code_id").alias("first_id"), F.col("image_id").alias("i1"), F.col("class_index").alias("c1"))
-    b = members.select(F.col("code_id").alias("second_id"), F.col("image_id").alias("i2"), F.col("class_index").alias("c2"))
+    filter ``pairs`` or ``members`` first when large copy groups are possible. ``product``
+    keeps pairs whose members' ranks ``r`` have at most that product."""
+    rank = F.lit(1) if product is None else F.col("r")
+    a = members.select(F.col("code_id").alias("first_id"), F.col("image_id").alias("i1"), F.col("class_index").alias("c1"), rank.alias("r1"))
+    b = members.select(F.col("code_id").alias("second_id"), F.col("image_id").alias("i2"), F.col("class_index").alias("c2"), rank.alias("r2"))
     j = pairs.select("first_id", "second_id", "phash_distance", "dhash_distance").join(a, "first_id").join(b, "second_id")
     j = j.filter((F.col("first_id") != F.col("second_id")) | (F.col("i1") < F.col("i2")))
+    if product is not None:
+        j = j.filter(F.col("r1") * F.col("r2") <= product)
     flip = F.col("i1") > F.col("i2")
     pick = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
     return j.select(
@@ -204,29 +297,54 @@ def image_pairs(hashes: DataFrame, **limits) -> DataFrame:
     return expand_pairs(near_duplicates(hashes, codes, **limits), _members(hashes, codes))
 
 
-def closest_pairs(hashes: DataFrame, k: int, **limits) -> DataFrame:
+def _smallest_pair(a: Column, b: Column, same: bool) -> Column:
+    """Smallest (first, second) image pair of two codes by their class maps; each entry holds a class's first images.
+
+    Of two lists the smallest ordered pair is that of their first images; inside one code
+    and class it is that of the first two.
+    """
+    entry = lambda x, y: F.struct(F.least(x, y).alias("first_image"), F.greatest(x, y).alias("second_image"))
+    inner = lambda e: F.transform(
+        F.filter(b, lambda o: (o["class_index"] == e["class_index"]) if same else (o["class_index"] != e["class_index"])),
+        lambda o: entry(e["ids"][0], F.when(o["ids"][0] != e["ids"][0], o["ids"][0]).otherwise(F.get(o["ids"], 1))),
+    )
+    return F.array_min(F.filter(F.flatten(F.transform(a, inner)), lambda p: p["first_image"] != p["second_image"]))
+
+
+def closest_pairs(hashes: DataFrame, k: int, phash_limit: int = 6, dhash_limit: int = 6, **keys) -> DataFrame:
     """First k image pairs by (same class, total distance, phash distance, ids).
 
-    Within one code pair the order is by image id, so a pair among the first k uses only
-    the first 2k images of each code and class; the rest cannot appear and is not paired.
-    The cut on code pairs counts the image pairs before a row, which is exact as well.
+    Best first: equal codes, then codes at a total distance of 2, then all within the limits;
+    it stops as soon as k pairs of different classes are sure, since nothing farther can come
+    before them. Every code pair has at least one image pair, its smallest, so only the k code
+    pairs with the smallest first pairs are needed; no level is expanded, however many pairs
+    tie in it. Of these, the pair of the i-th and j-th image of two classes has at least
+    i * j / 2 pairs before it, so few images of each take part.
     """
     hashes = cut_lineage(hashes)
     codes = cut_lineage(hash_codes(hashes))
-    w = Window.partitionBy("code_id", "class_index").orderBy("image_id")
-    few = _members(hashes, codes).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * k).drop("r")
-    pairs = cut_lineage(near_duplicates(hashes, codes, **limits))
-    # a code pair may hold cross-class and same-class image pairs: each kind keeps its own first rows
-    order = [F.col("phash_distance") + F.col("dhash_distance"), F.col("phash_distance")]
-    distance = F.struct((order[0]).alias("total"), order[1].alias("p"))
-    levels = pairs.groupBy(distance.alias("level")).agg(F.sum(F.col("pairs") - F.col("same_class_pairs")).alias("cross"), F.sum("same_class_pairs").alias("same"))
-    upto = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # at most 49 levels
-    needed = levels.select("level", F.coalesce(F.sum("cross").over(upto), F.lit(0)).alias("cross_before"), F.coalesce(F.sum("same").over(upto), F.lit(0)).alias("same_before"))
-    kept = pairs.withColumn("level", distance).join(F.broadcast(needed), "level")
-    cross = (F.col("pairs") > F.col("same_class_pairs")) & (F.col("cross_before") < k)
-    kept = kept.filter(cross | ((F.col("same_class_pairs") > 0) & (F.col("same_before") < k)))
-    found = expand_pairs(kept, few)
-    return found.orderBy("same_class", F.col("phash_distance") + F.col("dhash_distance"), "phash_distance", "first_image", "second_image").limit(k)
+    total = F.col("phash_distance") + F.col("dhash_distance")
+    for radius in (0, 2, phash_limit + dhash_limit):
+        limits = {"phash_limit": min(radius, phash_limit), "dhash_limit": min(radius, dhash_limit)}
+        pairs = copied_codes(codes) if radius == 0 else near_duplicates(hashes, codes, **limits, **keys)
+        pairs = cut_lineage(pairs.filter(total <= radius))
+        if (pairs.agg(F.sum(F.col("pairs") - F.col("same_class_pairs"))).first()[0] or 0) >= k:
+            break
+    by_class = Window.partitionBy("code_id", "class_index").orderBy("image_id")
+    members = _members(hashes, codes)
+    firsts = members.withColumn("r", F.row_number().over(by_class)).filter("r <= 2").groupBy("code_id", "class_index").agg(F.sort_array(F.collect_list("image_id")).alias("ids"))
+    firsts = firsts.groupBy("code_id").agg(F.collect_list(F.struct("class_index", "ids")).alias("entries"))
+    side = lambda p: firsts.select(F.col("code_id").alias(f"{p}_id"), F.col("entries").alias(f"{p}_entries"))
+    joined = pairs.join(side("first"), "first_id").join(side("second"), "second_id")
+    kinds = [F.struct(F.lit(s).alias("same_class"), _smallest_pair(F.col("first_entries"), F.col("second_entries"), s).alias("pair")) for s in (False, True)]
+    ranked = joined.withColumn("kind", F.explode(F.array(*kinds))).filter("kind.pair is not null")
+    order = ["kind.same_class", total, "phash_distance", "kind.pair"]
+    # the first k code pairs, a bounded table
+    kept = cut_lineage(ranked.orderBy(*order).limit(k).select("first_id", "second_id", "phash_distance", "dhash_distance").distinct())
+    wanted = kept.select(F.explode(F.array("first_id", "second_id")).alias("code_id")).distinct()
+    few = members.join(F.broadcast(wanted), "code_id").withColumn("r", F.row_number().over(by_class)).filter(F.col("r") <= 2 * k)
+    found = expand_pairs(kept, few, 2 * k)
+    return found.orderBy("same_class", total, "phash_distance", "first_image", "second_image").limit(k)
 
 
 def similarity_components(hashes: DataFrame, **limits) -> DataFrame:

@@ -72,7 +72,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "image_id long, class_index int, phash long, dhash long")
 
 
-@pytest.mark.parametrize("hot,picks", [(20000, 1), (32, 1), (20000, 2)])
+@pytest.mark.parametrize("hot,picks", [(20000, 1), (32, 1), (20000, 2), (None, None), (48, (0, 3))])
 def test_pairs_equal_brute_force(spark, hot, picks):
     rows = corpus(1)
     h = frame(spark, rows)
@@ -90,6 +90,42 @@ def test_closest_pairs_equal_brute_force(spark, k):
     assert [tuple(r) for r in D.closest_pairs(frame(spark, rows), k).collect()] == want
 
 
+def scattered(spark, n):
+    """Codes of which a fifth share 20 bits of both hashes."""
+    flat = lambda c: F.when(F.col("id") % 5 == 0, c.bitwiseAND(F.lit(-1048576))).otherwise(c)
+    return spark.range(n).select(F.col("id").alias("code_id"), flat(F.xxhash64("id", F.lit(1))).alias("phash"), flat(F.xxhash64("id", F.lit(2))).alias("dhash"))
+
+
+def test_keys_grow_with_the_codes_and_candidates_do_not(spark):
+    per_code, keys = [], []
+    for n in (1000, 32000):
+        k = D.code_keys(scattered(spark, n), 6, 6, copy=1, hot=10**9)
+        held = k.rows.groupBy(*k.on).count().withColumn("c", F.col("count").cast("double"))
+        pairs = held.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()[0]
+        per_code.append(pairs / n)
+        keys.append(len(k.phash) * len(k.dhash))
+    assert keys[0] < keys[1]
+    # one choice for both sizes would give 32 times the candidates
+    assert per_code[1] < 8 * max(per_code[0], 1)
+
+
+def test_closest_pairs_stop_in_a_wide_level_of_ties(spark):
+    # 400 codes of one image at distance 2 from each other (79,800 pairs), and one group of 300 copies of two classes
+    ties = [(1000 + i, i % 3, 1 << (i % 20), 1 << (i // 20)) for i in range(400)]
+    near = [t for t in ties if t[0] < 1020] + [(5000 + i, i % 2, -1, -1) for i in range(300)]
+    for rows in (ties, near):
+        full = sorted(brute(rows), key=lambda r: (r[6], r[4] + r[5], r[4], r[0], r[2]))
+        for k in (7, 45):
+            assert [tuple(r) for r in D.closest_pairs(frame(spark, rows), k).collect()] == full[:k]
+
+
+def test_closest_pairs_of_one_class_only(spark):
+    rows = [(i, 1, i % 4, 9) for i in range(30)]
+    want = sorted(brute(rows), key=lambda r: (r[6], r[4] + r[5], r[4], r[0], r[2]))[:50]
+    assert [tuple(r) for r in D.closest_pairs(frame(spark, rows), 50).collect()] == want
+    assert D.closest_pairs(frame(spark, rows[:1]), 5).collect() == []
+
+
 def union_find(nodes, edges):
     parent = {n: n for n in nodes}
 

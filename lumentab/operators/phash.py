@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lumentab.functions.hashing import coefficient_bits
-from lumentab.functions.numeric import let
+from lumentab.functions.hashing import coefficient_bits, fold_bits
+from lumentab.functions.numeric import let, r6
+from lumentab.operators.pixels import shrunk_cells
 
 
 def difference_bits(cells: Column, h: int, w: int) -> Column:
@@ -54,3 +55,15 @@ def low_dct(cells: Column, n: int = 32, keep: int = 8) -> Column:
 def perceptual_hash(cells: Column) -> Column:
     """64-bit hash of a 32 x 32 raster."""
     return coefficient_bits(low_dct(cells))
+
+
+def image_hashes(rasters: DataFrame) -> DataFrame:
+    """Gray rasters (``h, w, cells``) of any size with ``phash`` and ``dhash``, made inside the row.
+
+    The cosine hash sees the image at 32 x 32, the difference hash at 8 rows of 9 pixels.
+    Coefficients are taken to six places, so an even image has no bits by chance.
+    """
+    small = shrunk_cells(shrunk_cells(rasters, 32, 32, "_square"), 8, 9, "_rows")
+    coefficients = F.transform(low_dct(F.col("_square")), r6)
+    hashed = small.withColumns({"phash": coefficient_bits(coefficients), "dhash": fold_bits(difference_bits(F.col("_rows"), 8, 9))})
+    return hashed.drop("_square", "_rows")

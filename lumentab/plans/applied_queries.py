@@ -7,16 +7,17 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from lumentab.functions.hashing import to_hex16
 from lumentab.functions.numeric import r6
-from lumentab.operators import batch as Ba, pixels as P, stencils as W
+from lumentab.operators import batch as Ba, phash as H, pixels as P, stencils as W
 from lumentab.plans import views as V
 from lumentab.plans.pixel_queries import SHAPED, shaped_rasters, u31
 from lumentab.plans.sqltext import R, SAT
 from lumentab.plans.stat_queries import GAUSS, byte_tiles, stencil_sql
-from lumentab.plans.table_queries import EDGES
+from lumentab.plans.table_queries import COS, EDGES, file_number, image_folder
 from lumentab.plans.views import duck
 from lumentab.session import ship_package
-from lumentab.sources import paths as Pa
+from lumentab.sources import images as I, paths as Pa
 from lumentab.sources.bitmaps import encode, read_tiles
 from lumentab.sources.folders import run_folder
 
@@ -151,3 +152,34 @@ def _(s, d):
     rows = read_tiles(s, mosaic_folder(s, d), side=48, halo=1, band_bytes=1 << 14)
     named = rows.filter("read_ok").withColumn("image_id", Pa.image_number(Pa.stem(F.col("path"))))
     return W.filter_mirror(named, W.LAPLACIAN).select("image_id", "y", "x", r6("v").alias("v"))
+
+
+HEX = "lower(printf('%08x%08x', (h>>32)&4294967295, h&4294967295))"
+BITS = "cast(bit_or(case when {0} then (case when {1}=0 then (-9223372036854775808)::bigint else cast(1 as bigint)<<(63-({1})) end) else 0::bigint end) as bigint) h"
+#: Hashes of the images of 8 x 8 cells: at 8 rows of 9 pixels, and at 32 x 32.
+FILE_HASHES = {
+    "cosines": COS["cosines"],
+    "half": COS["half"].replace("from px)", "from px8)"),
+    "dct": f"select image_id, u, w, {R('v')} v from ({COS['dct']}) q",
+    "meds": COS["meds"],
+    "nine": f"select image_id, y, cast(b.d as int) x, {SAT(R('sum(v*(least(p.x+1,(b.d+1)*8e0/9)-greatest(p.x,b.d*8e0/9)))/(8e0/9)'))} v from px8 p join range(0,9) b(d) on p.x+1>b.d*8e0/9 and p.x<(b.d+1)*8e0/9 group by 1,2,3",
+    "phashes": f"select image_id, {BITS.format('v>m', 'u*8+w')} from dct join meds using (image_id) group by 1",
+    "dhashes": f"select image_id, {BITS.format('n>v', 'y*8+x')} from (select *, lead(v) over (partition by image_id, y order by x) n from nine) q where x<8 group by 1",
+    "spreads": f"select image_id, {R('avg(v)')} mean_v, {R('stddev_pop(v)')} sd_v from px8 group by 1",
+}
+
+
+@query("E2E_file_features", f"select e.vec_id image_id, concat('class_',e.label) class_name, e.vec_id%13<>0 read_ok, case when e.vec_id%13<>0 then 8 end h, case when e.vec_id%13<>0 then 8 end w, mean_v, sd_v, p.x phash, d.x dhash from embeddings e left join (select * from spreads where image_id%13<>0) s on s.image_id=e.vec_id left join (select image_id, {HEX} x from phashes where image_id%13<>0) p on p.image_id=e.vec_id left join (select image_id, {HEX} x from dhashes where image_id%13<>0) d on d.image_id=e.vec_id", extra=FILE_HASHES)
+def _(s, d):
+    rows = I.file_features(s, image_folder(s, d))
+    return rows.select(file_number(), "class_name", "read_ok", "h", "w", r6("mean_v").alias("mean_v"), r6("sd_v").alias("sd_v"), to_hex16(F.col("phash")).alias("phash"), to_hex16(F.col("dhash")).alias("dhash"))
+
+
+@query("W17_resized_difference_hash", f"select image_id, {HEX} dhash from dhashes", extra=FILE_HASHES)
+def _(s, d):
+    return H.image_hashes(V.byte_rasters(s, d)).select("image_id", to_hex16(F.col("dhash")).alias("dhash"))
+
+
+@query("W16_resized_perceptual_hash", f"select image_id, {HEX} phash from phashes", extra=FILE_HASHES)
+def _(s, d):
+    return H.image_hashes(V.byte_rasters(s, d)).select("image_id", to_hex16(F.col("phash")).alias("phash"))

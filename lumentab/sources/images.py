@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lumentab.functions.colour import gray
+from lumentab.operators.phash import image_hashes
 from lumentab.session import ship_package
 from lumentab.sources.paths import is_image, parent_name
 
@@ -68,6 +70,33 @@ def image_rasters(images: DataFrame) -> DataFrame:
     return good.select("path", F.col("height").alias("h"), F.col("width").alias("w"), planes.alias("planes"))
 
 
+def gray_rasters(images: DataFrame) -> DataFrame:
+    """Every scanned image with its gray ``cells`` (``h, w``); null where it could not be read."""
+    ship_package(images.sparkSession)
+    at = lambda p, c: F.get("flat", (p * F.col("channels") + c).cast("int"))
+    mixed = lambda p: gray(at(p, 0), at(p, 1), at(p, 2)).cast("double")
+    cells = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda p: F.when(F.col("channels") >= 3, mixed(p)).otherwise(at(p, 0)))
+    good = images.withColumn("flat", F.when(F.col("read_ok"), byte_cells("data")))
+    return good.select("path", "read_ok", F.col("height").alias("h"), F.col("width").alias("w"), F.when(F.col("read_ok"), cells).alias("cells"))
+
+
+def file_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Inventory, quality and hashes of every image file below a folder, in one scan.
+
+    ``path, class_name, read_ok, h, w, mean_v, sd_v, phash, dhash``; a file that cannot be
+    read is a row without features. Nothing is shuffled, a task holds one image at a time.
+    """
+    rows = gray_rasters(read_images(spark, folder))
+    size = F.size("cells")
+    mean = F.aggregate("cells", F.lit(0.0), lambda a, v: a + v) / size
+    squares = F.aggregate("cells", F.lit(0.0), lambda a, v: a + v * v) / size
+    scored = rows.withColumns({"mean_v": F.when(F.col("read_ok"), mean), "_squares": F.when(F.col("read_ok"), squares)})
+    scored = scored.withColumn("sd_v", F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") - F.col("mean_v") * F.col("mean_v"))))
+    hashed = image_hashes(scored)
+    known = lambda c: F.when(F.col("read_ok"), F.col(c)).alias(c)
+    return hashed.select("path", parent_name(F.col("path")).alias("class_name"), "read_ok", known("h"), known("w"), "mean_v", known("sd_v"), known("phash"), known("dhash"))
+
+
 def image_pixels(images: DataFrame) -> DataFrame:
     """Readable images as ``path, y, x, c, v`` rows."""
     ship_package(images.sparkSession)

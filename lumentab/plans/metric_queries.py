@@ -324,6 +324,12 @@ def _(s, d):
     return B.assign_anchors(det(s, d), truth(s, d))
 
 
+@query("B04_assignment_by_rounds", "select image_id, cast(k as int) k, cast(truth as int) truth from assigned", extra=ASSIGN, recursive=True)
+def _(s, d):
+    """As above, with every image taken for a crowded one: rounds of joins, no fold."""
+    return B.assign_anchors(det(s, d), truth(s, d), fold_limit=1)
+
+
 PIXEL_ASSIGN = {
     **PIXEL_BOXES,
     **{k: ASSIGN[k].replace("ious", "pixel_ious").replace("from tru)", "from pixel_boxes where kind='truth')") for k in ("pick", "forced", "assigned")},
@@ -463,3 +469,10 @@ def _(s, d):
 def _(s, d):
     t = B.average_precision(truth(s, d), det(s, d), [0.5 + 0.05 * i for i in range(10)])
     return t.agg(r6(F.avg(F.when(F.col("threshold") == 0.5, F.col("ap")))).alias("map50"), r6(F.avg("ap")).alias("map50_95"))
+
+
+@query("A27_precision_by_rounds", f"select class_index, th as threshold, truths, detections, tp, {R('ap')} ap from ap_rows", extra=ap_views("select 5e-1 th"), recursive=True)
+def _(s, d):
+    """As A27_average_precision, with every image taken for a crowded one: rounds of joins, no fold."""
+    t = B.average_precision(truth(s, d), det(s, d), [0.5], fold_limit=1)
+    return t.select("class_index", "threshold", "truths", "detections", "tp", r6("ap").alias("ap"))

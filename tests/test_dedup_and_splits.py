@@ -110,7 +110,7 @@ def test_keys_grow_with_the_codes_and_candidates_do_not(spark):
 
 
 def test_closest_pairs_stop_in_a_wide_level_of_ties(spark):
-    # 400 codes of one image at distance 2 from each other (79,800 pairs), and one group of 300 copies of two classes
+    # 400 codes of one image at distance 2 or 4 from each other (79,800 pairs), and one group of 300 copies of two classes
     ties = [(1000 + i, i % 3, 1 << (i % 20), 1 << (i // 20)) for i in range(400)]
     near = [t for t in ties if t[0] < 1020] + [(5000 + i, i % 2, -1, -1) for i in range(300)]
     for rows in (ties, near):

@@ -7,13 +7,21 @@ Tables carry ``image_id, k`` (box number in its image) and corners. Sequential r
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumentab.functions.geometry import CORNERS, decode_offsets, encode_offsets, iou
 from lumentab.operators.ranking import row_numbers, running_sums
-from lumentab.session import cut_lineage
+from lumentab.session import cut_lineage, ship_package
 
 FOLD_LIMIT = 512
+#: Best open boxes of a tile that one round judges, and binary size classes that share a tile grid.
+TILE_BOXES, TILE_LEVELS = 800, 3
+#: Below this threshold boxes of very different size suppress each other, and tiles would not part them.
+LEAST_TILED = 0.125
 MIN_CONFIDENCE = 0.009999999  # fixed value: boxes fainter than this become background
 
 
@@ -23,16 +31,25 @@ def _levelled(boxes: DataFrame) -> DataFrame:
     return boxes.filter("x2 > x1 and y2 > y1").withColumn("level", F.ceil(F.log2(side)).cast("int"))
 
 
-def _gridded(boxes: DataFrame, levels: Column) -> DataFrame:
-    """One row per size class from the box's own up, and per cell of that class it lies in (four at most)."""
-    wide = boxes.withColumn("_levels", levels).withColumn("at", F.explode(F.filter("_levels", lambda v: v >= F.col("level")))).drop("_levels")
+def _gridded(boxes: DataFrame, levels: Column, span: int | None = None) -> DataFrame:
+    """One row per size class from the box's own up, and per cell of that class it lies in (four at most).
+
+    ``span`` keeps the classes that are at most so many above the box's own.
+    """
+    near = lambda v: (v >= F.col("level")) & (F.lit(True) if span is None else v <= F.col("level") + span)
+    wide = boxes.withColumn("_levels", levels).withColumn("at", F.explode(F.filter("_levels", near))).drop("_levels")
     cell = F.pow(F.lit(2.0), F.col("at"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
     return wide.withColumn("gy", F.explode(span("y1", "y2"))).withColumn("gx", F.explode(span("x1", "x2")))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Pairs of boxes of one image with IoU > 0; pairs that do not touch have IoU 0 and no row.
+def _size_span(threshold: float) -> int:
+    """Binary size classes by which two boxes with an IoU above the threshold differ at most."""
+    return math.ceil(math.log2(1 / threshold))
+
+
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """Pairs of boxes of one image with IoU > ``least``; pairs that do not touch have IoU 0 and no row.
 
     Boxes meet in the grid of the larger box's size class, whatever the unit: cells are as
     wide as the larger box, so each box lies in four cells at most. The cell that holds the
@@ -43,13 +60,14 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: list[str] | None = No
     a = _levelled(left.select(*keys, F.col("k").alias("ka"), F.struct(*CORNERS).alias("a"), *CORNERS))
     b = _levelled(right.select(*keys, F.col("k").alias("kb"), F.struct(*CORNERS).alias("b"), *CORNERS))
     levels = a.select("level").unionByName(b.select("level")).agg(F.collect_set("level")).scalar()
-    a = _gridded(a, levels).drop(*CORNERS).withColumnRenamed("level", "la")
-    b = _gridded(b, levels).drop(*CORNERS).withColumnRenamed("level", "lb")
+    span = _size_span(least) if least > 0 else None  # the sides of such boxes differ by less than a factor of 1 / least
+    a = _gridded(a, levels, span).drop(*CORNERS).withColumnRenamed("level", "la")
+    b = _gridded(b, levels, span).drop(*CORNERS).withColumnRenamed("level", "lb")
     j = a.join(b, [*keys, "at", "gy", "gx"]).filter(F.col("at") == F.greatest("la", "lb"))
     cell = F.pow(F.lit(2.0), F.col("at"))
     first = (F.floor(F.greatest("a.y1", "b.y1") / cell) == F.col("gy")) & (F.floor(F.greatest("a.x1", "b.x1") / cell) == F.col("gx"))
     j = j.filter(first).withColumn("iou", iou(F.col("a"), F.col("b")))
-    return j.filter("iou > 0").select(*keys, "ka", "kb", "iou", "a", "b")
+    return j.filter(F.col("iou") > least).select(*keys, "ka", "kb", "iou", "a", "b")
 
 
 def crowded_images(boxes: DataFrame, limit: int) -> DataFrame | None:
@@ -170,8 +188,87 @@ def suppress(boxes: DataFrame, threshold: float, fold_limit: int = FOLD_LIMIT, c
     return out.unionByName(_suppress_in_rounds(boxes.join(crowded, "image_id", "left_semi"), threshold))
 
 
+def _tiled(boxes: DataFrame, threshold: float) -> DataFrame:
+    """A row per box and tile that may own a box with an IoU above the threshold; ``own`` marks its own tile.
+
+    A box's own tile holds its centre, on the grid of its size class (four times the largest side
+    of the class). Such a pair overlaps on both axes by more than the threshold's share of the
+    wider side, so its sides differ by less than 1 / threshold and its centres by ``reach`` sides.
+    """
+    span, reach = _size_span(threshold), 1.001 * (1 - threshold) * max(1.0, 1 / (2 * threshold))
+    group = lambda v: F.floor((F.col("level") + v) / TILE_LEVELS).cast("int")
+    rows = _levelled(boxes).withColumn("at", F.explode(F.sequence(group(-span), group(span))))
+    edge = F.pow(F.lit(2.0), F.col("at") * TILE_LEVELS + TILE_LEVELS + 1)
+    tile = lambda a, b, part: F.floor(((F.col(a) + F.col(b)) / 2 + (F.col(b) - F.col(a)) * part) / edge)
+    tiles = lambda a, b: F.explode(F.sequence(tile(a, b, -reach), tile(a, b, reach)))
+    rows = rows.withColumn("ty", tiles("y1", "y2")).withColumn("tx", tiles("x1", "x2"))
+    own = (F.col("at") == group(0)) & (F.col("ty") == tile("y1", "y2", 0.0)) & (F.col("tx") == tile("x1", "x2", 0.0))
+    return rows.select("image_id", "at", "ty", "tx", "k", "neg", *CORNERS, own.alias("own"))
+
+
+def _overlaps(b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the boxes (columns x1, y1, x2, y2) have an IoU above the threshold, in the arithmetic of ``iou``."""
+    x1, y1, x2, y2 = b.T
+    width = np.maximum(np.minimum(x2[:, None], x2) - np.maximum(x1[:, None], x1), 0.0)
+    shared = width * np.maximum(np.minimum(y2[:, None], y2) - np.maximum(y1[:, None], y1), 0.0)
+    area = (x2 - x1) * (y2 - y1)
+    return shared / (area[:, None] + area - shared) > threshold
+
+
+def _judge(threshold: float):
+    """Greedy rule over the best boxes of one tile as far as the tile decides it; gives its own boxes that are kept.
+
+    A box under a kept one is dropped. One whose better overlapping boxes are all dropped is kept,
+    if the tile is its own, as only there all of them are seen. Any other waits for the next round.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        over, own = _overlaps(rows[CORNERS].to_numpy(), threshold), rows["own"].to_numpy()
+        kept, waits = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            better = over[i, :i]
+            if not (better & kept[:i]).any():
+                sure = own[i] and not (better & waits[:i]).any()
+                kept[i], waits[i] = sure, not sure
+        return rows.loc[kept, ["image_id", "k", *CORNERS]]
+
+    return run
+
+
 def _suppress_in_rounds(boxes: DataFrame, threshold: float) -> DataFrame:
-    """Suppression for images of any size, in rounds without pairing boxes out.
+    """Suppression for images of any size, in rounds of tiles.
+
+    Every round judges the best open boxes of each tile (at most ``TILE_BOXES``, picked map-side), and
+    the boxes under those kept leave by a join on a grid. So a group is bounded however crowded a
+    place is, and a round is needed for a chain of overlaps that crosses a border, not for each
+    box of a place. The best open box of an image is always decided, so the rounds end.
+    """
+    if threshold < LEAST_TILED:
+        return _suppress_by_minima(boxes, threshold)
+    ship_package(boxes.sparkSession)
+    open_ = cut_lineage(boxes.select("image_id", F.col("k").cast("int").alias("k"), *[F.col(c).cast("double").alias(c) for c in CORNERS], (-F.col("score")).alias("neg")))
+    flat = ~F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False))
+    out, rounds = open_.filter(flat).select("image_id", "k"), 0  # a box without an area overlaps nothing
+    open_ = open_.filter(~flat)
+    tile = ["image_id", "at", "ty", "tx"]
+    place = F.row_number().over(Window.partitionBy(*tile).orderBy("neg", "k"))
+    columns = [c for c in open_.columns if c != "neg"]
+    schema = open_.select(*columns).schema
+    while not open_.isEmpty():
+        best = _tiled(open_, threshold).withColumn("place", place).filter(F.col("place") <= TILE_BOXES)
+        kept = cut_lineage(best.groupBy(*tile).applyInPandas(_judge(threshold), schema))
+        out, rounds = out.unionByName(kept.select("image_id", "k")), rounds + 1
+        if rounds % 8 == 0:
+            out = cut_lineage(out)
+        rest = open_.join(kept.select("image_id", "k"), ["image_id", "k"], "left_anti")
+        under = overlap_pairs(rest, kept, least=threshold).select("image_id", F.col("ka").alias("k")).distinct()
+        open_ = cut_lineage(rest.join(under, ["image_id", "k"], "left_anti"))
+    return out
+
+
+def _suppress_by_minima(boxes: DataFrame, threshold: float) -> DataFrame:
+    """Suppression in rounds that keep the best box of its cells, for any threshold.
 
     Boxes that overlap meet in a cell of the larger one's size class. A box that ranks before
     all boxes in the cells of its own class, and before the boxes of the class in the cells of

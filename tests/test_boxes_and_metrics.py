@@ -83,6 +83,44 @@ def test_assignment_by_fold_and_by_rounds(spark, limit):
     assert got == want
 
 
+def greedy(rows, threshold):
+    kept, solid = [], lambda r: r[6] > r[4] and r[7] > r[5]
+    for r in sorted(rows, key=lambda r: (r[0], -r[3], r[1])):
+        if all(q[0] != r[0] or not (solid(q) and solid(r)) or iou(q[4:], r[4:]) <= threshold for q in kept):
+            kept.append(r)
+    return {(r[0], r[1]) for r in kept}
+
+
+def crowd(seed, n=900, scale=1.0):
+    """Boxes of very different sizes, copies of one, a row of boxes that hang together, and boxes without an area."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(n):
+        side = 2.0 ** rng.integers(-6, 4)
+        cx, cy, w, h = rng.normal(0, 2 * side), rng.normal(0, 2 * side), side * rng.uniform(0.5, 1), side * rng.uniform(0.5, 1)
+        rows.append((k % 2, k, 0, float(rng.integers(0, 50)) / 50, cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2))
+    rows += [(0, n + k, 0, 0.5, 1.0, 1.0, 2.0, 2.0) for k in range(60)]
+    rows += [(1, n + 60 + k, 0, 2.0 - k / 100, 50 + k / 4, 50.0, 51 + k / 4, 51.0) for k in range(40)]
+    rows += [(1, n + 100, 0, 3.0, 50.0, 50.0, 50.0, 51.0), (0, n + 101, 0, 0.0, 1.0, 2.0, 2.0, 1.0)]
+    return [(*r[:4], *(float(c * scale) for c in r[4:])) for r in rows]
+
+
+@pytest.mark.parametrize("threshold,tile,scale", [(0.5, 800, 1.0), (0.5, 7, 300.0), (0.3, 25, 1e-3), (0.7, 3, 1.0), (0.15, 40, 1.0), (0.05, 800, 1.0)])
+def test_crowded_suppression_by_tiles(spark, monkeypatch, threshold, tile, scale):
+    monkeypatch.setattr(B, "TILE_BOXES", tile)
+    rows = crowd(21, 300, scale)
+    assert {tuple(r) for r in B.suppress(table(spark, rows), threshold, fold_limit=1).collect()} == greedy(rows, threshold)
+
+
+def test_rounds_do_not_follow_the_boxes_of_a_place(spark, monkeypatch):
+    rows = [(0, *r[1:]) for r in crowd(22, 700)]
+    cuts = []
+    monkeypatch.setattr(B, "cut_lineage", lambda df, cut=B.cut_lineage: cuts.append(1) or cut(df))
+    assert {tuple(r) for r in B.suppress(table(spark, rows), 0.5, fold_limit=1).collect()} == greedy(rows, 0.5)
+    # two before the rounds and two per round; a box per place and round would take dozens
+    assert len(cuts) <= 12
+
+
 @pytest.mark.parametrize("limit", [2000, 1])
 def test_average_precision(spark, limit):
     det, tru = many(4, per=25), many(5, per=12)

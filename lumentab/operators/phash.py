@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lumentab.functions.hashing import coefficient_bits, fold_bits
-from lumentab.functions.numeric import let, r6
-from lumentab.operators.pixels import shrunk_cells
+from lumentab.functions.numeric import let
+from lumentab.session import ship_package
+
+#: Cells of equally large images that are hashed together (4 MB); a larger image goes alone.
+GROUP_CELLS = 1 << 19
+HASHES = T.StructType([T.StructField("phash", T.LongType()), T.StructField("dhash", T.LongType())])
 
 
 def difference_bits(cells: Column, h: int, w: int) -> Column:
@@ -52,18 +58,86 @@ def low_dct(cells: Column, n: int = 32, keep: int = 8) -> Column:
     return let(rows, lambda c: let(first(c), lambda half: second(c, half)))
 
 
+def area_weights(n: int, m: int) -> np.ndarray:
+    """Share of each of n source cells in each of m cells of an area resize, m x n."""
+    k = n / m
+    t, c = np.arange(m)[:, None], np.arange(n)
+    return np.maximum(np.minimum(c + 1, (t + 1) * k) - np.maximum(c, t * k), 0.0) / k
+
+
+def area_bytes(stack: np.ndarray, height: int, width: int) -> np.ndarray:
+    """8-bit area resize of equally large rasters (n, h, w).
+
+    Six places first: halves that sums of products miss by a last bit go to the even side as well.
+    """
+    mean = area_weights(stack.shape[1], height) @ stack @ area_weights(stack.shape[2], width).T
+    return np.clip(np.rint(np.round(mean, 6)), 0, 255)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers of rows of 64 bits, first bit highest."""
+    return np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+
+
+def _above_median(low: np.ndarray) -> np.ndarray:
+    """Bit per coefficient of 8 x 8 blocks: greater than the median of all but the first."""
+    low = low.reshape(len(low), 64)
+    return _packed(low > np.median(low[:, 1:], axis=1)[:, None])
+
+
+def stack_hashes(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``phash`` and ``dhash`` of equally large gray rasters (n, h, w)."""
+    rows = np.array(cosine_rows(32, 8))
+    low = np.round(rows @ area_bytes(stack, 32, 32) @ rows.T, 6)
+    nine = area_bytes(stack, 8, 9)
+    return _above_median(low), _packed((nine[:, :, 1:] > nine[:, :, :-1]).reshape(len(stack), 64))
+
+
+def equal_sizes(h: pd.Series, w: pd.Series, whole: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Positions of the ``whole`` rasters with one size, in groups of a few megabytes of cells."""
+    places = pd.DataFrame({"h": h.to_numpy(), "w": w.to_numpy()}).loc[whole].groupby(["h", "w"]).indices
+    found = np.flatnonzero(whole)
+    for (height, width), at in places.items():
+        step = max(1, GROUP_CELLS // int(height * width))
+        for first in range(0, len(at), step):
+            yield found[at[first : first + step]], int(height), int(width)
+
+
+@F.pandas_udf(HASHES)
+def raster_hashes(h: pd.Series, w: pd.Series, cells: pd.Series) -> pd.DataFrame:
+    """Both hashes of gray rasters, null where the cells are not those of a raster of that size."""
+    out = pd.DataFrame({c: pd.array([None] * len(cells), "Int64") for c in ("phash", "dhash")})
+    size = np.array([-1 if c is None else len(c) for c in cells], dtype=np.int64)
+    for at, height, width in equal_sizes(h, w, (size > 0) & (size == (h * w).to_numpy())):
+        stack = np.stack([cells.iloc[i] for i in at]).astype(float).reshape(len(at), height, width)
+        out.iloc[at, 0], out.iloc[at, 1] = stack_hashes(stack)
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def square_hashes(cells: pd.Series) -> pd.Series:
+    out, rows = pd.Series([None] * len(cells), dtype="Int64"), np.array(cosine_rows(32, 8))
+    whole = np.flatnonzero([c is not None and len(c) == 1024 for c in cells])
+    for first in range(0, len(whole), GROUP_CELLS // 1024):
+        at = whole[first : first + GROUP_CELLS // 1024]
+        stack = np.stack([cells.iloc[i] for i in at]).astype(float).reshape(len(at), 32, 32)
+        out.iloc[at] = _above_median(rows @ stack @ rows.T)
+    return out
+
+
 def perceptual_hash(cells: Column) -> Column:
-    """64-bit hash of a 32 x 32 raster."""
-    return coefficient_bits(low_dct(cells))
+    """64-bit hash of a 32 x 32 raster, null for another size; coefficients are not rounded."""
+    ship_package(SparkSession.active())
+    return square_hashes(cells)
 
 
 def image_hashes(rasters: DataFrame) -> DataFrame:
-    """Gray rasters (``h, w, cells``) of any size with ``phash`` and ``dhash``, made inside the row.
+    """Gray rasters (``h, w, cells``) of any size with ``phash`` and ``dhash``.
 
     The cosine hash sees the image at 32 x 32, the difference hash at 8 rows of 9 pixels.
-    Coefficients are taken to six places, so an even image has no bits by chance.
+    Coefficients are taken to six places, so an even image has no bits by chance. Nothing is
+    shuffled; resize and cosines are matrix products over the equally large images of a batch.
     """
-    small = shrunk_cells(shrunk_cells(rasters, 32, 32, "_square"), 8, 9, "_rows")
-    coefficients = F.transform(low_dct(F.col("_square")), r6)
-    hashed = small.withColumns({"phash": coefficient_bits(coefficients), "dhash": fold_bits(difference_bits(F.col("_rows"), 8, 9))})
-    return hashed.drop("_square", "_rows")
+    ship_package(rasters.sparkSession)
+    hashed = rasters.withColumn("_hashes", raster_hashes("h", "w", "cells"))
+    return hashed.select(*rasters.columns, "_hashes.phash", "_hashes.dhash")

@@ -7,6 +7,7 @@ to files, so a restarted job goes on where it stopped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -28,12 +29,29 @@ def image_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> D
     return scanned(reader.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder))
 
 
+@contextmanager
+def listed_by_core(spark: SparkSession) -> Iterator[None]:
+    """Streams that run inside list the files of a trigger in a task per core.
+
+    By default every file is a listing task of its own, and what the tasks report to the driver
+    is several times the listing.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, purpose: str) -> DataFrame:
     """Append a stateless stream to parquet until it is empty, then read the result."""
     spark = stream.sparkSession
     root = run_folder(spark, purpose)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}-offsets").trigger(availableNow=True).start(root)
-    query.awaitTermination()
+    with listed_by_core(spark):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}-offsets").trigger(availableNow=True).start(root)
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(root)
 
 

@@ -3,13 +3,16 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from lumentab import session
 from lumentab.operators.stats import best_epoch
 from lumentab.plans.table_queries import bitmap
 from lumentab.sources import folders, images as I, labels as L, paths as Pa
+from lumentab.sources.bitmaps import encode
 from lumentab.streaming import frames as St
 
 
@@ -112,3 +115,35 @@ def test_early_stops_go_on_after_a_restart(spark, tmp_path):
     columns = ["run", "best_epoch", "best_metric", "stop_epoch", "epochs_run"]
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert got.filter("stop_epoch is not null").count() > 0
+
+
+def test_file_stream_lists_in_a_task_per_core(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"img_{i}.bmp").write_bytes(encode(np.full((3, 4), i)) if i else b"short")
+    runs, name = [], "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+    class Started(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            runs.append(str(event.runId))
+
+        def onQueryProgress(self, event):
+            pass
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener, before = Started(), spark.conf.get(name)
+    spark.streams.addListener(listener)
+    try:
+        got = St.drain(St.image_stream(spark, tmp_path.as_uri()).select("path", "read_ok", "width"), "list-test").collect()
+    finally:
+        spark.streams.removeListener(listener)
+    assert len(got) == 60 and sorted((r["read_ok"], r["width"]) for r in got) == [(False, -1)] + [(True, 4)] * 59
+    assert spark.conf.get(name) == before
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for run in runs for j in tracker.getJobIdsForGroup(run) for s in tracker.getJobInfo(j).stageIds]
+    # a listing task per file would be 60
+    assert stages and max(s.numTasks for s in stages if s) < 30

@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lumentab.functions.colour import gray
-from lumentab.operators.phash import image_hashes
+from lumentab.operators.phash import HASHES, equal_sizes, stack_hashes
 from lumentab.session import ship_package
 from lumentab.sources.paths import is_image, parent_name
 
@@ -19,6 +18,7 @@ IMAGE_SCHEMA = T.StructType([
         T.StructField("nChannels", T.IntegerType()), T.StructField("mode", T.IntegerType()), T.StructField("data", T.BinaryType()),
     ]))
 ])
+FEATURES = T.StructType([T.StructField("mean_v", T.DoubleType()), T.StructField("sd_v", T.DoubleType()), *HASHES.fields])
 FILE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
     T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
@@ -70,31 +70,44 @@ def image_rasters(images: DataFrame) -> DataFrame:
     return good.select("path", F.col("height").alias("h"), F.col("width").alias("w"), planes.alias("planes"))
 
 
-def gray_rasters(images: DataFrame) -> DataFrame:
-    """Every scanned image with its gray ``cells`` (``h, w``); null where it could not be read."""
-    ship_package(images.sparkSession)
-    at = lambda p, c: F.get("flat", (p * F.col("channels") + c).cast("int"))
-    mixed = lambda p: gray(at(p, 0), at(p, 1), at(p, 2)).cast("double")
-    cells = F.transform(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1), lambda p: F.when(F.col("channels") >= 3, mixed(p)).otherwise(at(p, 0)))
-    good = images.withColumn("flat", F.when(F.col("read_ok"), byte_cells("data")))
-    return good.select("path", "read_ok", F.col("height").alias("h"), F.col("width").alias("w"), F.when(F.col("read_ok"), cells).alias("cells"))
+def gray_stack(data: list[bytes], height: int, width: int, channels: int) -> np.ndarray:
+    """Gray values (n, h, w) of equally large images, as ``gray`` mixes them; fewer than three channels give the first."""
+    planes = np.stack([np.frombuffer(b, dtype=np.uint8) for b in data]).reshape(len(data), height, width, channels).astype(np.float64)
+    if channels < 3:
+        return planes[..., 0]
+    return np.clip(np.rint(planes[..., 2] * 0.299 + planes[..., 1] * 0.587 + planes[..., 0] * 0.114), 0, 255)
+
+
+@F.pandas_udf(FEATURES)
+def gray_features(data: pd.Series, h: pd.Series, w: pd.Series, channels: pd.Series) -> pd.DataFrame:
+    """Mean, population deviation and both hashes of the gray image; null where there is no whole image."""
+    out = pd.DataFrame({"mean_v": np.nan, "sd_v": np.nan, "phash": pd.array([None] * len(data), "Int64"), "dhash": pd.array([None] * len(data), "Int64")})
+    out = out.astype({"mean_v": "Float64", "sd_v": "Float64"})
+    size = np.array([-1 if b is None else len(b) for b in data], dtype=np.int64)
+    whole = (size > 0) & (size == (h * w * channels).to_numpy())
+    for kind in np.unique(channels.to_numpy()[whole]):
+        for at, height, width in equal_sizes(h, w, whole & (channels == kind).to_numpy()):
+            stack = gray_stack([data.iloc[i] for i in at], height, width, int(kind))
+            flat = stack.reshape(len(at), -1)
+            mean, squares = flat.sum(axis=1) / flat.shape[1], (flat * flat).sum(axis=1) / flat.shape[1]
+            spread = np.sqrt(np.maximum(0.0, squares - mean * mean))
+            for place, values in enumerate((mean, spread, *stack_hashes(stack))):
+                out.iloc[at, place] = values
+    return out
 
 
 def file_features(spark: SparkSession, folder: str) -> DataFrame:
     """Inventory, quality and hashes of every image file below a folder, in one scan.
 
     ``path, class_name, read_ok, h, w, mean_v, sd_v, phash, dhash``; a file that cannot be
-    read is a row without features. Nothing is shuffled, a task holds one image at a time.
+    read is a row without features. Nothing is shuffled; images go to numpy as bytes, and those
+    of one size are worked on together, a few megabytes at a time.
     """
-    rows = gray_rasters(read_images(spark, folder))
-    size = F.size("cells")
-    mean = F.aggregate("cells", F.lit(0.0), lambda a, v: a + v) / size
-    squares = F.aggregate("cells", F.lit(0.0), lambda a, v: a + v * v) / size
-    scored = rows.withColumns({"mean_v": F.when(F.col("read_ok"), mean), "_squares": F.when(F.col("read_ok"), squares)})
-    scored = scored.withColumn("sd_v", F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") - F.col("mean_v") * F.col("mean_v"))))
-    hashed = image_hashes(scored)
-    known = lambda c: F.when(F.col("read_ok"), F.col(c)).alias(c)
-    return hashed.select("path", parent_name(F.col("path")).alias("class_name"), "read_ok", known("h"), known("w"), "mean_v", known("sd_v"), known("phash"), known("dhash"))
+    ship_package(spark)
+    rows = read_images(spark, folder)
+    known = lambda c: F.when(F.col("read_ok"), F.col(c))
+    made = rows.withColumn("f", gray_features(known("data"), "height", "width", "channels"))
+    return made.select("path", parent_name(F.col("path")).alias("class_name"), "read_ok", known("height").alias("h"), known("width").alias("w"), "f.mean_v", "f.sd_v", "f.phash", "f.dhash")
 
 
 def image_pixels(images: DataFrame) -> DataFrame:

@@ -65,6 +65,20 @@ def test_hashes_of_many_images_cost_little(spark):
     assert took < 12
 
 
+def test_gray_of_coloured_images_of_several_sizes(spark):
+    rng = np.random.default_rng(6)
+    made = [rng.integers(0, 256, s).astype(np.uint8) for s in [(9, 7, 3), (9, 7, 3), (4, 4, 4), (9, 7, 1), (600, 900, 3)]]
+    rows = [(i, x.tobytes(), *x.shape) for i, x in enumerate(made)] + [(9, None, None, None, None), (10, b"short", 5, 5, 3)]
+    frame = spark.createDataFrame([(i, None if d is None else bytearray(d), *s) for i, d, *s in rows], "i int, data binary, h int, w int, c int")
+    got = {r["i"]: r["f"] for r in frame.select("i", I.gray_features("data", "h", "w", "c").alias("f")).collect()}
+    assert all(v is None for v in [*got[9], *got[10]])
+    for i, x in enumerate(made):
+        x = x.astype(float)
+        gray = x[..., 0] if x.shape[2] < 3 else np.rint(x[..., 2] * 0.299 + x[..., 1] * 0.587 + x[..., 0] * 0.114)
+        assert (got[i]["phash"], got[i]["dhash"]) == both(gray)
+        assert abs(got[i]["mean_v"] - gray.mean()) < 1e-9 and abs(got[i]["sd_v"] - gray.std()) < 1e-6
+
+
 def test_files_to_features_and_split(spark, tmp_path):
     made = pictures()
     near = made["class_1/img_5.bmp"].copy()
